@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from screenloom.functions.text import strip
+
 # Score weights and limits.
 COVERAGE_WEIGHT, KEYWORD_WEIGHT, BREADTH_WEIGHT, EXPERIENCE_WEIGHT = 0.55, 0.10, 0.10, 0.25
 BREADTH_STEP, BREADTH_CAP = 0.04, 0.20
@@ -72,7 +74,7 @@ def label_of(key: Column, labels: dict[str, str]) -> Column:
 def lookup(key: Column, scores: dict[str, float], default: float) -> Column:
     """Score of a trimmed key, with a default."""
     pairs = [F.lit(x) for k, v in scores.items() for x in (k, float(v))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.trim(key)), F.lit(float(default)))
+    return F.coalesce(F.element_at(F.create_map(*pairs), strip(key)), F.lit(float(default)))
 
 
 def safe_json(text: Column, schema: str) -> Column:

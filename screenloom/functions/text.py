@@ -11,20 +11,22 @@ SEPARATORS = r"[•·|/\\]"
 POSSESSIVE = r"(?U)'s\b(?!\.net)"
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
-NUMBER = r"(\d+(?:\.\d+)?)"
+NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 RESUME_EXPERIENCE = [
-    rf"(?i){NUMBER}\+?\s*years?\s*of\s*experience",
-    rf"(?i)experience\s*[:\-]?\s*{NUMBER}\+?\s*years?",
-    rf"(?i){NUMBER}\s*years?\s*(?:work|professional|industry)",
+    rf"(?iU){NUMBER}\+?\s*years?\s*of\s*experience",
+    rf"(?iU)experience\s*[:\-]?\s*{NUMBER}\+?\s*years?",
+    rf"(?iU){NUMBER}\s*years?\s*(?:work|professional|industry)",
 ]
 REQUIRED_EXPERIENCE = [
-    rf"{NUMBER}\+?\s*years?\s*of\s*experience",
-    rf"minimum\s+{NUMBER}\s+years?",
-    rf"at\s+least\s+{NUMBER}\s+years?",
-    rf"{NUMBER}\+?\s*years?\s*(?:of\s*)?(?:work|professional|industry|relevant)",
+    rf"(?U){NUMBER}\+?\s*years?\s*of\s*experience",
+    rf"(?U)minimum\s+{NUMBER}\s+years?",
+    rf"(?U)at\s+least\s+{NUMBER}\s+years?",
+    rf"(?U){NUMBER}\+?\s*years?\s*(?:of\s*)?(?:work|professional|industry|relevant)",
 ]
-NAME_LABEL = r"(?i)name\s*[:\-]?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
-NAME_LINE = r"(?m)^[ \t]*([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,3})[ \t]*$"
+NAME_LABEL = r"(?iU)name\s*[:\-]?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
+NAME_LINE = r"(?U)^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}$"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 UNKNOWN_NAME = "Unknown Candidate"
 
 
@@ -40,11 +42,16 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(no_possessives, BLANKS, " "))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, EDGE_BLANKS, "")
+
+
 def parse_skills(skills: Column) -> Column:
     """Comma list to array; null, blank and "None" give no skills."""
-    listed = F.filter(F.transform(F.split(skills, ","), F.trim), lambda s: s != "")
+    listed = F.filter(F.transform(F.split(skills, ","), lambda s: strip(s)), lambda s: s != "")
     empty = F.array().cast("array<string>")
-    return F.when(skills.isNull() | F.trim(skills).isin("None", ""), empty).otherwise(listed)
+    return F.when(skills.isNull() | strip(skills).isin("None", ""), empty).otherwise(listed)
 
 
 def _first_number(text: Column, patterns: list[str]) -> Column:
@@ -62,8 +69,9 @@ def required_experience(jd_text: Column) -> Column:
 
 def guess_name(text: Column) -> Column:
     """A labelled name, else the first line that looks like a name."""
-    labelled = F.nullif(F.trim(F.regexp_extract(text, NAME_LABEL, 1)), F.lit(""))
-    line = F.nullif(F.regexp_extract(text, NAME_LINE, 1), F.lit(""))
+    labelled = F.nullif(strip(F.regexp_extract(text, NAME_LABEL, 1)), F.lit(""))
+    lines = F.transform(F.split(text, LINE_BREAK), lambda x: strip(x))
+    line = F.get(F.filter(lines, lambda x: x.rlike(NAME_LINE)), 0)
     return F.coalesce(labelled, line, F.lit(UNKNOWN_NAME))
 
 
@@ -71,10 +79,6 @@ def seniority_tier(years: Column) -> Column:
     return F.when(years < 2, "junior").when(years < 5, "mid").otherwise("senior")
 
 
-def format_years(years: Column) -> Column:
-    return years.cast("string")
-
-
 def resume_text(
     name: str, education: str, field: str, years: str, job: str, skills: str, certifications: str, objective: str
 ) -> Column:
