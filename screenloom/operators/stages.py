@@ -99,9 +99,8 @@ def promote_past_interviews(states: DataFrame, scheduled: DataFrame, as_of: Colu
 
 def with_sequence(events: DataFrame) -> DataFrame:
     """Number each candidate's events in time order; days and minutes keep every numbered group short."""
-    timed = events.withColumn("_day", F.to_date("ts")).withColumn(
-        "_minute", F.hour("ts") * 60 + F.minute("ts")
-    )
+    minute = F.floor(F.unix_micros("ts") / 60_000_000)
+    timed = events.withColumn("_day", F.floor(minute / 1440)).withColumn("_minute", minute)
     levels = [("_day", True), ("_minute", True)]
     return with_position(timed, ["candidate_id"], levels, [F.col("ts"), F.col("event_id")], "seq").drop(
         "_day", "_minute"
@@ -173,28 +172,25 @@ def transition_log(events: DataFrame, start: str = "applied") -> DataFrame:
     sequenced = stage_table(with_sequence(events), "sequenced")
     chunks = _chunks(sequenced)
     entered = chunks.join(_entry_states(_chunk_maps(chunks), start), ["candidate_id", "idx"])
-    none = F.array().cast("array<struct<event_id:bigint,ts:timestamp,previous:string,requested:string,state:string>>")
+    record_type = "event_id:bigint,ts:timestamp,previous:string,requested:string,state:string,success:boolean"
+    none = F.array().cast(f"array<struct<{record_type}>>")
 
     def step(acc: Column, e: Column) -> Column:
         after = next_state(acc["state"], e["new_state"], e["forced"])
+        # No stage may follow itself, so an accepted request changes the stage unless it was forced.
+        success = e["forced"] | (after != acc["state"])
         record = F.struct(
             e["event_id"].alias("event_id"),
             e["ts"].alias("ts"),
             acc["state"].alias("previous"),
             e["new_state"].alias("requested"),
             after.alias("state"),
+            success.alias("success"),
         )
         return F.struct(F.concat(acc["seen"], F.array(record)).alias("seen"), after.alias("state"))
 
     walked = F.aggregate("events", F.struct(none.alias("seen"), F.col("entry").alias("state")), step)
-    log = entered.select("candidate_id", F.inline(walked["seen"]))
-    # An accepted transition always leaves the stage; a forced one may set it again.
-    forced = sequenced.select("candidate_id", "event_id", "forced")
-    with_flag = log.join(forced, ["candidate_id", "event_id"])
-    success = F.col("forced") | (F.col("previous") != F.col("state"))
-    return with_flag.select(
-        "candidate_id", "event_id", "ts", "previous", "requested", "state", success.alias("success")
-    )
+    return entered.select("candidate_id", F.inline(walked["seen"]))
 
 
 # ---- reports ---------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import importlib
 
 from screenloom.plans.registry import CHECKS, QUERIES, Query
 
-GROUPS = ["screening", "hiring"]
+GROUPS = ["screening", "hiring", "learning"]
 
 
 def _load() -> None:

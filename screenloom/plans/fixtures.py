@@ -136,7 +136,7 @@ def as_stage_events(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").cast("string").alias("candidate_id"),
         "event_id",
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.element_at(F.create_map(*pairs), F.col("event_type")).alias("new_state"),
         (F.col("event_id") % 50 == 0).alias("forced"),
     )
