@@ -65,11 +65,13 @@ def fit_yeo_johnson(df: DataFrame, columns: list[str]) -> dict[str, float]:
     active = [c for c in columns if spread[c][1]]
     result = dict.fromkeys(columns, 1.0)
     ranges = dict.fromkeys(active, START_RANGE)
-    entries = F.array(*[F.struct(F.lit(i).alias("i"), quoted(c).alias("x")) for i, c in enumerate(active)])
-    values = df.select(F.inline(entries)).where(F.col("x").isNotNull()) if active else None
+    values = df.select(*[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(active)])
     while wide := [c for c in active if ranges[c][1] - ranges[c][0] > LAMBDA_WIDTH]:
         index = {active.index(c): c for c in wide}
-        grids = {i: [lo + (hi - lo) * j / (GRID - 1) for j in range(GRID)] for i, c in index.items() for lo, hi in [ranges[c]]}
+        grids = {}
+        for i, c in index.items():
+            low, high = ranges[c]
+            grids[i] = [low + (high - low) * j / (GRID - 1) for j in range(GRID)]
         scores: dict[int, list[float]] = {i: [-math.inf] * GRID for i in grids}
         for row in _likelihoods(values, grids).collect():  # columns x grid rows
             scores[row["i"]][row["j"]] = _log_likelihood(row, grids[row["i"]][row["j"]])
@@ -81,16 +83,46 @@ def fit_yeo_johnson(df: DataFrame, columns: list[str]) -> dict[str, float]:
 
 
 def _likelihoods(values: DataFrame, grids: dict[int, list[float]]) -> DataFrame:
-    """Variance of the transformed values per column and grid point; combined before the shuffle."""
-    table = F.create_map(*[x for i, g in grids.items() for x in (F.lit(i), F.array(*[F.lit(v) for v in g]))])
-    wanted = values.where(F.col("i").isin(*grids))
-    tried = wanted.select("i", "x", F.posexplode(F.element_at(table, F.col("i"))).alias("j", "lam"))
-    x = F.col("x")
-    return tried.groupBy("i", "j").agg(
-        F.count("*").alias("n"),
-        F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("logs"),
-        F.var_pop(yeo_johnson(x, F.col("lam"))).alias("variance"),
-    )
+    """Variance of the transformed values per column and grid point.
+
+    Powers of whole Arrow batches; a task returns one row per column and grid point, and Spark merges them.
+    """
+
+    def partial(batches):
+        import numpy as np
+        import pandas as pd
+
+        count, logs = dict.fromkeys(grids, 0), dict.fromkeys(grids, 0.0)
+        mean = {i: np.zeros(len(g)) for i, g in grids.items()}
+        square = {i: np.zeros(len(g)) for i, g in grids.items()}
+        for batch in batches:
+            for i, grid in grids.items():
+                x = batch[f"x{i}"].to_numpy(dtype=float)
+                x = x[~np.isnan(x)]
+                if not x.size:
+                    continue
+                signed = np.sign(x) * np.log1p(np.abs(x))
+                up, down = np.maximum(x, 0.0), np.maximum(-x, 0.0)
+                for j, lam in enumerate(grid):
+                    high = np.log1p(up) if abs(lam) < 1e-12 else ((up + 1) ** lam - 1) / lam
+                    mirrored = 2 - lam
+                    low = np.log1p(down) if abs(mirrored) < 1e-12 else ((down + 1) ** mirrored - 1) / mirrored
+                    y = high - low
+                    m = y.mean()
+                    step, n = m - mean[i][j], count[i] + x.size
+                    square[i][j] += ((y - m) ** 2).sum() + step * step * count[i] * x.size / n
+                    mean[i][j] += step * x.size / n
+                count[i] += x.size
+                logs[i] += signed.sum()
+        rows = [(i, j, count[i], logs[i], mean[i][j], square[i][j]) for i, g in grids.items() for j in range(len(g))]
+        yield pd.DataFrame([r for r in rows if r[2]], columns=["i", "j", "n", "logs", "mean", "square"])
+
+    schema = "i int, j int, n long, logs double, mean double, square double"
+    parts = values.select(*[f"x{i}" for i in grids]).mapInPandas(partial, schema)
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) / n - mean * mean
+    variance = F.sum("square") / n + F.greatest(between, F.lit(0.0))
+    return parts.groupBy("i", "j").agg(n.alias("n"), F.sum("logs").alias("logs"), variance.alias("variance"))
 
 
 def _log_likelihood(row, lam: float) -> float:

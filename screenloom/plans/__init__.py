@@ -6,7 +6,7 @@ import importlib
 
 from screenloom.plans.registry import CHECKS, QUERIES, Query
 
-GROUPS = ["screening", "hiring", "learning"]
+GROUPS = ["screening", "hiring", "learning", "models"]
 
 
 def _load() -> None:
