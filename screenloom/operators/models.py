@@ -22,6 +22,7 @@ from screenloom.operators import metrics as mt
 from screenloom.operators import neighbors as nn
 
 SEED = 42
+TOLERANCE = 1e-4
 Predictor = Callable[[DataFrame], DataFrame]  # adds score and yhat
 
 
@@ -53,7 +54,7 @@ def logistic(c: float, max_iter: int) -> Trainer:
 
     def train(rows: DataFrame) -> Fitted:
         penalty = 1.0 / (c * max(rows.count(), 1))
-        return mllib(LogisticRegression(regParam=penalty, elasticNetParam=0.0, maxIter=max_iter))(rows)
+        return mllib(LogisticRegression(regParam=penalty, elasticNetParam=0.0, maxIter=max_iter, standardization=False))(rows)
 
     return train
 
@@ -77,7 +78,7 @@ def calibrated_svc(c: float, max_iter: int, folds: int = 5) -> Trainer:
         for fold in range(folds):
             part = folded.where(F.col("fold") != fold)
             penalty = 1.0 / (c * max(part.count(), 1))
-            svc = LinearSVC(regParam=penalty, maxIter=max_iter).fit(part)
+            svc = LinearSVC(regParam=penalty, maxIter=max_iter, tol=TOLERANCE, standardization=False).fit(part)
             held = margin.transform(_margin(svc, folded.where(F.col("fold") == fold)))
             sigmoid = LogisticRegression(featuresCol="margin_vector").fit(held)
             pairs.append((svc.coefficients.toArray(), svc.intercept, float(sigmoid.coefficients[0]), sigmoid.intercept))
@@ -131,7 +132,7 @@ def default_models(max_iter_scale: float = 1.0) -> dict[str, Trainer]:
             )
         ),
         "LogisticRegression": logistic(0.5, n(2000)),
-        "LinearSVC": calibrated_svc(0.3, n(3000)),
+        "LinearSVC": calibrated_svc(0.3, n(200)),
         "KNN": knn(11),
         "GradientBoosting": mllib(
             GBTClassifier(maxIter=n(150), maxDepth=4, subsamplingRate=0.8, stepSize=0.05, seed=SEED)
