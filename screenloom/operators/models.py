@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from screenloom.operators import metrics as mt
 from screenloom.operators import neighbors as nn
+from screenloom.session import stage
 
 SEED = 42
-TOLERANCE = 1e-4
+TOLERANCE = 1e-3
+ROWS_PER_PARTITION = 50_000
 Predictor = Callable[[DataFrame], DataFrame]  # adds score and yhat
 
 
@@ -40,9 +43,14 @@ def _with_prediction(predicted: DataFrame, score: Column) -> DataFrame:
     return predicted.select(*keep, score.alias("score"), F.col("prediction").cast("int").alias("yhat"))
 
 
+def compact(rows: DataFrame) -> DataFrame:
+    """Fewer partitions for small inputs: iterative training runs one job per step over all of them."""
+    return rows.coalesce(max(1, math.ceil(rows.count() / ROWS_PER_PARTITION)))
+
+
 def mllib(estimator) -> Trainer:
     def train(rows: DataFrame) -> Fitted:
-        model = estimator.fit(rows)
+        model = estimator.fit(compact(rows))
         probability = vector_to_array(F.col("probability"))[1]
         return Fitted(lambda df: _with_prediction(model.transform(df), probability), model)
 
@@ -72,13 +80,15 @@ def calibrated_svc(c: float, max_iter: int, folds: int = 5) -> Trainer:
     """Linear SVC per fold with a sigmoid fitted on the held-out margins; probabilities are averaged."""
 
     def train(rows: DataFrame) -> Fitted:
-        folded = mt.stratified_folds(rows, "id", "label", folds, SEED)
+        folded = stage(mt.stratified_folds(rows, "id", "label", folds, SEED), "folds")
         margin = VectorAssembler(inputCols=["margin"], outputCol="margin_vector")
         pairs = []
         for fold in range(folds):
             part = folded.where(F.col("fold") != fold)
             penalty = 1.0 / (c * max(part.count(), 1))
-            svc = LinearSVC(regParam=penalty, maxIter=max_iter, tol=TOLERANCE, standardization=False).fit(part)
+            svc = LinearSVC(regParam=penalty, maxIter=max_iter, tol=TOLERANCE, standardization=False).fit(
+                compact(part)
+            )
             held = margin.transform(_margin(svc, folded.where(F.col("fold") == fold)))
             sigmoid = LogisticRegression(featuresCol="margin_vector").fit(held)
             pairs.append((svc.coefficients.toArray(), svc.intercept, float(sigmoid.coefficients[0]), sigmoid.intercept))
@@ -132,7 +142,7 @@ def default_models(max_iter_scale: float = 1.0) -> dict[str, Trainer]:
             )
         ),
         "LogisticRegression": logistic(0.5, n(2000)),
-        "LinearSVC": calibrated_svc(0.3, n(200)),
+        "LinearSVC": calibrated_svc(0.3, n(100)),
         "KNN": knn(11),
         "GradientBoosting": mllib(
             GBTClassifier(maxIter=n(150), maxDepth=4, subsamplingRate=0.8, stepSize=0.05, seed=SEED)
@@ -166,7 +176,7 @@ def predictions(fitted: Fitted, name: str, rows: DataFrame) -> DataFrame:
 
 def cross_validate(trainer: Trainer, name: str, rows: DataFrame, folds: int = 5) -> DataFrame:
     """(model, cv_mean, cv_std) of the accuracy over stratified folds."""
-    folded = mt.stratified_folds(rows, "id", "label", folds, SEED)
+    folded = stage(mt.stratified_folds(rows, "id", "label", folds, SEED), "folds")
     parts = []
     for fold in range(folds):
         fitted = trainer(folded.where(F.col("fold") != fold).drop("fold"))

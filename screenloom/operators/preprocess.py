@@ -14,22 +14,22 @@ from screenloom import __version__
 from screenloom.config import PreprocessConfig
 from screenloom.dims.domain import CLASS_NAMES
 from screenloom.operators.features import noisy, quoted
-from screenloom.operators.quantiles import exact_quantiles
+from screenloom.operators.quantiles import exact_quantiles, long_values
 from screenloom.session import stage
 
-GRID = 17
-START_RANGE, MAX_LAMBDA, LAMBDA_WIDTH = (-2.0, 2.0), 24.0, 1e-4
+GRID = 33
+START_RANGE, MAX_LAMBDA, LAMBDA_WIDTH = (-2.0, 2.0), 24.0, 1e-3
 MIN_VARIANCE = 1e-300
 
 
 # ---- single steps ----------------------------------------------------------------------------------------------
 
 
-def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
     """Mean and population deviation of every column, in one pass; missing values do not count."""
-    aggregates = [f(quoted(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
-    row = df.agg(*aggregates).first()
-    return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+    rows = long_values(df, columns).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
+    found = {columns[r["i"]]: (r["m"], r["s"]) for r in rows}
+    return {c: found.get(c, (None, None)) for c in columns}
 
 
 def clip(value: Column, low: float | None, high: float | None) -> Column:
@@ -92,6 +92,11 @@ def _likelihoods(values: DataFrame, grids: dict[int, list[float]]) -> DataFrame:
         import numpy as np
         import pandas as pd
 
+        def power(x, lam):
+            safe = np.where(np.abs(lam) < 1e-12, 1.0, lam)
+            raised = ((x + 1)[:, None] ** safe - 1) / safe
+            return np.where(np.abs(lam) < 1e-12, np.log1p(x)[:, None], raised)
+
         count, logs = dict.fromkeys(grids, 0), dict.fromkeys(grids, 0.0)
         mean = {i: np.zeros(len(g)) for i, g in grids.items()}
         square = {i: np.zeros(len(g)) for i, g in grids.items()}
@@ -102,16 +107,12 @@ def _likelihoods(values: DataFrame, grids: dict[int, list[float]]) -> DataFrame:
                 if not x.size:
                     continue
                 signed = np.sign(x) * np.log1p(np.abs(x))
-                up, down = np.maximum(x, 0.0), np.maximum(-x, 0.0)
-                for j, lam in enumerate(grid):
-                    high = np.log1p(up) if abs(lam) < 1e-12 else ((up + 1) ** lam - 1) / lam
-                    mirrored = 2 - lam
-                    low = np.log1p(down) if abs(mirrored) < 1e-12 else ((down + 1) ** mirrored - 1) / mirrored
-                    y = high - low
-                    m = y.mean()
-                    step, n = m - mean[i][j], count[i] + x.size
-                    square[i][j] += ((y - m) ** 2).sum() + step * step * count[i] * x.size / n
-                    mean[i][j] += step * x.size / n
+                lam = np.array(grid)
+                y = power(np.maximum(x, 0.0), lam) - power(np.maximum(-x, 0.0), 2 - lam)
+                m = y.mean(axis=0)
+                step, n = m - mean[i], count[i] + x.size
+                square[i] += ((y - m) ** 2).sum(axis=0) + step * step * count[i] * x.size / n
+                mean[i] += step * x.size / n
                 count[i] += x.size
                 logs[i] += signed.sum()
         rows = [(i, j, count[i], logs[i], mean[i][j], square[i][j]) for i, g in grids.items() for j in range(len(g))]
@@ -135,9 +136,9 @@ def _log_likelihood(row, lam: float) -> float:
 def _next_range(grid: list[float], best: int) -> tuple[float, float]:
     width = grid[-1] - grid[0]
     if best == 0 and grid[0] > -MAX_LAMBDA:
-        return grid[0] - width, grid[1]
+        return grid[0] - 2 * width, grid[1]
     if best == len(grid) - 1 and grid[-1] < MAX_LAMBDA:
-        return grid[-2], grid[-1] + width
+        return grid[-2], grid[-1] + 2 * width
     return grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
 
 
@@ -236,10 +237,14 @@ def fit(features: DataFrame, columns: list[str], key: str, cfg: PreprocessConfig
         for c, (m, s) in moments(features, columns).items()
     }
     clipped = features.select(*[clip(quoted(c), *bounds[c]).alias(c) for c in columns])
-    missing = clipped.agg(*[F.count_if(quoted(c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    gaps = [c for i, c in enumerate(columns) if missing[f"c{i}"]]
+    rows = features.count()
+    present = long_values(clipped, columns).groupBy("i").count().collect()
+    full = {columns[r["i"]] for r in present if r["count"] == rows}
+    gaps = [c for c in columns if c not in full]
     fills = {c: q[0].value for c, q in exact_quantiles(clipped, gaps, [0.5]).items()} if gaps else {}
-    filled = clipped.select(*[F.coalesce(quoted(c), F.lit(fills.get(c, 0.0))).alias(c) for c in columns])
+    filled = stage(
+        clipped.select(*[F.coalesce(quoted(c), F.lit(fills.get(c, 0.0))).alias(c) for c in columns]), "filled"
+    )
     lams = fit_yeo_johnson(filled, columns) if cfg.use_power_transform else {}
     quartiles = exact_quantiles(filled, columns, [0.25, 0.5, 0.75])
     medians = {c: q[1].value for c, q in quartiles.items()}

@@ -6,6 +6,7 @@ maximum as the next interval. Only bin counts reach the driver; their number dep
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -40,28 +41,22 @@ def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float], bins: int = BINS
 ) -> dict[str, list[Quantile]]:
     """Quantiles with linear interpolation; columns without values are left out."""
-    clean = df.select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
-    stats = clean.agg(
-        *[
-            f(f"`{c}`").alias(f"{kind}_{i}")
-            for i, c in enumerate(columns)
-            for kind, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
-        ]
-    ).first()
+    values = long_values(df, columns)
+    stats = {
+        columns[r["i"]]: r
+        for r in values.groupBy("i").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    }
     sizes, where = {}, {}
-    for i, c in enumerate(columns):
-        n = stats[f"n_{i}"]
-        if n == 0:
-            continue
-        sizes[c] = n
-        whole = _Interval(c, stats[f"lo_{i}"], stats[f"hi_{i}"], 0)
+    for c in (c for c in columns if c in stats):
+        n = sizes[c] = stats[c]["n"]
+        whole = _Interval(c, stats[c]["lo"], stats[c]["hi"], 0)
         for p in probabilities:
             for rank in (math.floor((n - 1) * p), math.ceil((n - 1) * p)):
                 where[(c, rank)] = whole
     while open_intervals := sorted(
         {i for i in where.values() if i.low < i.high}, key=lambda i: (i.column, i.low, i.high)
     ):
-        counted = _count_bins(clean, open_intervals, bins)
+        counted = _count_bins(values, columns, open_intervals, bins)
         for (c, rank), interval in where.items():
             if interval.low < interval.high:
                 where[(c, rank)] = _narrow(interval, rank, counted[open_intervals.index(interval)])
@@ -75,26 +70,30 @@ def exact_quantiles(
     return result
 
 
-def _count_bins(df: DataFrame, intervals: list[_Interval], bins: int) -> list[list]:
-    def entry(i: int, interval: _Interval):
-        value = F.col(f"`{interval.column}`")
-        width = interval.high - interval.low
-        position = F.floor((value - interval.low) / width * bins)
-        inside = value.between(interval.low, interval.high)
-        return F.when(
-            inside, F.struct(F.lit(i).alias("i"), F.least(position, F.lit(bins - 1)).alias("bin"), value.alias("v"))
-        )
+def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, x): present values of the columns, by column number. Aggregating by ``i`` keeps the plan small."""
+    entries = [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)]
+    return df.select(F.inline(F.array(*entries))).where(F.col("x").isNotNull() & ~F.isnan("x"))
 
-    entries = F.array_compact(F.array(*[entry(i, interval) for i, interval in enumerate(intervals)]))
+
+def _count_bins(values: DataFrame, columns: list[str], intervals: list[_Interval], bins: int) -> list[list]:
+    by_column: list[list[dict]] = [[] for _ in columns]
+    for k, interval in enumerate(intervals):
+        by_column[columns.index(interval.column)].append({"k": k, "lo": interval.low, "hi": interval.high})
+    lookup = F.from_json(F.lit(json.dumps(by_column)), "array<array<struct<k:int,lo:double,hi:double>>>")
+    inside = F.filter(F.get(lookup, F.col("i")), lambda t: F.col("x").between(t["lo"], t["hi"]))
+    position = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     counts = (
-        df.select(F.inline(entries))
-        .groupBy("i", "bin")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        values.where(F.col("i").isin([i for i, wanted in enumerate(by_column) if wanted]))
+        .select("x", F.inline(inside))
+        .select("k", F.least(position, F.lit(bins - 1)).alias("bin"), "x")
+        .groupBy("k", "bin")
+        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .collect()  # at most intervals x bins rows
     )
     by_interval: list[list] = [[] for _ in intervals]
     for row in sorted(counts, key=lambda x: x["bin"]):
-        by_interval[row["i"]].append(row)
+        by_interval[row["k"]].append(row)
     return by_interval
 
 

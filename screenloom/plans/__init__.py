@@ -6,7 +6,7 @@ import importlib
 
 from screenloom.plans.registry import CHECKS, QUERIES, Query
 
-GROUPS = ["screening", "hiring", "learning", "models", "interviews"]
+GROUPS = ["screening", "hiring", "learning", "models", "interviews", "streams"]
 
 
 def _load() -> None:

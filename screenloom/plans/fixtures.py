@@ -102,12 +102,16 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_documents(table(spark, sf_dir, "documents"))
+
+
+def as_documents(texts: DataFrame) -> DataFrame:
     """Resume documents: the given texts with a head line and a skill line."""
     k = F.col("doc_id")
     extras = F.when(k % 10 == 0, RESUME_EXTRAS).otherwise("")
     skills = F.coalesce(skill_list(k), F.lit(""))
     text = F.concat(pick(RESUME_HEADS, k % 4), F.col("text"), F.lit(" Skills: "), skills, extras)
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return texts.select("doc_id", text.alias("text"))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
