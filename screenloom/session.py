@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "screenloom", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the jobs expect. On a cluster, submit with the same settings."""
@@ -35,9 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="screenloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_FOLDERS:
+        _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="screenloom-")
+    return _OWN_FOLDERS[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

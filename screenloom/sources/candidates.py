@@ -85,7 +85,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file: (stem, text). Bytes that are no UTF-8 are dropped."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    decoded = F.regexp_replace(F.decode("content", "UTF-8"), "�", "")
+    decoded = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
     return files.select(F.regexp_replace(name, r"\.(pdf|txt)$", "").alias("stem"), decoded.alias("text"))
 
 
