@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns. (?U) makes \s, \b and \w follow Unicode; \x1c-\x1f count as white space too.
-URL = r"(?U)https?://[^\s\x1c-\x1f]+|www\.(?!net)[^\s\x1c-\x1f]+"
-SEPARATORS = r"[•·|/\\]"
+# Patterns. White space follows Unicode and includes \x1c-\x1f; (?U) does the same for \b.
+# Single characters share one lookup table and the outer range settles most others, so letters are passed quickly.
+ASCII_BLANK = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+WIDE_BLANK = r"  -     　"
+BLANK = rf"{ASCII_BLANK}[ -　&&[{WIDE_BLANK}]]"
+URL = rf"https?://[^{ASCII_BLANK}{WIDE_BLANK}]+|www\.(?!net)[^{ASCII_BLANK}{WIDE_BLANK}]+"
 POSSESSIVE = r"(?U)'s\b(?!\.net)"
-BLANKS = r"(?U)[\s\x1c-\x1f]+"
+GAPS = rf"[{ASCII_BLANK}·|/\\[ -　&&[{WIDE_BLANK}•]]]+"
 
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 RESUME_EXPERIENCE = [
@@ -25,21 +28,28 @@ REQUIRED_EXPERIENCE = [
 ]
 NAME_LABEL = r"(?iU)name\s*[:\-]?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
 NAME_LINE = r"(?U)^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}$"
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
+EDGE_BLANKS = rf"^[{BLANK}]+|[{BLANK}]+$"
 UNKNOWN_NAME = "Unknown Candidate"
 
 
 def normalize_text(text: Column) -> Column:
     """Lower-case text without URLs, separators and possessives.
 
-    The look-aheads keep what starts with the token ".net" whole: it is not a URL and ends no possessive.
+    The look-aheads keep what starts with the token ".net" whole: it is not a URL and ends no possessive. Texts
+    without a trigger skip the two rarer patterns; separators and white space collapse in one pass.
     """
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    no_urls = F.regexp_replace(lowered, URL, " ")
-    no_separators = F.regexp_replace(no_urls, SEPARATORS, " ")
-    no_possessives = F.regexp_replace(no_separators, POSSESSIVE, "")
-    return F.trim(F.regexp_replace(no_possessives, BLANKS, " "))
+
+    def where_present(value: Column, triggers: list[str], pattern: str, to: str) -> Column:
+        present = F.contains(value, F.lit(triggers[0]))
+        for trigger in triggers[1:]:
+            present = present | F.contains(value, F.lit(trigger))
+        return F.when(present, F.regexp_replace(value, pattern, to)).otherwise(value)
+
+    no_urls = where_present(lowered, ["http", "www."], URL, " ")
+    no_possessives = where_present(no_urls, ["'s"], POSSESSIVE, "")
+    return F.trim(F.regexp_replace(no_possessives, GAPS, " "))
 
 
 def strip(text: Column) -> Column:

@@ -108,7 +108,9 @@ def _likelihoods(values: DataFrame, grids: dict[int, list[float]]) -> DataFrame:
                     continue
                 signed = np.sign(x) * np.log1p(np.abs(x))
                 lam = np.array(grid)
-                y = power(np.maximum(x, 0.0), lam) - power(np.maximum(-x, 0.0), 2 - lam)
+                y = power(np.maximum(x, 0.0), lam)
+                if x.min() < 0:
+                    y = y - power(np.maximum(-x, 0.0), 2 - lam)
                 m = y.mean(axis=0)
                 step, n = m - mean[i], count[i] + x.size
                 square[i] += ((y - m) ** 2).sum(axis=0) + step * step * count[i] * x.size / n

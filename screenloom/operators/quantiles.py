@@ -72,8 +72,8 @@ def exact_quantiles(
 
 def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, x): present values of the columns, by column number. Aggregating by ``i`` keeps the plan small."""
-    entries = [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)]
-    return df.select(F.inline(F.array(*entries))).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    entries = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    return df.select(F.posexplode(entries).alias("i", "x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
 def _count_bins(values: DataFrame, columns: list[str], intervals: list[_Interval], bins: int) -> list[list]:

@@ -13,7 +13,8 @@ from screenloom.functions.scores import breadth_bonus, jd_coverage
 from screenloom.functions.text import normalize_text, strip
 
 ENTRY_SCHEMA = "ord long, category string, canonical string, aliases array<string>"
-WORD = "[a-z0-9_]+"
+WORD = r"\w+"  # ASCII letters, digits and underscore, as in the boundary test
+WORD_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
 EDGES = ("(?<![a-z0-9_])", "(?![a-z0-9_])")
 MAX_INLINE_VARIANTS = 20_000
 
@@ -81,16 +82,33 @@ def variant_table(entries: DataFrame) -> DataFrame:
 
 
 def _pattern(variant: Column) -> Column:
-    """Boundary pattern of a variant; null for a plain word, which equals a whole token."""
-    quoted = F.concat(F.lit(EDGES[0] + r"\Q"), variant, F.lit(r"\E" + EDGES[1]))
-    return F.when(variant.rlike(f"^{WORD}$"), F.lit(None)).otherwise(quoted)
+    """Boundary pattern of a variant."""
+    return F.concat(F.lit(EDGES[0] + r"\Q"), variant, F.lit(r"\E" + EDGES[1]))
 
 
 def matcher_table(variants: DataFrame) -> DataFrame:
-    """Variants keyed by their first word, the join key against the words of a text."""
+    """Variants keyed by their first word, the join key against the words of a text.
+
+    ``phrase`` is null for a plain word, which equals a whole word of the text.
+    """
     variant = F.col("variant")
-    head = F.regexp_extract(variant, WORD, 0)
-    return variants.select(head.alias("head"), _pattern(variant).alias("pattern"), "canonical")
+    phrase = F.when(~variant.rlike(f"^{WORD}$"), variant)
+    return variants.select(F.regexp_extract(variant, WORD, 0).alias("head"), phrase.alias("phrase"), "canonical")
+
+
+def _occurs(text: Column, phrase: Column) -> Column:
+    """Whether a phrase occurs with no word character at its edges.
+
+    A substring search settles most cases; the pattern runs only where the first occurrence is part of a longer word.
+    """
+    place = F.position(phrase, text)
+    before = F.when(place > 1, F.substr(text, place - 1, F.lit(1))).otherwise("")
+    after = F.substr(text, place + F.length(phrase), F.lit(1))
+
+    def edge(character: Column) -> Column:
+        return (character == "") | ~F.contains(F.lit(WORD_CHARACTERS), character)
+
+    return F.contains(text, phrase) & ((edge(before) & edge(after)) | F.regexp_like(text, _pattern(phrase)))
 
 
 # ---- extraction ------------------------------------------------------------------------------------------------
@@ -107,12 +125,12 @@ class Matcher:
     @staticmethod
     def build(entries: DataFrame, max_inline: int = MAX_INLINE_VARIANTS) -> Matcher:
         table = matcher_table(variant_table(entries))
-        rows = table.orderBy("head", "canonical", "pattern").limit(max_inline + 1).collect()
+        rows = table.orderBy("head", "canonical", "phrase").limit(max_inline + 1).collect()
         if len(rows) > max_inline:
             return Matcher(None, (), table)
         by_head: dict[str, list[dict]] = {}
         for row in rows:
-            by_head.setdefault(row["head"], []).append({"pattern": row["pattern"], "canonical": row["canonical"]})
+            by_head.setdefault(row["head"], []).append({"phrase": row["phrase"], "canonical": row["canonical"]})
         return Matcher(json.dumps(by_head), tuple(by_head), table)
 
     def skills(self, df: DataFrame, text: str, id_column: str, out: str = "skills") -> DataFrame:
@@ -123,21 +141,19 @@ class Matcher:
 
 
 def _words(normalized: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.col(normalized), F.lit(f"({WORD})"), F.lit(1)))
+    return F.regexp_extract_all(F.col(normalized), F.lit(f"({WORD})"), F.lit(1))
 
 
 def _inline_skills(df: DataFrame, text: str, matcher: Matcher, out: str) -> DataFrame:
     """Map-only plan: words that start a variant, then the boundary test where the variant is more than a word."""
-    schema = "map<string,array<struct<pattern:string,canonical:string>>>"
+    schema = "map<string,array<struct<phrase:string,canonical:string>>>"
     lookup = F.from_json(F.lit(matcher.inline), schema)
     heads = F.array(*[F.lit(h) for h in matcher.heads if h])
     hit_heads = F.array_intersect(_words("_norm"), heads)
     if "" in matcher.heads:
         hit_heads = F.concat(hit_heads, F.array(F.lit("")))
     candidates = F.flatten(F.transform("_heads", lambda h: F.element_at(lookup, h)))
-    hits = F.filter(
-        candidates, lambda c: c["pattern"].isNull() | F.regexp_like(F.col("_norm"), c["pattern"])
-    )
+    hits = F.filter(candidates, lambda c: c["phrase"].isNull() | _occurs(F.col("_norm"), c["phrase"]))
     return (
         df.withColumn("_norm", normalize_text(F.col(text)))
         .withColumn("_heads", hit_heads)
@@ -152,14 +168,14 @@ def _join_skills(df: DataFrame, text: str, id_column: str, table: DataFrame, out
     Only (id, word) pairs meet the taxonomy; each text is then tested once, against its own candidates.
     """
     normalized = df.withColumn("_norm", normalize_text(F.col(text)))
-    words = F.concat(F.array(F.lit("")), _words("_norm"))
+    words = F.concat(F.array(F.lit("")), F.array_distinct(_words("_norm")))
     candidates = (
         normalized.select(F.col(id_column).alias("_id"), F.explode(words).alias("head"))
         .join(table, "head")
         .groupBy("_id")
-        .agg(F.collect_set(F.struct(F.coalesce("pattern", F.lit("")).alias("pattern"), "canonical")).alias("_found"))
+        .agg(F.collect_set(F.struct(F.coalesce("phrase", F.lit("")).alias("phrase"), "canonical")).alias("_found"))
     )
-    hits = F.filter("_found", lambda c: (c["pattern"] == "") | F.regexp_like(F.col("_norm"), c["pattern"]))
+    hits = F.filter("_found", lambda c: (c["phrase"] == "") | _occurs(F.col("_norm"), c["phrase"]))
     skills = F.array_sort(F.array_distinct(F.transform(hits, lambda c: c["canonical"])))
     joined = normalized.join(candidates, F.col(id_column) == F.col("_id"), "left")
     none = F.array().cast("array<string>")
