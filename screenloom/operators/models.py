@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Model
+from pyspark.ml import Model, classification
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -31,8 +32,13 @@ Predictor = Callable[[DataFrame], DataFrame]  # adds score and yhat
 
 @dataclass(frozen=True)
 class Fitted:
+    """A trained classifier: an MLlib model, the weights of a calibrated SVC, or the points of a neighbour vote."""
+
     predict: Predictor
     model: Model | None = None
+    weights: list | None = None
+    points: DataFrame | None = None
+    k: int = 0
 
 
 Trainer = Callable[[DataFrame], Fitted]  # rows: id, label, features
@@ -43,6 +49,13 @@ def _with_prediction(predicted: DataFrame, score: Column) -> DataFrame:
     return predicted.select(*keep, score.alias("score"), F.col("prediction").cast("int").alias("yhat"))
 
 
+def _from_model(model: Model) -> Fitted:
+    def predict(df: DataFrame) -> DataFrame:
+        return _with_prediction(model.transform(df), vector_to_array(F.col("probability"))[1])
+
+    return Fitted(predict, model=model)
+
+
 def compact(rows: DataFrame) -> DataFrame:
     """Fewer partitions for small inputs: iterative training runs one job per step over all of them."""
     return rows.coalesce(max(1, math.ceil(rows.count() / ROWS_PER_PARTITION)))
@@ -50,9 +63,7 @@ def compact(rows: DataFrame) -> DataFrame:
 
 def mllib(estimator) -> Trainer:
     def train(rows: DataFrame) -> Fitted:
-        model = estimator.fit(compact(rows))
-        probability = vector_to_array(F.col("probability"))[1]
-        return Fitted(lambda df: _with_prediction(model.transform(df), probability), model)
+        return _from_model(estimator.fit(compact(rows)))
 
     return train
 
@@ -91,12 +102,17 @@ def calibrated_svc(c: float, max_iter: int, folds: int = 5) -> Trainer:
             )
             held = margin.transform(_margin(svc, folded.where(F.col("fold") == fold)))
             sigmoid = LogisticRegression(featuresCol="margin_vector").fit(held)
-            pairs.append((svc.coefficients.toArray(), svc.intercept, float(sigmoid.coefficients[0]), sigmoid.intercept))
-        return Fitted(lambda df: _averaged_sigmoids(df, pairs))
+            slope, offset = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+            pairs.append((svc.coefficients.toArray().tolist(), float(svc.intercept), slope, offset))
+        return _from_weights(pairs)
 
     return train
 
 
+def _from_weights(pairs: list) -> Fitted:
+    return Fitted(lambda df: _averaged_sigmoids(df, pairs), weights=pairs)
+
+
 def _margin(svc, rows: DataFrame) -> DataFrame:
     scored = svc.transform(rows).withColumn("margin", vector_to_array("rawPrediction")[1])
     return scored.select("id", "label", "margin")
@@ -115,18 +131,18 @@ def _averaged_sigmoids(df: DataFrame, pairs: list) -> DataFrame:
 
 def knn(k: int) -> Trainer:
     def train(rows: DataFrame) -> Fitted:
-        # Oversampled rows share the id of their base; the vote needs points of their own.
-        points = rows.select(
-            F.col("id"), vector_to_array("features").alias("vec"), F.col("label").cast("int").alias("label")
-        )
+        points = rows.select("id", vector_to_array("features").alias("vec"), F.col("label").cast("int").alias("label"))
+        return _from_points(points, k)
 
-        def predict(df: DataFrame) -> DataFrame:
-            queries = df.select("id", vector_to_array("features").alias("vec"))
-            return df.join(nn.classify(queries, points, k), "id")
+    return train
 
-        return Fitted(predict)
 
-    return train
+def _from_points(points: DataFrame, k: int) -> Fitted:
+    def predict(df: DataFrame) -> DataFrame:
+        queries = df.select("id", vector_to_array("features").alias("vec"))
+        return df.join(nn.classify(queries, points, k), "id")
+
+    return Fitted(predict, points=points, k=k)
 
 
 def default_models(max_iter_scale: float = 1.0) -> dict[str, Trainer]:
@@ -165,6 +181,32 @@ def _boosted_trees() -> dict[str, Trainer]:
     return {"XGBoost": mllib(estimator)}
 
 
+# ---- persistence -----------------------------------------------------------------------------------------------
+
+
+def save(fitted: Fitted, spark: SparkSession, path: str) -> None:
+    """Store a trained classifier below ``path``."""
+    kind, detail = "points", str(fitted.k)
+    if fitted.model is not None:
+        kind, detail = "model", f"{type(fitted.model).__module__}.{type(fitted.model).__name__}"
+        fitted.model.write().overwrite().save(f"{path}/model")
+    elif fitted.weights is not None:
+        kind, detail = "weights", json.dumps(fitted.weights)
+    else:
+        fitted.points.write.mode("overwrite").parquet(f"{path}/points")
+    about = spark.createDataFrame([(kind, detail)], "kind string, detail string")
+    about.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    about = spark.read.schema("kind string, detail string").json(f"{path}/about").first()
+    if about["kind"] == "model":
+        return _from_model(getattr(classification, about["detail"].rsplit(".", 1)[1]).load(f"{path}/model"))
+    if about["kind"] == "weights":
+        return _from_weights(json.loads(about["detail"]))
+    return _from_points(spark.read.parquet(f"{path}/points"), int(about["detail"]))
+
+
 # ---- evaluation ------------------------------------------------------------------------------------------------
 
 

@@ -18,13 +18,13 @@ from screenloom.plans import fixtures as fx
 from screenloom.plans.oracle_inputs import r, with_inputs
 from screenloom.plans.registry import query
 
-_PREPARED: dict[tuple[int, str], Prepared] = {}
+_PREPARED: dict[tuple[str, str], Prepared] = {}
 _VECTORS = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 
 
 def prepared(spark, d) -> Prepared:
     """Prepared rows, made once per session and data set."""
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _PREPARED:
         _PREPARED[key] = prepare(fx.candidates(spark, d), "candidate_id")
     return _PREPARED[key]

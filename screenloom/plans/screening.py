@@ -14,11 +14,11 @@ from screenloom.plans.oracle_inputs import norm, r, with_inputs
 from screenloom.plans.registry import query
 from screenloom.sources import candidates as src
 
-_MATCHERS: dict[int, sk.Matcher] = {}
+_MATCHERS: dict[str, sk.Matcher] = {}
 
 
 def starter_matcher(spark: SparkSession) -> sk.Matcher:
-    key = id(spark)
+    key = spark.sparkContext.applicationId
     if key not in _MATCHERS:
         _MATCHERS[key] = sk.Matcher.build(sk.starter_entries(spark))
     return _MATCHERS[key]

@@ -98,7 +98,6 @@ def test_prepare_save_and_load(spark, sf_dir, tmp_path):
     assert again == ready.fitted
     features = ft.build_features(people, "candidate_id", again.config)
     assert again.transform(features, ["candidate_id"]).columns == ["candidate_id", *out]
-    # No fitted median may come from test rows only, so medians of scaled training columns are near zero.
     assert again.metadata()["n_features_out"] == len(out)
 
 
@@ -191,7 +190,7 @@ def test_implied_skills(spark):
     assert sm.implied_skills(texts, skills.limit(0), "id", "v", "f").count() == 0
 
 
-def test_every_model_learns(spark):
+def test_every_model_learns(spark, tmp_path):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(160, 3))
     y = (x[:, 0] + x[:, 1] > 0).astype(int)
@@ -205,6 +204,9 @@ def test_every_model_learns(spark):
         values = {r.metric: r.value for r in metrics.collect()}
         assert values["test_accuracy"] > 0.75 and 0.8 < values["roc_auc"] <= 1, name
         assert tested.where("score < 0 OR score > 1").count() == 0
+        md.save(fitted, spark, str(tmp_path / name))
+        again = md.load(spark, str(tmp_path / name))
+        assert md.predictions(again, name, test).exceptAll(tested).count() == 0, name
         if name == "RandomForest":
             top = md.feature_importance(fitted, ["a", "b", "c"], spark, 2).collect()
             assert {r.feature for r in top} == {"a", "b"}
