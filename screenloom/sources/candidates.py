@@ -30,17 +30,20 @@ PROFILE_NAMES = {
 
 
 def read_profiles(spark: SparkSession, path: str, file_format: str = "csv", id_column: str | None = None) -> DataFrame:
-    """Profiles with a ``candidate_id``: the named column, else a number that follows the rows of each file."""
+    """Profiles with ``ord``, a number that follows the rows, and ``candidate_id``: the named column, else ord + 1.
+
+    The numbers increase with the rows; they are dense where the input is one partition.
+    """
     schema = PROFILE_SCHEMA + (f", {id_column} string" if id_column else "")
     reader = spark.read.schema(schema)
     if file_format == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
         reader = reader.option("enforceSchema", False)
     raw = reader.format(file_format).load(path)
-    # 1-based; unique and increasing, and dense when the file is one partition.
-    ident = F.col(id_column) if id_column else (F.monotonically_increasing_id() + 1).cast("string")
+    numbered = raw.withColumn("ord", F.monotonically_increasing_id())
+    ident = F.col(id_column) if id_column else (F.col("ord") + 1).cast("string")
     columns = [F.col(old).alias(new) for old, new in PROFILE_NAMES.items()]
-    return raw.select(ident.alias("candidate_id"), *columns)
+    return numbered.select(ident.alias("candidate_id"), "ord", *columns)
 
 
 def as_candidates(profiles: DataFrame) -> DataFrame:
@@ -52,6 +55,7 @@ def as_candidates(profiles: DataFrame) -> DataFrame:
     default_name = F.concat(F.lit("Candidate_"), "candidate_id")
     return profiles.select(
         "candidate_id",
+        "ord",
         F.coalesce("name", default_name).alias("name"),
         text.alias("resume_text"),
         F.coalesce("experience_years", F.lit(0.0)).alias("experience_years"),

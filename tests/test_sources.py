@@ -26,6 +26,7 @@ def test_candidate_file(spark, tmp_path):
         'Skills: Python, SQL. Certifications: None. Objective: A "data" role'
     )
     assert (empty.name, empty.experience_years) == ("Candidate_2", 0.0)
+    assert (ann.ord, empty.ord) == (0, 1)
 
 
 def test_sample_is_exact_and_stable(spark):
