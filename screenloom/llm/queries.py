@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenloom.llm import substring
+from screenloom.llm import embed_dedup, mixing, quality_gam, secret_scan, simhash, substring, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,19 @@ def register(query: Query) -> Query:
     return query
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    used = mixing.realise(docs.select("doc_id", "source"), mixing.plan(docs))
+    return used.withColumnsRenamed({"_epoch": "epoch", "_block": "block", "_mix_key": "mix_key", "_weight": "weight"})
+
+
 @register
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(_read(spark, sf_dir, "documents"))
@@ -51,3 +64,35 @@ SELECT doc_id, len(words)::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
     sha256(array_to_string(kept, ' ')) AS kept_sha256
 FROM kept
 """
+
+
+@register
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
+@register
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
+@register
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_read(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+
+
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+@register
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.train(docs, _read(spark, sf_dir, "labels")))
+
+
+@register
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)

@@ -15,8 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+BLANKS = b" \t\n\x0b\x0c\r"
 _SEGMENT = 1 << 20  # bytes hashed at once; longer words are hashed one by one
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2^64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -57,9 +56,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def scan(texts: pa.Array) -> Words:
+def scan(texts: pa.Array, separators: bytes = BLANKS) -> Words:
+    """Words are runs without any of ``separators`` (ASCII)."""
     data, offsets = text_bytes(texts)
-    inside = ~_SEPARATOR[data]
+    table = np.ones(256, dtype=bool)
+    table[list(separators)] = False
+    inside = table[data]
     begins, closes = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
