@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenloom.llm import embed_dedup, mixing, quality_gam, secret_scan, simhash, substring, token_files, toxicity
+from screenloom.llm import decontam, embed_dedup, lm_score, mixing, quality_gam, secret_scan, simhash, substring, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +96,13 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@register
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@register
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
