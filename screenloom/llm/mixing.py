@@ -139,7 +139,7 @@ def plan(
     total = totals.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         none = ["0L as weight", "0L as budget", "1L as blocks", "0L as epochs", "0L as cut_place", "0L as cut_block", "0L as cut_doc"]
-        return Mixture(totals.selectExpr("_key", "tokens", *none), 1.0, 0, seed)
+        return Mixture(totals.selectExpr("_key", "tokens", *none).limit(0), 1.0, 0, seed)  # nothing to use
     budget = total if budget is None else budget
     shares = totals.where("tokens > 0").withColumn("log_share", F.log(F.col("tokens") / F.lit(float(total))))
     exponent = find_exponent(shares, budget / total, entropy_share, max_repeats)
@@ -174,30 +174,38 @@ def _cuts(sizes: DataFrame, weighed: DataFrame, seed: int) -> DataFrame:
 
 
 def realise(docs: DataFrame, mixture: Mixture, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with a row per use, and the columns _epoch, _block, _mix_key and _weight.
+    """``docs`` with a row per use, and the columns _mix_epoch, _mix_block, _mix_key and _mix_weight.
 
     Sorting by _mix_key (0 to 1) interleaves the sources at their weights: blocks in their order of the epoch,
     documents in theirs within the block. No text is shuffled; the sources, one short row each, are joined by their
-    size. Rows that share an id are used equally often. An empty table gives an empty result.
+    size. Rows that share an id are used equally often. An empty table gives an empty result. If ``docs`` has columns
+    that begin with _mix, the added ones begin with one more underscore.
     """
-    seed = mixture.seed
-    names = [c for c in docs.columns if c not in ("_epoch", "_block", "_mix_key", "_weight")]
-    rows = mixture.sources.select("_key", "tokens", "weight", "budget", "blocks", "epochs", "cut_place", "cut_block", "cut_doc")
-    rows = rows.select(*[F.col(c).alias(f"_m_{c}") for c in rows.columns])
-    joined = docs.select(*names, _key(source).alias("_m_own")).join(rows, F.col("_m_own") == F.col("_m__key")).drop("_m_own")
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.col("_m_blocks"))
-    place = lambda epoch: F.xxhash64(F.lit(seed), F.lit("block"), "_m__key", epoch, "_block")
-    last = F.col("_m_epochs")
-    at = joined.withColumn("_block", block).withColumn("_m_at", place(last)).withColumn("_m_doc", _within(seed, last, doc_id))
-    inside = F.col("_m_at") < F.col("_m_cut_place")
-    edge = (F.col("_m_at") == F.col("_m_cut_place")) & (F.col("_block") == F.col("_m_cut_block"))
-    edge &= F.col("_m_cut_doc").isNull() | (F.col("_m_doc") < F.col("_m_cut_doc"))
-    uses = last + F.when(inside | edge, 1).otherwise(0)
-    used = at.withColumn("_m_uses", uses).where("_m_uses > 0")
-    used = used.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m_uses") - 1)))
-    turn = _unit(place(F.col("_epoch")).bitwiseXOR(F.lit(-(1 << 63))))
-    fine = _unit(_within(seed, F.col("_epoch"), doc_id)) / F.col("_m_blocks")
-    length = F.greatest(F.col("_m_budget") / F.col("_m_tokens"), F.lit(1e-12))
-    along = (F.col("_epoch") + (turn * (F.col("_m_blocks") - 1) + fine * F.col("_m_blocks")) / F.col("_m_blocks")) / length
-    used = used.withColumn("_mix_key", F.least(along, F.lit(1.0))).withColumn("_weight", F.col("_m_weight").cast("double"))
-    return used.select(*names, "_epoch", "_block", "_mix_key", "_weight")
+    seed, names = mixture.seed, docs.columns
+    pre = "_mix"
+    while any(c.lower().startswith(pre) for c in names):
+        pre = f"_{pre}"
+    own = lambda c: F.col(f"{pre}_{c}")
+    kept = ["tokens", "weight", "budget", "blocks", "epochs", "cut_place", "cut_block", "cut_doc"]
+    rows = mixture.sources.select(F.col("_key").alias(f"{pre}_of"), *[F.col(c).alias(f"{pre}_{c}") for c in kept])
+    joined = docs.withColumn(f"{pre}_own", _key(source)).join(rows, own("own") == own("of"))
+    block = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), own("blocks"))
+    place = lambda epoch: F.xxhash64(F.lit(seed), F.lit("block"), own("of"), epoch, own("block"))
+    last = own("epochs")
+    at = joined.withColumn(f"{pre}_block", block)
+    inside = place(last) < own("cut_place")
+    edge = (place(last) == own("cut_place")) & (own("block") == own("cut_block"))
+    edge &= own("cut_doc").isNull() | (_within(seed, last, doc_id) < own("cut_doc"))
+    used = at.withColumn(f"{pre}_uses", last + F.when(inside | edge, 1).otherwise(0)).where(own("uses") > 0)
+    used = used.withColumn(f"{pre}_epoch", F.explode(F.sequence(F.lit(0).cast("long"), own("uses") - 1)))
+    turn = _unit(place(own("epoch")).bitwiseXOR(F.lit(-(1 << 63))))
+    fine = _unit(_within(seed, own("epoch"), doc_id))
+    length = F.greatest(own("budget") / own("tokens"), F.lit(1e-12))
+    along = (own("epoch") + (turn * (own("blocks") - 1) + fine) / own("blocks")) / length
+    return used.select(
+        *[F.col(f"`{c}`") for c in names],
+        own("epoch"),
+        own("block"),
+        F.least(along, F.lit(1.0)).alias(f"{pre}_key"),
+        own("weight").cast("double").alias(f"{pre}_weight"),
+    )

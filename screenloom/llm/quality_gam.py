@@ -36,17 +36,24 @@ def _class(table: np.ndarray, characters: str) -> np.ndarray:
     return table[:, [ord(c) for c in characters]].sum(axis=1)
 
 
+def _most(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """Greatest value per text (``text`` ascending); zero without any."""
+    most = np.zeros(texts)
+    if len(values):
+        heads = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        most[text[heads]] = np.maximum.reduceat(values, heads)
+    return most
+
+
 def _repeats(keys: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: how many different keys, and how often the commonest stands."""
-    distinct, top = np.zeros(texts), np.zeros(texts)
-    if len(keys):
-        order = np.lexsort((keys, text))
-        k, t = keys[order], text[order]
-        heads = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
-        size = np.diff(np.append(heads, len(k)))
-        np.add.at(distinct, t[heads], 1)
-        np.maximum.at(top, t[heads], size)
-    return distinct, top
+    """Per text: how many different keys, and how often the commonest stands. 40 bits tell the keys of a text apart."""
+    if not len(keys):
+        return np.zeros(texts), np.zeros(texts)
+    k = np.sort((text.astype(np.uint64) << np.uint64(40)) | (keys >> np.uint64(24)))
+    heads = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(np.append(heads, len(k)))
+    where = (k[heads] >> np.uint64(40)).astype(np.int64)
+    return np.bincount(where, minlength=texts).astype(float), _most(size, where, texts)
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -63,8 +70,7 @@ def features(texts: pa.Array) -> np.ndarray:
     per_word = lambda v: np.bincount(text, v, minlength=n) / np.maximum(words, 1)
     per_byte = lambda v: v / np.maximum(size, 1)
     mean = per_word(length)
-    longest = np.zeros(n)
-    np.maximum.at(longest, text, length)
+    longest = _most(length, text, n)
     hashes = word_hashes(w)
     distinct, top = _repeats(hashes, text, n)
     shares = []

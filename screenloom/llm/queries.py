@@ -32,7 +32,8 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     used = mixing.realise(docs.select("doc_id", "source"), mixing.plan(docs))
-    return used.withColumnsRenamed({"_epoch": "epoch", "_block": "block", "_mix_key": "mix_key", "_weight": "weight"})
+    added = {"_mix_epoch": "epoch", "_mix_block": "block", "_mix_key": "mix_key", "_mix_weight": "weight"}
+    return used.withColumnsRenamed(added)
 
 
 @register

@@ -218,8 +218,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """The documents whose doc_id names their component; all columns. Rows without id stay, and of rows that repeat an
     id one stays, chosen by a hash of its columns."""
     found = near_duplicates(docs, shingle, distance)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.where("doc_id is not null").join(heads, F.col("doc_id") == F.col("_head"), "left_semi")
+    head, copy = "_head", "_copy"
+    while {head, copy} & {c.lower() for c in docs.columns}:
+        head, copy = f"_{head}", f"_{copy}"
+    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias(head)).distinct()
+    kept = docs.where("doc_id is not null").join(heads, F.col("doc_id") == F.col(head), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    single = kept.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
+    single = kept.withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).drop(copy)
     return single.union(docs.where("doc_id is null"))

@@ -178,9 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
 
     rows = sample.mapInArrow(run, "doc_id long, label int, votes binary").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    fired = np.frombuffer(b"".join(rows["votes"].to_pylist()), "<u2").reshape(len(order), -1)[order].astype(float)
-    target = (rows["label"].to_numpy()[order] > 0).astype(float)
     width = len(keys) + len(STYLE)
+    fired = np.frombuffer(b"".join(rows["votes"].to_pylist()), "<u2").reshape(-1, width)[order].astype(float)
+    target = (rows["label"].to_numpy()[order] > 0).astype(float)
     if not 0 < target.sum() < len(target):
         mean = (target.sum() + 1) / (len(target) + 2)
         return ToxicityModel(keys, [names[k] for k in keys], np.append(np.zeros(width), np.log(mean / (1 - mean))))
