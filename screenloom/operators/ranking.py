@@ -16,7 +16,7 @@ TIE_BLOCK = 1 << 16
 
 def job_skills(jobs: DataFrame, matcher: Matcher) -> DataFrame:
     """Jobs with their skills and required experience."""
-    with_skills = matcher.skills(jobs, "jd_text", "jd_id", out="jd_skills")
+    with_skills = matcher.skills(jobs, "jd_text", out="jd_skills")
     return with_skills.withColumn("required_years", required_experience(F.col("jd_text")))
 
 
@@ -79,7 +79,7 @@ def rank_candidates(
     candidates: DataFrame, jobs: DataFrame, applications: DataFrame, matcher: Matcher
 ) -> DataFrame:
     """Extract skills of both sides, score and rank every application."""
-    with_skills = matcher.skills(candidates, "resume_text", "candidate_id").drop("resume_text")
+    with_skills = matcher.skills(candidates, "resume_text").drop("resume_text")
     scored = score_applications(with_skills, job_skills(jobs, matcher), applications)
     return rank(stage(scored.drop("jd_text"), "scored"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import json
+import re
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +15,11 @@ from screenloom.dims.taxonomy import STARTER_TAXONOMY
 from screenloom.functions.scores import breadth_bonus, jd_coverage
 from screenloom.functions.text import normalize_text, strip
 
-ENTRY_SCHEMA = "ord long, category string, canonical string, aliases array<string>"
+# ``ord`` is a path (source, file, category, place ...), compared part by part, so nothing is packed or overflows.
+ENTRY_SCHEMA = "ord array<long>, category string, canonical string, aliases array<string>"
 WORD = r"\w+"  # ASCII letters, digits and underscore, as in the boundary test
-WORD_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
 EDGES = ("(?<![a-z0-9_])", "(?![a-z0-9_])")
-MAX_INLINE_VARIANTS = 20_000
+BLOCK_VARIANTS = 100_000  # variants that one matcher column holds
 
 
 # ---- taxonomy tables -------------------------------------------------------------------------------------------
@@ -25,16 +28,15 @@ MAX_INLINE_VARIANTS = 20_000
 def starter_entries(spark: SparkSession) -> DataFrame:
     """The starter taxonomy, one row per registration."""
     flat = [(c, s, a) for c, skills in STARTER_TAXONOMY.items() for s, a in skills.items()]
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(flat)], ENTRY_SCHEMA)
+    return spark.createDataFrame([([i], *row) for i, row in enumerate(flat)], ENTRY_SCHEMA)
 
 
 def merge_entries(base: DataFrame, *extra: DataFrame) -> DataFrame:
-    """Register ``extra`` after ``base``; the order of each input is kept."""
-    merged = base.select(F.lit(0).alias("_source"), "*")
-    for i, entries in enumerate(extra, start=1):
-        merged = merged.unionByName(entries.select(F.lit(i).alias("_source"), "*"))
-    # The source number leads the order, so no global numbering is needed.
-    return merged.withColumn("ord", F.col("_source") * F.lit(1 << 40) + F.col("ord")).drop("_source")
+    """Register ``extra`` after ``base``; the order of each input is kept, also of inputs that were merged before."""
+    merged = [
+        e.withColumn("ord", F.concat(F.array(F.lit(i).cast("long")), F.col("ord"))) for i, e in enumerate([base, *extra])
+    ]
+    return reduce(DataFrame.unionByName, merged)
 
 
 def entries_table(entries: DataFrame) -> DataFrame:
@@ -81,13 +83,8 @@ def variant_table(entries: DataFrame) -> DataFrame:
     return clean.groupBy("variant").agg(F.min_by("canonical", F.struct("ord", "pos")).alias("canonical"))
 
 
-def _pattern(variant: Column) -> Column:
-    """Boundary pattern of a variant."""
-    return F.concat(F.lit(EDGES[0] + r"\Q"), variant, F.lit(r"\E" + EDGES[1]))
-
-
 def matcher_table(variants: DataFrame) -> DataFrame:
-    """Variants keyed by their first word, the join key against the words of a text.
+    """Variants keyed by their first word.
 
     ``phrase`` is null for a plain word, which equals a whole word of the text.
     """
@@ -96,90 +93,61 @@ def matcher_table(variants: DataFrame) -> DataFrame:
     return variants.select(F.regexp_extract(variant, WORD, 0).alias("head"), phrase.alias("phrase"), "canonical")
 
 
-def _occurs(text: Column, phrase: Column) -> Column:
-    """Whether a phrase occurs with no word character at its edges.
+# ---- extraction ------------------------------------------------------------------------------------------------
 
-    A substring search settles most cases; the pattern runs only where the first occurrence is part of a longer word.
-    """
-    place = F.position(phrase, text)
-    before = F.when(place > 1, F.substr(text, place - 1, F.lit(1))).otherwise("")
-    after = F.substr(text, place + F.length(phrase), F.lit(1))
 
-    def edge(character: Column) -> Column:
-        return (character == "") | ~F.contains(F.lit(WORD_CHARACTERS), character)
+class _Block:
+    """Some variants by their first word. The cost of a text follows its words, not the taxonomy."""
 
-    return F.contains(text, phrase) & ((edge(before) & edge(after)) | F.regexp_like(text, _pattern(phrase)))
+    def __init__(self, rows: list[tuple[str, str | None, str]]):
+        self.by_head: dict[str, list[tuple[str | None, str]]] = {}
+        for head, phrase, canonical in rows:
+            self.by_head.setdefault(head, []).append((phrase, canonical))
 
+    def find(self, text: str | None) -> list[str]:
+        if text is None:
+            return []
+        found = set()
+        for head in {*re.findall(WORD, text, re.ASCII), ""}:
+            for phrase, canonical in self.by_head.get(head, ()):
+                if canonical not in found and (phrase is None or _occurs(text, phrase)):
+                    found.add(canonical)
+        return sorted(found)
 
-# ---- extraction ------------------------------------------------------------------------------------------------
+
+def _occurs(text: str, phrase: str) -> bool:
+    """Whether a phrase occurs with no word character at its edges. A substring search settles most cases."""
+    return phrase in text and re.search(EDGES[0] + re.escape(phrase) + EDGES[1], text) is not None
 
 
 @dataclass(frozen=True)
 class Matcher:
-    """Compiled variants. Small sets sit in the plan as one literal; large ones stay a table that is joined."""
+    """Compiled variants, in blocks of bounded size. A taxonomy of any size is matched by the same map-only plan, in
+    batches and streams: one column of found skills per block, united per row."""
 
-    inline: str | None
-    heads: tuple[str, ...]
-    table: DataFrame
+    blocks: tuple[_Block, ...]
 
     @staticmethod
-    def build(entries: DataFrame, max_inline: int = MAX_INLINE_VARIANTS) -> Matcher:
-        table = matcher_table(variant_table(entries))
-        rows = table.orderBy("head", "canonical", "phrase").limit(max_inline + 1).collect()
-        if len(rows) > max_inline:
-            return Matcher(None, (), table)
-        by_head: dict[str, list[dict]] = {}
-        for row in rows:
-            by_head.setdefault(row["head"], []).append({"phrase": row["phrase"], "canonical": row["canonical"]})
-        return Matcher(json.dumps(by_head), tuple(by_head), table)
-
-    def skills(self, df: DataFrame, text: str, id_column: str, out: str = "skills") -> DataFrame:
-        """Add the sorted canonical skills found in ``text``."""
-        if self.inline is None:
-            return _join_skills(df, text, id_column, self.table, out)
-        return _inline_skills(df, text, self, out)
-
-
-def _words(normalized: str) -> Column:
-    return F.regexp_extract_all(F.col(normalized), F.lit(f"({WORD})"), F.lit(1))
-
-
-def _inline_skills(df: DataFrame, text: str, matcher: Matcher, out: str) -> DataFrame:
-    """Map-only plan: words that start a variant, then the boundary test where the variant is more than a word."""
-    schema = "map<string,array<struct<phrase:string,canonical:string>>>"
-    lookup = F.from_json(F.lit(matcher.inline), schema)
-    heads = F.array(*[F.lit(h) for h in matcher.heads if h])
-    hit_heads = F.array_intersect(_words("_norm"), heads)
-    if "" in matcher.heads:
-        hit_heads = F.concat(hit_heads, F.array(F.lit("")))
-    candidates = F.flatten(F.transform("_heads", lambda h: F.element_at(lookup, h)))
-    hits = F.filter(candidates, lambda c: c["phrase"].isNull() | _occurs(F.col("_norm"), c["phrase"]))
-    return (
-        df.withColumn("_norm", normalize_text(F.col(text)))
-        .withColumn("_heads", hit_heads)
-        .withColumn(out, F.array_sort(F.array_distinct(F.transform(hits, lambda c: c["canonical"]))))
-        .drop("_norm", "_heads")
-    )
-
-
-def _join_skills(df: DataFrame, text: str, id_column: str, table: DataFrame, out: str) -> DataFrame:
-    """The same result through an equi-join of words and variant heads, for a taxonomy of any size.
-
-    Only (id, word) pairs meet the taxonomy; each text is then tested once, against its own candidates.
-    """
-    normalized = df.withColumn("_norm", normalize_text(F.col(text)))
-    words = F.concat(F.array(F.lit("")), F.array_distinct(_words("_norm")))
-    candidates = (
-        normalized.select(F.col(id_column).alias("_id"), F.explode(words).alias("head"))
-        .join(table, "head")
-        .groupBy("_id")
-        .agg(F.collect_set(F.struct(F.coalesce("phrase", F.lit("")).alias("phrase"), "canonical")).alias("_found"))
-    )
-    hits = F.filter("_found", lambda c: (c["phrase"] == "") | _occurs(F.col("_norm"), c["phrase"]))
-    skills = F.array_sort(F.array_distinct(F.transform(hits, lambda c: c["canonical"])))
-    joined = normalized.join(candidates, F.col(id_column) == F.col("_id"), "left")
-    none = F.array().cast("array<string>")
-    return joined.withColumn(out, F.coalesce(skills, none)).drop("_norm", "_id", "_found")
+    def build(entries: DataFrame, block_variants: int = BLOCK_VARIANTS) -> Matcher:
+        rows = matcher_table(variant_table(entries)).orderBy("head", "canonical", "phrase").toLocalIterator()
+        blocks = []
+        while some := [tuple(r) for r in islice(rows, block_variants)]:
+            blocks.append(_Block(some))
+        return Matcher(tuple(blocks))
+
+    def skills(self, df: DataFrame, text: str, out: str = "skills") -> DataFrame:
+        """Add the sorted canonical skills found in ``text``; a null text has none."""
+        none = F.array().cast("array<string>")
+        found = [_finder(block)(normalize_text(F.col(text))) for block in self.blocks]
+        return df.withColumn(out, F.array_sort(reduce(F.array_union, found, none)))
+
+
+def _finder(block: _Block):
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(block.find)
+
+    return find
 
 
 def add_implied(df: DataFrame, implied: DataFrame, id_column: str, skills: str = "skills") -> DataFrame:

@@ -175,7 +175,7 @@ def numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A taxonomy from the part catalogue: type -> name -> brand and sized name."""
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("ord"),
+        F.array(F.col("p_partkey").cast("long")).alias("ord"),
         F.col("p_type").alias("category"),
         F.col("p_name").alias("canonical"),
         F.array("p_brand", F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("aliases"),

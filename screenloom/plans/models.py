@@ -87,7 +87,7 @@ def semantic_join(spark, d):
 def extract_all_skills(spark, d):
     """Found skills of a document together with those its vector implies."""
     matcher = sk.Matcher.build(sk.starter_entries(spark))
-    found = matcher.skills(fx.documents(spark, d), "text", "doc_id").select("doc_id", "skills")
+    found = matcher.skills(fx.documents(spark, d), "text").select("doc_id", "skills")
     extra = implied(spark, d).select(F.col("vec_id").alias("doc_id"), "implied_skill")
     both = sk.add_implied(found, extra, "doc_id")
     return both.select("doc_id", F.array_join("skills", "|").alias("skills"))

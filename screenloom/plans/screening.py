@@ -12,16 +12,12 @@ from screenloom.operators import skills as sk
 from screenloom.plans import fixtures as fx
 from screenloom.plans.oracle_inputs import norm, r, with_inputs
 from screenloom.plans.registry import query
+from screenloom.session import new_path
 from screenloom.sources import candidates as src
-
-_MATCHERS: dict[str, sk.Matcher] = {}
-
+from screenloom.sources.taxonomy import read_taxonomy, write_taxonomy
 
 def starter_matcher(spark: SparkSession) -> sk.Matcher:
-    key = spark.sparkContext.applicationId
-    if key not in _MATCHERS:
-        _MATCHERS[key] = sk.Matcher.build(sk.starter_entries(spark))
-    return _MATCHERS[key]
+    return sk.Matcher.build(sk.starter_entries(spark))
 
 
 def joined(column: str) -> F.Column:
@@ -30,7 +26,7 @@ def joined(column: str) -> F.Column:
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     matcher = starter_matcher(spark)
-    people = matcher.skills(fx.resumes(spark, d), "resume_text", "candidate_id").drop("resume_text")
+    people = matcher.skills(fx.resumes(spark, d), "resume_text").drop("resume_text")
     return rk.score_applications(people, rk.job_skills(fx.jobs(spark, d), matcher), fx.applications(spark, d))
 
 
@@ -197,7 +193,7 @@ _SKILLS = """SELECT {id}, coalesce(string_agg(canonical, '|' ORDER BY canonical)
 
 @query("extract_skills", with_inputs("docs doc_hits", _SKILLS.format(id="doc_id", src="docs", hits="doc_hits")))
 def extract(spark, d):
-    found = starter_matcher(spark).skills(fx.documents(spark, d), "text", "doc_id")
+    found = starter_matcher(spark).skills(fx.documents(spark, d), "text")
     return found.select("doc_id", joined("skills").alias("skills"))
 
 
@@ -205,25 +201,66 @@ def extract(spark, d):
     "extract_skills_joined", with_inputs("docs doc_hits", _SKILLS.format(id="doc_id", src="docs", hits="doc_hits"))
 )
 def extract_joined(spark, d):
-    matcher = sk.Matcher.build(sk.starter_entries(spark), max_inline=0)
-    found = matcher.skills(fx.documents(spark, d), "text", "doc_id")
+    """The same with the variants in many blocks, as a taxonomy of any size is matched."""
+    matcher = sk.Matcher.build(sk.starter_entries(spark), block_variants=100)
+    found = matcher.skills(fx.documents(spark, d), "text")
     return found.select("doc_id", joined("skills").alias("skills"))
 
 
+# Three sources: the starter values, a file made from the part catalogue, and entries added at run time.
 _MERGED = {
+    "part_file": "SELECT category, canonical, arg_max(aliases, ord) AS aliases, min(ord) AS ord FROM part_entries GROUP BY 1, 2",
+    "part_first": "SELECT *, min(ord) OVER (PARTITION BY category) AS first_ord FROM part_file",
+    "part_places": "SELECT *, row_number() OVER (ORDER BY first_ord, ord) AS place FROM part_first",
     "merged": "SELECT 0 AS src, ord, category, canonical, aliases FROM entries UNION ALL "
-    "SELECT 1, ord, category, canonical, aliases FROM part_entries",
+    "SELECT 1, place, category, canonical, aliases FROM part_places UNION ALL "
+    "SELECT 2, n_nationkey, 'Places', n_name, ['py', lower(n_name) || ' office'] FROM nation",
     "numbered": "SELECT row_number() OVER (ORDER BY src, ord) AS n, category, canonical, aliases FROM merged",
     "names": """SELECT lower(canonical) AS key, arg_max(canonical, n) AS canonical, arg_max(category, n) AS category,
   arg_max(aliases, n) AS aliases, min(n) AS first FROM numbered GROUP BY 1""",
     "alias_owner": """SELECT alias, arg_min(canonical, (n, pos)) AS canonical FROM (
   SELECT n, canonical, lower(trim(unnest(aliases))) AS alias, generate_subscripts(aliases, 1) AS pos FROM numbered)
   WHERE alias <> '' GROUP BY 1""",
+    "owners": """SELECT variant, canonical FROM (SELECT variant, canonical, row_number() OVER (PARTITION BY variant
+  ORDER BY first, pos) AS rn FROM (SELECT canonical, first, lower(unnest(vs)) AS variant,
+  generate_subscripts(vs, 1) AS pos FROM (SELECT canonical, first, [canonical] || aliases AS vs FROM names)))
+ WHERE rn = 1""",
 }
 
 
 def merged_entries(spark, d):
-    return sk.merge_entries(sk.starter_entries(spark), fx.part_entries(spark, d))
+    path = new_path(spark, "taxonomy")
+    write_taxonomy(fx.part_entries(spark, d), path)
+    nation = fx.table(spark, d, "nation").select(
+        F.array(F.col("n_nationkey").cast("long")).alias("ord"),
+        F.lit("Places").alias("category"),
+        F.col("n_name").alias("canonical"),
+        F.array(F.lit("py"), F.concat(F.lower("n_name"), F.lit(" office"))).alias("aliases"),
+    )
+    return sk.merge_entries(sk.starter_entries(spark), read_taxonomy(spark, path), nation)
+
+
+@query(
+    "extract_skills_part",
+    with_inputs(
+        "entries part_entries",
+        f"""SELECT id, coalesce(string_agg(DISTINCT canonical, '|' ORDER BY canonical), '') AS skills FROM (
+  SELECT id, {norm('text')} AS t FROM (SELECT p_partkey AS id,
+   'Wanted: ' || p_name || ' ' || p_size::VARCHAR || ' or ' || p_brand || ' with python3, Docker' AS text FROM part)) n
+ LEFT JOIN owners o ON contains(t, variant) AND regexp_matches(t,
+  '(^|[^a-z0-9_])' || regexp_escape(variant) || '($|[^a-z0-9_])') GROUP BY 1""",
+        _MERGED,
+    ),
+)
+def extract_part(spark, d):
+    """Texts on parts against the starter values and the whole part catalogue."""
+    wanted = F.concat(
+        F.lit("Wanted: "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" or "), "p_brand",
+        F.lit(" with python3, Docker"),
+    )
+    texts = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), wanted.alias("text"))
+    matcher = sk.Matcher.build(merged_entries(spark, d))
+    return matcher.skills(texts, "text").select("id", joined("skills").alias("skills"))
 
 
 @query(
@@ -265,10 +302,7 @@ def taxonomy_merge(spark, d):
     "variant_owner",
     with_inputs(
         "entries part_entries",
-        """SELECT variant, canonical FROM (SELECT variant, canonical, row_number() OVER (PARTITION BY variant
-  ORDER BY first, pos) AS rn FROM (SELECT canonical, first, lower(unnest(vs)) AS variant,
-  generate_subscripts(vs, 1) AS pos FROM (SELECT canonical, first, [canonical] || aliases AS vs FROM names)))
- WHERE rn = 1""",
+        "SELECT variant, canonical FROM owners",
         _MERGED,
     ),
 )
@@ -321,7 +355,7 @@ def skills_with_category(spark, d):
     ),
 )
 def by_category(spark, d):
-    found = starter_matcher(spark).skills(fx.resumes(spark, d), "resume_text", "candidate_id")
+    found = starter_matcher(spark).skills(fx.resumes(spark, d), "resume_text")
     grouped = sk.skills_by_category(found, sk.starter_entries(spark), "candidate_id")
     return grouped.select("candidate_id", "category", joined("skills").alias("skills"))
 
@@ -516,7 +550,7 @@ def apply_corrections(spark, d):
     ),
 )
 def candidate_preview(spark, d):
-    return rk.preview(starter_matcher(spark).skills(fx.resumes(spark, d), "resume_text", "candidate_id"))
+    return rk.preview(starter_matcher(spark).skills(fx.resumes(spark, d), "resume_text"))
 
 
 @query(

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_FOLDERS: dict[str, str] = {}
 
+def build_session(
+    app: str = "screenloom", cpus: str = "*", shuffle_partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """A local session with the settings the jobs expect. On a cluster, submit with the same settings.
 
-def build_session(app: str = "screenloom", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings the jobs expect. On a cluster, submit with the same settings."""
-    return (
+    ``shared`` becomes ``spark.checkpoint.dir``, the folder that holds intermediate tables.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,29 +25,23 @@ def build_session(app: str = "screenloom", cpus: str = "*", shuffle_partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local session may run without that setting; it then gets a folder of its own.
-    """
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or a part of the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _OWN_FOLDERS:
-        _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="screenloom-")
-    return _OWN_FOLDERS[application]
+    return folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), "screenloom", spark.sparkContext.applicationId)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_folder(spark), "screenloom", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -57,3 +53,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete whatever this application has staged. Tables that read it must have been used by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

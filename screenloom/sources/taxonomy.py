@@ -9,7 +9,10 @@ NESTED = "map<string,map<string,array<string>>>"
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """Registration entries (ord, category, canonical, aliases) in file order; several files follow path order."""
+    """Registration entries (ord, category, canonical, aliases) in file order; several files follow path order.
+
+    ``path`` may be a folder of files, each an object of its own, as ``write_taxonomy`` leaves it.
+    """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     nested = files.select("file", F.from_json("value", NESTED).alias("taxonomy"))
     categories = nested.select("file", F.posexplode("taxonomy").alias("c", "category", "skills"))
@@ -17,9 +20,8 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     # A taxonomy has few files; their rank makes the leading part of the order.
     names = sorted(r["file"] for r in files.select("file").distinct().collect())
     ranks = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("file")) if names else F.lit(0)
-    order = ranks * (1 << 44) + F.col("c") * (1 << 24) + F.col("s")
     return skills.select(
-        order.cast("long").alias("ord"),
+        F.array(*[c.cast("long") for c in (ranks, F.col("c"), F.col("s"))]).alias("ord"),
         "category",
         "canonical",
         F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"),
@@ -27,30 +29,27 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_taxonomy(entries: DataFrame, path: str) -> None:
-    """One JSON object; later registrations of a (category, canonical) pair replace earlier ones."""
+    """A folder with one JSON object per file, categories in registration order over the files; later registrations of
+    a (category, canonical) pair replace earlier ones. One category is the most that a row holds."""
     latest = entries.groupBy("category", "canonical").agg(
         F.max_by("aliases", "ord").alias("aliases"), F.min("ord").alias("ord")
     )
     skills = F.array_sort(F.collect_list(F.struct("ord", "canonical", "aliases")))
     by_category = latest.groupBy("category").agg(F.min("ord").alias("ord"), skills.alias("s")).select(
         "ord",
-        "category",
-        F.map_from_entries(F.transform("s", lambda x: F.struct(x["canonical"], x["aliases"]))).alias("skills"),
-    )
-    # The whole taxonomy is one document by format.
-    everything = F.array_sort(F.collect_list(F.struct("ord", "category", "skills_json")))
-    # Maps cannot be sorted, so categories are serialised before they are put in order.
-    rows = by_category.select("ord", "category", F.to_json("skills").alias("skills_json"))
-    parts = F.transform(
-        everything,
-        lambda x: F.concat(F.substring(F.to_json(F.array(x["category"])), 2, 1 << 20), F.lit(""), x["skills_json"]),
-    )
-    document = rows.agg(parts.alias("p")).select(
-        F.concat(
-            F.lit("{"),
-            # '"Category"]{...}' becomes '"Category": {...}'
-            F.array_join(F.transform("p", lambda x: F.regexp_replace(x, r'^("(?:[^"\\]|\\.)*")\]', "$1: ")), ",\n"),
-            F.lit("}"),
-        ).alias("value")
+        F.create_map(
+            "category", F.map_from_entries(F.transform("s", lambda x: F.struct(x["canonical"], x["aliases"])))
+        ).alias("taxonomy"),
     )
-    document.coalesce(1).write.mode("overwrite").text(path)
+    rows = by_category.repartitionByRange("ord").sortWithinPartitions("ord")
+    # {"A":{..}} and {"B":{..}} of one file become {"A":{..},\n"B":{..}}
+    objects = rows.select(F.to_json("taxonomy").alias("value")).mapInPandas(_one_object, "value string")
+    objects.write.mode("overwrite").text(path)
+
+
+def _one_object(batches):
+    import pandas as pd
+
+    parts = [value[1:-1] for batch in batches for value in batch["value"]]
+    if parts:
+        yield pd.DataFrame({"value": ["{" + ",\n".join(parts) + "}"]})

@@ -15,7 +15,7 @@ def screen_stream(resumes: DataFrame, jobs: DataFrame, matcher: Matcher) -> Data
 
     ``jobs`` is a table with skills (``ranking.job_skills``), joined anew in every micro-batch.
     """
-    with_skills = matcher.skills(resumes, "resume_text", "candidate_id").drop("resume_text")
+    with_skills = matcher.skills(resumes, "resume_text").drop("resume_text")
     scored = with_skills.join(valid_jobs(jobs), "jd_id").withColumns(dict(score_columns()))
     total = s.match_score(
         F.col("jd_coverage"), F.col("keyword_sim"), F.col("breadth_bonus"), F.col("experience_score")

@@ -43,14 +43,14 @@ def matcher(entries):
 
 def extract(spark, matcher, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    return [r.skills for r in matcher.skills(df, "text", "id").orderBy("id").collect()]
+    return [r.skills for r in matcher.skills(df, "text").orderBy("id").collect()]
 
 
 def test_golden_texts(spark, matcher):
     assert extract(spark, matcher, list(GOLDEN)) == [sorted(v) for v in GOLDEN.values()]
 
 
-def test_both_plans_equal_the_scan(spark, entries, matcher):
+def test_extraction_equals_the_scan(spark, entries, matcher):
     variants = [(r.variant, r.canonical) for r in sk.variant_table(entries).collect()]
     rnd = random.Random(3)
     glue = [" ", " ", ", ", "-", "_", ".", "x", "+", "/", "\n", "é"]
@@ -61,9 +61,14 @@ def test_both_plans_equal_the_scan(spark, entries, matcher):
     normalized = [r.n for r in df.select("id", normalize_text(F.col("text")).alias("n")).orderBy("id").collect()]
     expected = [scan(n, variants) for n in normalized]
     assert extract(spark, matcher, texts) == expected
-    joined = sk.Matcher.build(entries, max_inline=0)
-    assert joined.inline is None
-    assert extract(spark, joined, texts) == expected
+    parts = sk.Matcher.build(entries, block_variants=50)
+    assert len(parts.blocks) > 5
+    assert extract(spark, parts, texts) == expected
+
+
+def test_extraction_without_id_or_text(spark, matcher):
+    df = spark.createDataFrame([(None, "Docker and python3"), (None, None), (1, "")], "id long, text string")
+    assert sorted(r.skills for r in matcher.skills(df, "text").collect()) == [[], [], ["Docker", "Python"]]
 
 
 def test_normalize_protects_tokens(spark):
@@ -98,19 +103,33 @@ def test_resolve_prefers_canonical(spark, entries):
 
 def test_taxonomy_extension(spark, entries):
     extra = spark.createDataFrame(
-        [(0, "Emerging Tech", "LangChain", ["langchain", "lang chain"])], sk.ENTRY_SCHEMA
+        [([0], "Emerging Tech", "LangChain", ["langchain", "lang chain"])], sk.ENTRY_SCHEMA
     )
     extended = sk.Matcher.build(sk.merge_entries(entries, extra))
     assert extract(spark, extended, ["We use LangChain with Python."]) == [["LangChain", "Python"]]
 
 
 def test_variant_without_word_characters(spark, entries):
-    extra = spark.createDataFrame([(0, "Marks", "Stars", ["***"])], sk.ENTRY_SCHEMA)
-    for limit in (100_000, 0):
-        matcher = sk.Matcher.build(sk.merge_entries(entries, extra), max_inline=limit)
+    extra = spark.createDataFrame([([0], "Marks", "Stars", ["***"])], sk.ENTRY_SCHEMA)
+    for limit in (100_000, 7):
+        matcher = sk.Matcher.build(sk.merge_entries(entries, extra), block_variants=limit)
         assert extract(spark, matcher, ["rated *** here", "none"]) == [["Stars"], []]
 
 
+def test_order_of_merged_sources(spark, entries, tmp_path):
+    """Starter, then a file, then a runtime entry; nested merges keep the order too."""
+    one = lambda place, name, alias: spark.createDataFrame([([place], "New", name, [alias])], sk.ENTRY_SCHEMA)
+    write_taxonomy(one(5, "Zeta", "shared").union(one(2, "Alpha", "shared")), str(tmp_path / "t"))
+    file = read_taxonomy(spark, str(tmp_path / "t"))
+    owner = lambda e: {r.variant: r.canonical for r in sk.variant_table(e).collect()}["shared"]
+    assert owner(sk.merge_entries(entries, file, one(0, "Late", "shared"))) == "Alpha"
+    assert owner(sk.merge_entries(entries, one(0, "Late", "shared"), file)) == "Late"
+    assert owner(sk.merge_entries(sk.merge_entries(entries, one(9, "First", "shared")), one(0, "Second", "shared"))) == "First"
+    assert owner(sk.merge_entries(entries, sk.merge_entries(one(9, "First", "shared"), one(0, "Second", "shared")))) == "First"
+    replaced = sk.merge_entries(entries, file, one(0, "Alpha", "other"))
+    assert [r.aliases for r in sk.canonical_table(replaced).where("canonical = 'Alpha'").collect()] == [["other"]]
+
+
 def test_taxonomy_files(spark, entries, tmp_path):
     path = str(tmp_path / "taxonomy")
     write_taxonomy(entries, path)
