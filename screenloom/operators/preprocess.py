@@ -14,11 +14,11 @@ from screenloom import __version__
 from screenloom.config import PreprocessConfig
 from screenloom.dims.domain import CLASS_NAMES
 from screenloom.operators.features import noisy, quoted
-from screenloom.operators.quantiles import exact_quantiles, long_values
+from screenloom.operators.quantiles import column_stats, exact_quantiles
 from screenloom.session import stage
 
-GRID = 33
-START_RANGE, MAX_LAMBDA, LAMBDA_WIDTH = (-2.0, 2.0), 24.0, 1e-3
+GRID = 65
+START_RANGE, LAMBDA_BOUND, LAMBDA_WIDTH = (-2.0, 2.0), 24.0, 1e-3
 MIN_VARIANCE = 1e-300
 
 
@@ -27,9 +27,7 @@ MIN_VARIANCE = 1e-300
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
     """Mean and population deviation of every column, in one pass; missing values do not count."""
-    rows = long_values(df, columns).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
-    found = {columns[r["i"]]: (r["m"], r["s"]) for r in rows}
-    return {c: found.get(c, (None, None)) for c in columns}
+    return {c: (s.mean, s.deviation) for c, s in column_stats(df, columns).items()}
 
 
 def clip(value: Column, low: float | None, high: float | None) -> Column:
@@ -55,18 +53,25 @@ def yeo_johnson_value(x: float, lam: float) -> float:
     return -math.log1p(-x) if abs(2 - lam) < 1e-12 else -(math.pow(1 - x, 2 - lam) - 1) / (2 - lam)
 
 
-def fit_yeo_johnson(df: DataFrame, columns: list[str]) -> dict[str, float]:
+def fit_yeo_johnson(
+    df: DataFrame,
+    columns: list[str],
+    spread: dict[str, tuple[float | None, float | None]] | None = None,
+    width: float = LAMBDA_WIDTH,
+    bound: float = LAMBDA_BOUND,
+) -> dict[str, float]:
     """Maximum-likelihood lambda of every column; constant columns keep 1 (identity).
 
-    All columns share each pass: one aggregation gives the likelihood on a grid, then the grid moves or shrinks
-    around the best value.
+    All columns share each pass: one aggregation gives the likelihood on a grid, then the grid moves (no further than
+    ``bound`` either way) or shrinks around the best value, down to ``width``; the top of the parabola through the best
+    point and its neighbours is the result. ``spread`` saves a pass where the moments are known.
     """
-    spread = moments(df, columns)
+    spread = spread or moments(df, columns)
     active = [c for c in columns if spread[c][1]]
     result = dict.fromkeys(columns, 1.0)
     ranges = dict.fromkeys(active, START_RANGE)
     values = df.select(*[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(active)])
-    while wide := [c for c in active if ranges[c][1] - ranges[c][0] > LAMBDA_WIDTH]:
+    while wide := [c for c in active if ranges[c][1] - ranges[c][0] > width]:
         index = {active.index(c): c for c in wide}
         grids = {}
         for i, c in index.items():
@@ -77,11 +82,19 @@ def fit_yeo_johnson(df: DataFrame, columns: list[str]) -> dict[str, float]:
             scores[row["i"]][row["j"]] = _log_likelihood(row, grids[row["i"]][row["j"]])
         for i, column in index.items():
             best = max(range(GRID), key=scores[i].__getitem__)
-            ranges[column] = _next_range(grids[i], best)
-            result[column] = grids[i][best]
+            ranges[column] = _next_range(grids[i], best, bound)
+            result[column] = _top(grids[i], scores[i], best)
     return result
 
 
+def _top(grid: list[float], scores: list[float], best: int) -> float:
+    """The top of the parabola through the best grid point and its neighbours."""
+    if not 0 < best < len(grid) - 1 or not math.isfinite(scores[best - 1] + scores[best + 1]):
+        return grid[best]
+    left, right = scores[best] - scores[best - 1], scores[best] - scores[best + 1]
+    return grid[best] + (grid[1] - grid[0]) * (left - right) / (2 * (left + right)) if left + right > 0 else grid[best]
+
+
 def _likelihoods(values: DataFrame, grids: dict[int, list[float]]) -> DataFrame:
     """Variance of the transformed values per column and grid point.
 
@@ -135,11 +148,11 @@ def _log_likelihood(row, lam: float) -> float:
     return -row["n"] / 2 * math.log(variance) + (lam - 1) * row["logs"]
 
 
-def _next_range(grid: list[float], best: int) -> tuple[float, float]:
+def _next_range(grid: list[float], best: int, bound: float) -> tuple[float, float]:
     width = grid[-1] - grid[0]
-    if best == 0 and grid[0] > -MAX_LAMBDA:
+    if best == 0 and grid[0] > -bound:
         return grid[0] - 2 * width, grid[1]
-    if best == len(grid) - 1 and grid[-1] < MAX_LAMBDA:
+    if best == len(grid) - 1 and grid[-1] < bound:
         return grid[-2], grid[-1] + 2 * width
     return grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
 
@@ -234,21 +247,35 @@ def fit(features: DataFrame, columns: list[str], key: str, cfg: PreprocessConfig
     """
     if noise and cfg.noise_std:
         features = stage(features.withColumns(noisy(columns, key, cfg)), "noisy")
+    stats = column_stats(features, columns)
+    if endless := [c for c in columns if stats[c].negative_infinite or stats[c].positive_infinite]:
+        raise ValueError(f"infinite values in {', '.join(endless)}: replace them or make them missing")
+    rows = features.count()
+    gaps = [c for c in columns if stats[c].n < rows]
+    edge = cfg.winsorize_clip
     bounds = {
-        c: (m - cfg.winsorize_clip * s, m + cfg.winsorize_clip * s) if m is not None else (None, None)
-        for c, (m, s) in moments(features, columns).items()
+        c: (s.mean - edge * s.deviation, s.mean + edge * s.deviation) if s.n else (None, None) for c, s in stats.items()
     }
-    clipped = features.select(*[clip(quoted(c), *bounds[c]).alias(c) for c in columns])
-    rows = features.count()
-    present = long_values(clipped, columns).groupBy("i").count().collect()
-    full = {columns[r["i"]] for r in present if r["count"] == rows}
-    gaps = [c for c in columns if c not in full]
-    fills = {c: q[0].value for c, q in exact_quantiles(clipped, gaps, [0.5]).items()} if gaps else {}
+
+    def clipped(c: str, value: float) -> float:
+        low, high = bounds[c]
+        return value if low is None else min(max(value, low), high)
+
+    # Clipping keeps the order, so order statistics of the clipped values are clipped order statistics.
+    quartiles = {
+        c: [replace(q, lower=clipped(c, q.lower), upper=clipped(c, q.upper)) for q in qs]
+        for c, qs in exact_quantiles(features, columns, [0.25, 0.5, 0.75], stats=stats).items()
+    }
+    fills = {c: quartiles[c][1].value for c in gaps if c in quartiles}
     filled = stage(
-        clipped.select(*[F.coalesce(quoted(c), F.lit(fills.get(c, 0.0))).alias(c) for c in columns]), "filled"
+        features.select(
+            *[F.coalesce(clip(quoted(c), *bounds[c]), F.lit(fills.get(c, 0.0))).alias(c) for c in columns]
+        ),
+        "filled",
     )
+    if gaps:
+        quartiles |= exact_quantiles(filled.select(*[quoted(c) for c in gaps]), gaps, [0.25, 0.5, 0.75])
     lams = fit_yeo_johnson(filled, columns) if cfg.use_power_transform else {}
-    quartiles = exact_quantiles(filled, columns, [0.25, 0.5, 0.75])
     medians = {c: q[1].value for c, q in quartiles.items()}
     fits = []
     for c in columns:
