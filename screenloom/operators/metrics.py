@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenloom.dims.domain import CLASS_NAMES
 from screenloom.functions.hashing import hash32
 from screenloom.functions.scores import rounded
-from screenloom.operators.positions import running_totals, with_position
+from screenloom.operators.positions import running_totals, same_keys_join, with_position
 
 SCORE_BINS = 1024
-MAX_CLASSES = 1000
 HASH_BLOCK = 1 << 16  # 65,536 hash blocks
 
 # Metric names in display order.
@@ -158,16 +155,10 @@ def _shuffled_position(df: DataFrame, key: str, label: str, seed: int | str) ->
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test``: exactly the rounded share of each label, chosen by hash."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    wanted = [x for r in counts for x in (F.lit(r[label]), F.lit(math.floor(r["n"] * test_size + 0.5)))]
-    placed = _shuffled_position(df, key, label, f"{seed}-split")
-    if not counts:
-        return placed.withColumn("is_test", F.lit(False)).drop("_position")
-    test_rows = F.element_at(F.create_map(*wanted), F.col(label))
-    return placed.withColumn("is_test", F.col("_position") <= test_rows).drop("_position")
+    """Add ``is_test``: exactly the rounded share of each label (no label is a class of its own), chosen by hash."""
+    wanted = df.groupBy(label).agg(F.floor(F.count("*") * test_size + 0.5).alias("_wanted"))
+    placed = same_keys_join(_shuffled_position(df, key, label, f"{seed}-split"), wanted, [label])
+    return placed.withColumn("is_test", F.col("_position") <= F.col("_wanted")).drop("_position", "_wanted")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:

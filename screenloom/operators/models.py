@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, classification
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -25,8 +27,7 @@ from screenloom.operators import neighbors as nn
 from screenloom.session import stage
 
 SEED = 42
-TOLERANCE = 1e-3
-ROWS_PER_PARTITION = 50_000
+TOLERANCE = 1e-4
 Predictor = Callable[[DataFrame], DataFrame]  # adds score and yhat
 
 
@@ -57,8 +58,8 @@ def _from_model(model: Model) -> Fitted:
 
 
 def compact(rows: DataFrame) -> DataFrame:
-    """Fewer partitions for small inputs: iterative training runs one job per step over all of them."""
-    return rows.coalesce(max(1, math.ceil(rows.count() / ROWS_PER_PARTITION)))
+    """No more partitions than cores: iterative training runs one job per step over all of them."""
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def mllib(estimator) -> Trainer:
@@ -93,8 +94,8 @@ def calibrated_svc(c: float, max_iter: int, folds: int = 5) -> Trainer:
     def train(rows: DataFrame) -> Fitted:
         folded = stage(mt.stratified_folds(rows, "id", "label", folds, SEED), "folds")
         margin = VectorAssembler(inputCols=["margin"], outputCol="margin_vector")
-        pairs = []
-        for fold in range(folds):
+
+        def one(fold: int) -> tuple:
             part = folded.where(F.col("fold") != fold)
             penalty = 1.0 / (c * max(part.count(), 1))
             svc = LinearSVC(regParam=penalty, maxIter=max_iter, tol=TOLERANCE, standardization=False).fit(
@@ -103,12 +104,19 @@ def calibrated_svc(c: float, max_iter: int, folds: int = 5) -> Trainer:
             held = margin.transform(_margin(svc, folded.where(F.col("fold") == fold)))
             sigmoid = LogisticRegression(featuresCol="margin_vector").fit(held)
             slope, offset = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-            pairs.append((svc.coefficients.toArray().tolist(), float(svc.intercept), slope, offset))
-        return _from_weights(pairs)
+            return svc.coefficients.toArray().tolist(), float(svc.intercept), slope, offset
+
+        return _from_weights(_together(one, range(folds), rows.sparkSession))
 
     return train
 
 
+def _together(work: Callable, items, spark: SparkSession) -> list:
+    """Run independent fits side by side; each is a series of small jobs that leaves cores idle."""
+    with ThreadPoolExecutor(len(items)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(work), i) for i in items]]
+
+
 def _from_weights(pairs: list) -> Fitted:
     return Fitted(lambda df: _averaged_sigmoids(df, pairs), weights=pairs)
 
@@ -158,27 +166,14 @@ def default_models(max_iter_scale: float = 1.0) -> dict[str, Trainer]:
             )
         ),
         "LogisticRegression": logistic(0.5, n(2000)),
-        "LinearSVC": calibrated_svc(0.3, n(100)),
+        "LinearSVC": calibrated_svc(0.3, n(3000)),
         "KNN": knn(11),
         "GradientBoosting": mllib(
             GBTClassifier(maxIter=n(150), maxDepth=4, subsamplingRate=0.8, stepSize=0.05, seed=SEED)
         ),
         "MLP": multilayer([128, 64], n(400)),
     }
-    return models | _boosted_trees()
-
-
-def _boosted_trees() -> dict[str, Trainer]:
-    """XGBoost where it is installed."""
-    try:
-        from xgboost.spark import SparkXGBClassifier
-    except ImportError:
-        return {}
-    estimator = SparkXGBClassifier(
-        n_estimators=200, max_depth=4, learning_rate=0.05, subsample=0.8, colsample_bytree=0.8, reg_lambda=2.0,
-        reg_alpha=0.5, random_state=SEED, features_col="features", label_col="label",
-    )
-    return {"XGBoost": mllib(estimator)}
+    return models
 
 
 # ---- persistence -----------------------------------------------------------------------------------------------
@@ -219,15 +214,14 @@ def predictions(fitted: Fitted, name: str, rows: DataFrame) -> DataFrame:
 def cross_validate(trainer: Trainer, name: str, rows: DataFrame, folds: int = 5) -> DataFrame:
     """(model, cv_mean, cv_std) of the accuracy over stratified folds."""
     folded = stage(mt.stratified_folds(rows, "id", "label", folds, SEED), "folds")
-    parts = []
-    for fold in range(folds):
+
+    def one(fold: int) -> DataFrame:
         fitted = trainer(folded.where(F.col("fold") != fold).drop("fold"))
         held = predictions(fitted, name, folded.where(F.col("fold") == fold).drop("fold"))
-        parts.append(held.withColumn("fold", F.lit(fold)))
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.unionByName(part)
-    return mt.cv_scores(joined, ["model"])
+        return stage(held.withColumn("fold", F.lit(fold)), "held")
+
+    parts = _together(one, range(folds), rows.sparkSession)
+    return mt.cv_scores(reduce(DataFrame.unionByName, parts), ["model"])
 
 
 def evaluate(
@@ -235,7 +229,7 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame, Fitted]:
     """Long metrics (model, metric, value), test predictions, and the fitted model. 0 folds skips validation."""
     fitted = trainer(train)
-    tested = predictions(fitted, name, test)
+    tested = stage(predictions(fitted, name, test), "tested")  # read by several metrics
     accuracy = mt.binary_metrics(predictions(fitted, name, train), ["model"])
     wide = (
         mt.binary_metrics(tested, ["model"])

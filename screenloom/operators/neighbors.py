@@ -1,32 +1,25 @@
-"""Exact nearest neighbours by pivots and the triangle inequality.
+"""Exact nearest neighbours among a bounded set of points.
 
-Points belong to the cell of their nearest pivot. A query knows its distance to every pivot, the size and the radius
-of every cell; that gives an upper bound of its k-th neighbour distance and the cells that may hold a nearer point.
-Queries travel to those cells only. Cells, and the queries that visit a cell, are split into blocks of bounded size,
-so a dense region is shared by many tasks and none holds more than two blocks. A task returns k neighbours per query.
+The points (labelled rows of a classifier, bases of an oversampling) are bounded by a documented parameter and chosen by
+a hash of their id; as one matrix of checked size they go to every task. Queries of any number stream against it in
+Arrow batches: the work is linear in the queries, nothing is replicated or shuffled, and no group can grow hot.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.functions.hashing import hash32
-from screenloom.session import stage
 
-BLOCK = 2048
-MAX_PIVOTS = 64
+MAX_POINTS = 20_000
+_QUERIES = 256  # compared at once
 
 
-@dataclass(frozen=True)
-class _Cells:
-    pivots: np.ndarray  # (m, d)
-    counts: np.ndarray  # (m,) points per cell
-    radius: np.ndarray  # (m,) largest distance to the pivot
+def chosen_points(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
+    """At most ``max_points`` rows, by a hash of the id."""
+    return points.orderBy(hash32("id", seed="points"), "id").limit(max_points)
 
 
 def nearest_neighbors(
@@ -35,144 +28,62 @@ def nearest_neighbors(
     k: int,
     exclude_same_id: bool = False,
     payload: list[str] | None = None,
-    block: int = BLOCK,
-    max_pivots: int = MAX_PIVOTS,
+    max_points: int = MAX_POINTS,
 ) -> DataFrame:
-    """(query_id, rank, distance, id, payload ...): the k nearest points of every query, ties by id.
+    """(query_id, rank, distance, id, payload ...): the k nearest of the chosen points for every query, ties by id.
 
-    Both inputs carry (id bigint, vec array<double>). Payload columns of the points are passed through.
+    Both inputs carry (id bigint, vec array<double>). Payload columns of the points are passed through. Without points
+    there are no neighbours.
     """
     payload = payload or []
-    points = stage(points.select("id", "vec", *payload), "points")
-    queries = stage(queries.select("id", "vec"), "queries")
-    wanted = k + 1 if exclude_same_id else k
-    n = points.count()
-    m = max(1, min(max_pivots, n // block))
-    pivots = np.array([r["vec"] for r in points.orderBy(hash32("id", seed="pivot"), "id").limit(m).collect()], dtype=float)
-    if n == 0:
-        pivots = np.zeros((1, 1))
-    located = _with_cell(points, pivots, payload)
-    stats = located.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
-    cells = _Cells(pivots, np.zeros(len(pivots)), np.zeros(len(pivots)))
-    for row in stats:  # one row per pivot
-        cells.counts[row["cell"]], cells.radius[row["cell"]] = row["n"], row["radius"]
-
-    visits = _visits(queries, cells, wanted)
-    load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    point_blocks = {c: max(1, math.ceil(cells.counts[c] / block)) for c in range(len(pivots))}
-    query_blocks = {c: max(1, math.ceil(load.get(c, 0) / block)) for c in range(len(pivots))}
-
-    def blocks(own: dict[int, int], other: dict[int, int], seed: str, mine: str, theirs: str):
-        def size(table: dict[int, int]):
-            return F.element_at(F.array(*[F.lit(table[c]) for c in range(len(pivots))]), F.col("cell") + 1)
-
-        return [
-            (hash32("id", seed=seed) % size(own)).cast("int").alias(mine),
-            F.explode(F.sequence(F.lit(0), size(other) - 1)).alias(theirs),
-        ]
-
-    left = visits.join(queries, "id").select(
-        "id", "vec", "cell", *blocks(query_blocks, point_blocks, "query", "qb", "pb")
-    )
-    right = located.select(
-        "id", "vec", "cell", *payload, *blocks(point_blocks, query_blocks, "point", "pb", "qb")
-    )
+    table = chosen_points(points.select("id", "vec", *payload), max_points).toArrow().to_pandas()
+    table = table.sort_values("id", ignore_index=True)
+    width = len(table["vec"].iloc[0]) if len(table) else 0
+    matrix = np.array(table["vec"].tolist(), dtype=float).reshape(len(table), width)
+    ids, extras = table["id"].to_numpy(), table[payload]
+    squares = (matrix * matrix).sum(1)
     extra = {f.name: f.dataType.simpleString() for f in points.schema if f.name in payload}
-    schema = "query_id bigint, distance double, id bigint" + "".join(f", {c} {t}" for c, t in extra.items())
-    keys = ["cell", "pb", "qb"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _block_neighbors(k, exclude_same_id, payload), schema
-    )
-    # The window drops all but k rows per query before its shuffle too.
-    window = Window.partitionBy("query_id").orderBy("distance", "id")
-    ranked = near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "distance", "id", *payload)
-
+    schema = "query_id bigint, rank int, distance double, id bigint" + "".join(f", {c} {t}" for c, t in extra.items())
+    shared = queries.sparkSession.sparkContext.broadcast((matrix, ids, squares, extras))
 
-def _with_cell(points: DataFrame, pivots: np.ndarray, payload: list[str]) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
-
-    def locate(batches):
+    def match(batches):
         import numpy as np
 
+        matrix, ids, squares, extras = shared.value
+        take = min(k, len(ids))
         for batch in batches:
-            if len(batch):
-                x = np.stack(batch["vec"].to_numpy()).astype(float)
-                d = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
-                batch["cell"] = d.argmin(1).astype("int32")
-                batch["dist"] = d.min(1)
-                yield batch
-
-    extra = {f.name: f.dataType.simpleString() for f in points.schema if f.name in payload}
-    schema = "id bigint, vec array<double>" + "".join(f", {c} {t}" for c, t in extra.items())
-    return points.mapInPandas(locate, schema + ", cell int, dist double")
-
-
-def _visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
-    """(id, cell) for every cell that may hold one of the k nearest points."""
-    pivots, counts, radius = cells.pivots, cells.counts, cells.radius
-
-    def plan(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["vec"].to_numpy()).astype(float)
-            d = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
-            farthest = d + radius
-            order = farthest.argsort(1)
-            filled = np.take(counts, order).cumsum(1) >= k
-            first = np.where(filled.any(1), filled.argmax(1), d.shape[1] - 1)
-            bound = np.take_along_axis(farthest, np.take_along_axis(order, first[:, None], 1), 1)
-            # The slack covers rounding in the distances.
-            needed = (d - radius <= bound * (1 + 1e-9) + 1e-12) & (counts > 0)
-            rows, cell = needed.nonzero()
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[rows], "cell": cell.astype("int32")})
-
-    return queries.mapInPandas(plan, "id bigint, cell int")
-
-
-def _block_neighbors(k: int, exclude_same_id: bool, payload: list[str]):
-    def run(left, right):
-        import numpy as np
-        import pandas as pd
-
-        columns = ["query_id", "distance", "id", *payload]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=columns)
-        right = right.sort_values("id", ignore_index=True)
-        q = np.stack(left["vec"].to_numpy()).astype(float)
-        p = np.stack(right["vec"].to_numpy()).astype(float)
-        rough = (q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * q @ p.T
-        same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        if exclude_same_id:
-            rough[same] = np.inf
-        take = min(k, len(right))
-        kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        # The product form loses digits; keep everything near the k-th value and measure it directly.
-        slack = 1e-9 * ((q * q).sum(1) + (p * p).sum(1).max() + 1)
-        rows, cols = (np.isfinite(rough) & (rough <= (kth + slack)[:, None])).nonzero()
-        exact = np.empty(len(rows))
-        for start in range(0, len(rows), 100_000):
-            part = slice(start, start + 100_000)
-            diff = q[rows[part]] - p[cols[part]]
-            exact[part] = np.sqrt((diff * diff).sum(1))
-        order = np.lexsort((cols, exact, rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = place < k
-        found = right.iloc[cols[keep]][["id", *payload]].reset_index(drop=True)
-        found.insert(0, "distance", exact[keep])
-        found.insert(0, "query_id", left["id"].to_numpy()[rows[keep]])
-        return found
-
-    return run
-
-
-def classify(test: DataFrame, train: DataFrame, k: int = 11) -> DataFrame:
-    """Vote of the k nearest training rows: (id, score, yhat). ``train`` carries a ``label``."""
-    near = nearest_neighbors(test, train, k, payload=["label"])
+            for start in range(0, len(batch) if take else 0, _QUERIES):
+                part = batch.iloc[start : start + _QUERIES]
+                q = np.stack(part["vec"].to_numpy()).astype(float)
+                own = part["id"].to_numpy()
+                rough = (q * q).sum(1)[:, None] + squares[None, :] - 2 * q @ matrix.T
+                if exclude_same_id:
+                    rough[own[:, None] == ids[None, :]] = np.inf
+                kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
+                # The product form loses digits; keep everything near the k-th value and measure it directly.
+                slack = 1e-9 * ((q * q).sum(1) + squares.max() + 1)
+                rows, cols = (np.isfinite(rough) & (rough <= (kth + slack)[:, None])).nonzero()
+                exact = np.empty(len(rows))
+                for at in range(0, len(rows), 100_000):
+                    some = slice(at, at + 100_000)
+                    diff = q[rows[some]] - matrix[cols[some]]
+                    exact[some] = np.sqrt((diff * diff).sum(1))
+                order = np.lexsort((cols, exact, rows))
+                rows, cols, exact = rows[order], cols[order], exact[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                keep = place < k
+                found = extras.iloc[cols[keep]].reset_index(drop=True)
+                found.insert(0, "id", ids[cols[keep]])
+                found.insert(0, "distance", exact[keep])
+                found.insert(0, "rank", (place[keep] + 1).astype("int32"))
+                found.insert(0, "query_id", own[rows[keep]])
+                yield found
+
+    return queries.select("id", "vec").mapInPandas(match, schema)
+
+
+def classify(test: DataFrame, train: DataFrame, k: int = 11, max_points: int = MAX_POINTS) -> DataFrame:
+    """Vote of the k nearest of the chosen training rows: (id, score, yhat). ``train`` carries a ``label``."""
+    near = nearest_neighbors(test, train, k, payload=["label"], max_points=max_points)
     votes = near.groupBy(F.col("query_id").alias("id")).agg(F.avg(F.col("label").cast("double")).alias("score"))
     return votes.withColumn("yhat", (F.col("score") > 0.5).cast("int"))

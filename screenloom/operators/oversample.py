@@ -1,58 +1,60 @@
-"""Oversampling of the smaller class by points between neighbours."""
+"""Oversampling of the smaller classes by points between neighbours."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.functions.hashing import hash32, hash_uniform
-from screenloom.operators.neighbors import nearest_neighbors
+from screenloom.operators.neighbors import MAX_POINTS, nearest_neighbors
 from screenloom.operators.positions import with_position
 
 COPY_BLOCK = 1024
 HASH_BLOCK = 1 << 16
 
 
-def smote(rows: DataFrame, seed: int = 42, max_neighbors: int = 5) -> DataFrame:
-    """Balance two classes. ``rows`` carry (id bigint, label int, vec array<double>); it is read several times.
+def smote(rows: DataFrame, seed: int = 42, max_neighbors: int = 5, max_points: int = MAX_POINTS) -> DataFrame:
+    """Fill every class up to the largest one. ``rows`` carry (id bigint, label int, vec array<double>); it is read
+    several times.
 
-    Every minority row is a base equally often (the remainder goes to rows chosen by hash). Each new point lies on
-    the segment from its base to one of the base's nearest minority neighbours. The input is returned unchanged
-    where no neighbour exists or nothing is missing.
+    Every row of a smaller class is a base equally often (the remainder goes to rows chosen by hash). Each new point
+    lies on the segment from its base to one of the base's nearest neighbours among at most ``max_points`` rows of
+    its class. A class without a neighbour, or with nothing missing, is left as it is; so are rows without a label.
     """
     rows = rows.select("id", "label", "vec").withColumn("synthetic", F.lit(False))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) != 2:
-        return rows
-    minority = min(counts, key=lambda label: (counts[label], label))
-    small, missing = counts[minority], max(counts.values()) - counts[minority]
-    neighbors = max(1, min(max_neighbors, small - 1))
-    if missing == 0 or small < 2:
-        return rows
-    base = rows.where(F.col("label") == minority).select("id", "vec")
-    near = nearest_neighbors(base, base.withColumn("near", F.col("vec")), neighbors, True, payload=["near"])
+    counts = {r["label"]: r["n"] for r in rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    most = max(counts.values(), default=0)
+    smaller = sorted(label for label, n in counts.items() if 2 <= n < most)
+    made = [_between(rows, label, counts[label], most - counts[label], seed, max_neighbors, max_points) for label in smaller]
+    return reduce(DataFrame.unionByName, made, rows)
+
+
+def _between(rows: DataFrame, label: int, size: int, missing: int, seed: int, max_neighbors: int, max_points: int) -> DataFrame:
+    """``missing`` new rows of one class of ``size`` rows."""
+    base = rows.where(F.col("label") == label).select("id", "vec")
+    neighbors = max(1, min(max_neighbors, size - 1))
+    near = nearest_neighbors(base, base.withColumn("near", F.col("vec")), neighbors, True, ["near"], max_points)
     around = near.groupBy(F.col("query_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "near"))).alias("around")  # at most max_neighbors entries
     )
     hashed = base.withColumn("_hash", hash32("id", seed=f"{seed}-smote"))
     hashed = hashed.withColumn("_block", F.floor(F.col("_hash") / HASH_BLOCK)).withColumn("_all", F.lit(0))
     placed = with_position(hashed, ["_all"], [("_block", True)], [F.col("_hash"), F.col("id")], "_position")
-    copies = F.lit(missing // small) + (F.col("_position") <= missing % small).cast("long")
-    # Few bases may need very many copies: spread blocks of copies over tasks before making them.
+    copies = F.lit(missing // size) + (F.col("_position") <= missing % size).cast("long")
     wanted = placed.select("id", "vec", copies.alias("copies")).where(F.col("copies") > 0).join(around, "id")
+    # Few bases may need very many copies: spread blocks of copies over tasks before making them.
     blocks = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPY_BLOCK))))
-    if missing // small >= COPY_BLOCK:
-        blocks = blocks.repartition("id", "block")
     first = F.col("block") * COPY_BLOCK
     last = F.least(first + COPY_BLOCK, F.col("copies")) - 1
-    copied = blocks.withColumn("copy", F.explode(F.sequence(first, last)))
+    copied = blocks.repartition("id", "block").withColumn("copy", F.explode(F.sequence(first, last)))
     pick = (hash32("id", "copy", seed=f"{seed}-near") % F.size("around") + 1).cast("int")
     made = copied.withColumns(
         {"chosen": F.element_at("around", pick)["near"], "u": hash_uniform("id", "copy", seed=f"{seed}-u")}
     )
     between = F.zip_with("vec", "chosen", lambda x, y: x + F.col("u") * (y - x))
-    new_rows = made.select(
-        "id", F.lit(minority).cast(rows.schema["label"].dataType).alias("label"), between.alias("vec"),
+    return made.select(
+        "id", F.lit(label).cast(rows.schema["label"].dataType).alias("label"), between.alias("vec"),
         F.lit(True).alias("synthetic"),
     )
-    return rows.unionByName(new_rows)

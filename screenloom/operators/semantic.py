@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.42  # fixed value
-MAX_SKILL_VECTORS = 50_000
+BLOCK_SKILLS = 10_000  # skill vectors that go to the tasks at once
 
 
 def centroids(vectors: DataFrame, group: str, prefix: str) -> DataFrame:
@@ -25,17 +27,22 @@ def implied_skills(
 ) -> DataFrame:
     """(id, implied_skill, similarity) for skills at least ``threshold`` close and not among the ``found`` ones.
 
-    Skill vectors follow the taxonomy, not the data; their number is checked before they go to every task. Each
-    batch of texts is one matrix product, so no pairs are formed.
+    Skill vectors go to the tasks in blocks of bounded size, one pass over the texts for each. A batch of texts and a
+    block are one matrix product, so no pairs are formed.
     """
-    rows = skill_vectors.orderBy("skill").limit(MAX_SKILL_VECTORS + 1).collect()
-    if len(rows) > MAX_SKILL_VECTORS:
-        raise ValueError(f"more than {MAX_SKILL_VECTORS} skill vectors: match them in parts")
     schema = f"{id_column} {texts.schema[id_column].dataType.simpleString()}, implied_skill string, similarity double"
-    if not rows:
-        return texts.sparkSession.createDataFrame([], schema)
-    names = np.array([r["skill"] for r in rows], dtype=object)
-    matrix = np.array([r["vec"] for r in rows], dtype=float)
+    rows = skill_vectors.orderBy("skill").toLocalIterator()
+    result = texts.sparkSession.createDataFrame([], schema)
+    while block := list(islice(rows, BLOCK_SKILLS)):
+        result = result.union(_implied_by(block, texts, id_column, vector, found, threshold, schema))
+    return result
+
+
+def _implied_by(
+    block: list, texts: DataFrame, id_column: str, vector: str, found: str, threshold: float, schema: str
+) -> DataFrame:
+    names = np.array([r["skill"] for r in block], dtype=object)
+    matrix = np.array([r["vec"] for r in block], dtype=float)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def match(batches):

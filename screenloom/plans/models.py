@@ -18,16 +18,11 @@ from screenloom.plans import fixtures as fx
 from screenloom.plans.oracle_inputs import r, with_inputs
 from screenloom.plans.registry import query
 
-_PREPARED: dict[tuple[str, str], Prepared] = {}
 _VECTORS = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 
 
 def prepared(spark, d) -> Prepared:
-    """Prepared rows, made once per session and data set."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _PREPARED:
-        _PREPARED[key] = prepare(fx.candidates(spark, d), "candidate_id")
-    return _PREPARED[key]
+    return prepare(fx.candidates(spark, d), "candidate_id")
 
 
 @query(
@@ -37,8 +32,9 @@ def prepared(spark, d) -> Prepared:
         f"""SELECT query_id, id, rank, {r('dist', 5)} AS distance FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS id, list_distance(a.v, b.v) AS dist,
    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
-  FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
-        {"vecs": _VECTORS},
+  FROM vecs a JOIN chosen b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
+        {"vecs": _VECTORS, "chosen": f"""SELECT * FROM vecs
+ ORDER BY substr(md5(vec_id::VARCHAR || '|points'), 1, 8), vec_id LIMIT {nn.MAX_POINTS}"""},
     ),
 )
 def knn_topk(spark, d):
@@ -46,7 +42,7 @@ def knn_topk(spark, d):
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")
     )
     near = nn.nearest_neighbors(points, points, 5, exclude_same_id=True)
-    return near.withColumn("distance", rounded(F.col("distance"), 5))
+    return near.withColumn("rank", F.col("rank").cast("long")).withColumn("distance", rounded(F.col("distance"), 5))
 
 
 _IMPLIED = {

@@ -142,12 +142,11 @@ def vectors(spark, x, ids=None):
     return spark.createDataFrame(rows, "id long, vec array<double>")
 
 
-@pytest.mark.parametrize("block, pivots", [(16, 9), (2048, 64)])
-def test_nearest_neighbors_equal_brute_force(spark, block, pivots):
+def test_nearest_neighbors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(60, 3)) * 0.05 + 4, np.full((80, 3), 9.0)])
     queries = np.concatenate([rng.normal(size=(40, 3)), np.full((40, 3), 9.0), rng.normal(size=(20, 3)) * 30])
-    got = nn.nearest_neighbors(vectors(spark, queries), vectors(spark, points), 7, block=block, max_pivots=pivots).collect()
+    got = nn.nearest_neighbors(vectors(spark, queries), vectors(spark, points), 7).collect()
     found = {(r.query_id, r["rank"]): r.id for r in got}
     distance = np.sqrt(((queries[:, None] - points[None]) ** 2).sum(2))
     for q, row in enumerate(distance):
@@ -160,6 +159,40 @@ def test_neighbors_without_themselves(spark):
     assert got == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 3, (2, 2): 1, (3, 1): 2, (3, 2): 1}
 
 
+def test_neighbors_among_chosen_points(spark):
+    points = vectors(spark, np.random.default_rng(2).normal(size=(50, 3)))
+    chosen = {r.id for r in nn.chosen_points(points, 12).collect()}
+    assert len(chosen) == 12
+    assert {r.id for r in nn.nearest_neighbors(points, points, 12, max_points=12).collect()} == chosen
+    assert nn.nearest_neighbors(points, points.limit(0), 3).count() == 0
+    assert nn.nearest_neighbors(points.limit(0), points, 3).count() == 0
+
+
+def test_smote_of_several_classes(spark):
+    rows = [(i, i % 10 and (1 if i % 3 else 2), [float(i), 1.0]) for i in range(60)] + [(100, None, [0.0, 0.0])]
+    out = smote(spark.createDataFrame(rows, "id long, label int, vec array<double>")).groupBy("label").count().collect()
+    sizes = {r["label"]: r["count"] for r in out}
+    assert sizes.pop(None) == 1 and len(sizes) == 3 and len(set(sizes.values())) == 1
+
+
+def test_rows_without_label_or_order_stay(spark):
+    rows = [(i, None if i % 4 == 0 else i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    split = mt.stratified_split(df, "id", "y", 0.25).groupBy("y").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t"))
+    assert {(r.y, r.n, r.t) for r in split.collect()} == {(None, 10, 3), (0, 10, 3), (1, 20, 5)}
+    assert mt.stratified_folds(df, "id", "y").count() == 40
+
+
+def test_infinite_values(spark):
+    inf = math.inf
+    df = spark.createDataFrame([(x, 1.0) for x in (-inf, -1.7e308, 1.0, 2.0, 1.7e308, inf, None)] + [(math.nan, inf)], "a double, b double")
+    found = exact_quantiles(df, ["a", "b"], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    assert [q.value for q in found["a"]] == [-inf, -1.7e308, 1.0, 2.0, 1.7e308, inf]
+    assert found["b"][0].value == 1.0 and found["b"][-1].value == inf
+    with pytest.raises(ValueError, match="infinite values in b"):
+        pp.fit(df.select("b").withColumn("k", F.lit("1")), ["b"], "k", PreprocessConfig(noise_std=0.0))
+
+
 def test_smote_balances_on_segments(spark):
     rng = np.random.default_rng(5)
     small, large = rng.normal(size=(9, 2)), rng.normal(size=(60, 2)) + 5
