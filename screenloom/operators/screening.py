@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from screenloom.operators import questions as qs
 from screenloom.operators import scheduling as sc
 from screenloom.operators import stages as st
+from screenloom.session import stage
 
 INTERVIEWED = 5
 
@@ -32,19 +33,18 @@ def run(
     interviewed: int = INTERVIEWED,
     n_per_skill: int = 3,
 ) -> ScreeningRun:
-    """``ranked`` is a table from ``ranking.rank_candidates``; ``current`` holds known stages."""
+    """``ranked`` comes from ``ranking.rank_candidates`` and is written once; ``current`` holds known stages."""
+    ranked = stage(ranked, "ranked")
     calendars = jobs.select(F.col("jd_id").alias("calendar_id"), F.lit(as_of).alias("as_of"))
     best = ranked.where(F.col("rank") <= interviewed)
     requests = best.select(F.col("jd_id").alias("calendar_id"), F.col("rank").alias("position"), "candidate_id")
     scheduled = sc.schedule(requests, sc.slot_calendar(calendars)).withColumnRenamed("calendar_id", "jd_id")
-    synced = st.sync_after_scheduling(ranked, scheduled, current)
+    synced = st.sync_after_scheduling(ranked, scheduled, current, carry=("rank",))
     slots = scheduled.where(~F.col("conflict")).select(
         "jd_id", "candidate_id", sc.slot_text(F.col("slot")).alias("slot")
     )
-    states = (
-        synced.join(ranked.select("jd_id", "candidate_id", "rank"), ["jd_id", "candidate_id"])
-        .join(slots, ["jd_id", "candidate_id"], "left")
-        .select("jd_id", "candidate_id", "rank", "slot", "state")
+    states = synced.join(slots, ["jd_id", "candidate_id"], "left").select(
+        "jd_id", "candidate_id", "rank", "slot", "state"
     )
     # The best candidate of each job is asked; the same person may lead several jobs.
     leaders = ranked.where(F.col("rank") == 1).select(

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.dims.stages import NOT_IN_PROCESS, STAGES, TRANSITIONS
-from screenloom.operators.positions import with_position
+from screenloom.operators.positions import same_keys_join, with_position
 from screenloom.session import stage as stage_table
 
 EARLY = ["applied", "shortlisted"]
 ABSENT = ""  # not in the process yet
 STATES = [*STAGES, ABSENT]
-CHUNK = 1024
+CHUNK = 128  # events, and then chunks, folded at once
+DEPTH = 2  # levels of chunks of chunks above the first
 BLOCK = 1 << 16
 
 
@@ -72,15 +73,19 @@ def request_results(requests: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def sync_after_scheduling(ranked: DataFrame, scheduled: DataFrame, current: DataFrame) -> DataFrame:
-    """Scheduled candidates move to interview_scheduled, early or new ones to rejected, later stages stay."""
+def sync_after_scheduling(
+    ranked: DataFrame, scheduled: DataFrame, current: DataFrame, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Scheduled candidates move to interview_scheduled, early or new ones to rejected, later stages stay.
+
+    ``carry`` names further columns of ``ranked`` to pass on."""
     taken = scheduled.where(~F.col("conflict")).select("jd_id", "candidate_id", F.lit(True).alias("taken"))
     joined = ranked.join(taken, ["jd_id", "candidate_id"], "left").join(
         current.select("candidate_id", "state"), "candidate_id", "left"
     )
     early = F.col("state").isNull() | F.col("state").isin(*EARLY)
     synced = F.when(F.col("taken"), "interview_scheduled").when(early, "rejected").otherwise(F.col("state"))
-    return joined.select("jd_id", "candidate_id", F.col("state").alias("before"), synced.alias("state"))
+    return joined.select("jd_id", "candidate_id", *carry, F.col("state").alias("before"), synced.alias("state"))
 
 
 def promote_past_interviews(states: DataFrame, scheduled: DataFrame, as_of: Column, keys: list[str]) -> DataFrame:
@@ -139,12 +144,12 @@ def _compose(grouped: DataFrame) -> DataFrame:
     return grouped.select("candidate_id", F.col("outer").alias("idx"), composed.alias("map"))
 
 
-def _entry_states(maps: DataFrame, start: str, depth: int = 1) -> DataFrame:
+def _entry_states(maps: DataFrame, start: str, depth: int = DEPTH) -> DataFrame:
     """(candidate_id, idx, entry): the stage in which each chunk begins."""
     if depth:
         grouped = _grouped(maps, F.floor(F.col("idx") / CHUNK))
         outer = _entry_states(_compose(grouped), start, depth - 1)
-        grouped = grouped.join(outer.withColumnRenamed("idx", "outer"), ["candidate_id", "outer"])
+        grouped = same_keys_join(grouped, outer.withColumnRenamed("idx", "outer"), ["candidate_id", "outer"])
     else:
         grouped = _grouped(maps, F.lit(0)).withColumn("entry", F.lit(start))
     none = F.array().cast("array<struct<idx:bigint,entry:string>>")
@@ -162,7 +167,7 @@ def _entry_states(maps: DataFrame, start: str, depth: int = 1) -> DataFrame:
 def fold_states(events: DataFrame, start: str = "applied") -> DataFrame:
     """Final stage of each candidate after all events (candidate_id, event_id, ts, new_state, forced)."""
     maps = _chunk_maps(_chunks(with_sequence(events)))
-    for outer in (F.floor(F.col("idx") / CHUNK), F.lit(0)):
+    for outer in [F.floor(F.col("idx") / CHUNK)] * DEPTH + [F.lit(0)]:
         maps = _compose(_grouped(maps, outer))
     return maps.select("candidate_id", _apply(F.col("map"), F.lit(start)).alias("state"))
 
@@ -171,7 +176,7 @@ def transition_log(events: DataFrame, start: str = "applied") -> DataFrame:
     """Every event with the stage before and after it and whether it was accepted."""
     sequenced = stage_table(with_sequence(events), "sequenced")
     chunks = _chunks(sequenced)
-    entered = chunks.join(_entry_states(_chunk_maps(chunks), start), ["candidate_id", "idx"])
+    entered = same_keys_join(chunks, _entry_states(_chunk_maps(chunks), start), ["candidate_id", "idx"])
     record_type = "event_id:bigint,ts:timestamp,previous:string,requested:string,state:string,success:boolean"
     none = F.array().cast(f"array<struct<{record_type}>>")
 

@@ -201,3 +201,22 @@ def full_screening(spark, d):
     )
     return run.states.select("jd_id", "candidate_id", "rank", "slot", "state")
 
+
+
+_LEADERS = {
+    "profile": "SELECT jd_id || '/' || candidate_id AS candidate_id, experience_years, skills FROM ranked WHERE rank = 1",
+} | {
+    name: CTES[name]
+    for name in (
+        "cskills", "bank", "mix", "pool", "placed", "concept_formats", "coding_formats", "behavioral", "asked", "questions",
+    )
+}
+
+
+@query("full_screening_questions", with_inputs("ranked", f"SELECT {_QUESTION} FROM questions", _LEADERS))
+def full_screening_questions(spark, d):
+    """What the best candidate of each job is asked at the end of the full run."""
+    run = sg.run(
+        ranked(spark, d), fx.jobs(spark, d), current_states(spark, d), fx.AS_OF, starter_bank(spark)
+    )
+    return run.questions.select(*_QUESTION.split(", "))

@@ -10,6 +10,7 @@ from screenloom.plans import fixtures as fx
 from screenloom.plans.oracle_inputs import r, with_inputs
 from screenloom.plans.registry import CHECKS, query
 from screenloom.plans.screening import starter_matcher
+from screenloom.session import new_path
 from screenloom.streaming import sources as so
 from screenloom.streaming import stages as ss
 from screenloom.streaming.screening import screen_stream
@@ -92,3 +93,40 @@ def stream_screen(spark, d):
     scored = screen_stream(resumes, job_skills(fx.jobs(spark, d), matcher), matcher)
     path = so.append_to_table(scored.select("candidate_id", "jd_id", "match_score"), "screened")
     return spark.read.parquet(path)
+
+
+@query("stream_transition_log_delayed", CHECKS["transition_log"])
+def stream_transition_log_delayed(spark, d):
+    """The events in four files that overlap in time, in an order of their own, and a last one far ahead: events wait for
+    the watermark, and the log equals the batch log."""
+    events = fx.stage_events(spark, d)
+    folder = new_path(spark, "shuffled-events")
+    for part in range(4):
+        events.where(F.col("event_id") % 4 == (part * 3 + 2) % 4).coalesce(1).write.mode("append").parquet(folder)
+    end = events.agg(F.max("ts").alias("ts")).select(
+        F.lit("_end").alias("candidate_id"), F.lit(-1).cast("long").alias("event_id"),
+        F.explode(F.array(*[F.col("ts") + F.expr(f"INTERVAL {400 + k} DAYS") for k in range(2)])).alias("ts"),
+        F.lit("rejected").alias("new_state"), F.lit(False).alias("forced"),
+    )
+    end.coalesce(1).write.mode("append").parquet(folder)
+    arriving = so.file_stream(spark, folder, "*.parquet", events.schema, files_per_batch=1)
+    log = spark.read.schema(ss.LOG_SCHEMA).parquet(so.append_to_table(ss.transition_stream(arriving, delay="390 days"), "log"))
+    rows = log.where("candidate_id <> '_end'")
+    return rows.select("candidate_id", "event_id", "previous", "requested", "state", "success")
+
+
+@query(
+    "stream_promotions",
+    with_inputs(
+        "pev",
+        """SELECT candidate_id, slot, count(*) AS interviews FROM (
+  SELECT candidate_id, ts + INTERVAL 2 HOURS AS slot, (SELECT max(ts) FROM pev) AS last FROM pev
+  WHERE new_state = 'interview_scheduled') WHERE slot <= last - INTERVAL 1 HOUR GROUP BY 1, 2""",
+    ),
+)
+def stream_promotions(spark, d):
+    """Interviews two hours after they were agreed; the watermark stands one hour before the latest event."""
+    slot = F.when(F.col("new_state") == "interview_scheduled", F.col("ts") + F.expr("INTERVAL 2 HOURS"))
+    agreed = event_stream(spark, d).select("candidate_id", "ts", slot.alias("slot"))
+    path = so.append_to_table(ss.promotion_stream(agreed, "1 hour"), "promotions")
+    return spark.read.parquet(path).groupBy("candidate_id", "slot").agg(F.count("*").alias("interviews"))

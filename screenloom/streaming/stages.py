@@ -22,37 +22,40 @@ def transition_stream(events: DataFrame, start: str = "applied", delay: str | No
     With ``delay`` (such as "10 minutes") events wait until the watermark has passed them, so batches may overlap
     in time; the wait bounds the state of a candidate.
     """
-    allowed = {state: set(following) for state, following in TRANSITIONS.items()}
 
     def advance(key, batches, state):
+        import numpy as np
         import pandas as pd
 
         current, waiting, logged = state.get if state.exists else (start, [], False)
-        waiting = [tuple(w) for w in waiting]
+        columns = ["ts", "event_id", "new_state", "forced"]
+        parts = [pd.DataFrame([tuple(w) for w in waiting], columns=columns)]
         for batch in batches:
             micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            waiting += zip(micros, batch["event_id"], batch["new_state"], batch["forced"])
-        waiting.sort(key=lambda e: (e[0], e[1]))
-        if delay is None:
-            ready, waiting = waiting, []
-        else:
-            limit = state.getCurrentWatermarkMs() * 1000
-            ready = [e for e in waiting if e[0] <= limit]
-            waiting = waiting[len(ready) :]
-        rows = []
-        for ts, event_id, requested, forced in ready:
-            success = bool(forced) or requested in allowed.get(current, ())
-            after = requested if success else current
-            rows.append((key[0], event_id, ts, current, requested, after, success, not logged))
-            logged = True
-            current = after
-        kept = [(int(t), int(i), n, bool(f)) for t, i, n, f in waiting]
-        state.update((current, kept, logged))
+            parts.append(batch[["event_id", "new_state", "forced"]].assign(ts=micros)[columns])
+        events = pd.concat([p for p in parts if len(p)] or parts, ignore_index=True)
+        events = events.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
+        ready = len(events)
+        if delay is not None:
+            ready = int(np.searchsorted(events["ts"].to_numpy(dtype="int64"), state.getCurrentWatermarkMs() * 1000, side="right"))
+        rows = events.iloc[:ready]
+        previous, after, success = walk(current, rows["new_state"].tolist(), rows["forced"].to_numpy(dtype=bool))
+        kept = [(int(t), int(i), n, bool(f)) for t, i, n, f in events.iloc[ready:].itertuples(index=False)]
+        result = pd.DataFrame(
+            {
+                "candidate_id": [key[0]] * ready,
+                "event_id": rows["event_id"].astype("int64"),
+                "ts": pd.to_datetime(rows["ts"].astype("int64"), unit="us"),
+                "previous": previous,
+                "requested": rows["new_state"],
+                "state": after,
+                "success": success,
+                "first": [not logged and i == 0 for i in range(ready)],
+            }
+        )
+        state.update((after[-1] if ready else current, kept, logged or ready > 0))
         if kept:
             state.setTimeoutTimestamp(max(kept[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
-        columns = ["candidate_id", "event_id", "ts", "previous", "requested", "state", "success", "first"]
-        result = pd.DataFrame(rows, columns=columns)
-        result["ts"] = pd.to_datetime(result["ts"], unit="us")
         yield result
 
     timeout = GroupStateTimeout.NoTimeout
@@ -62,6 +65,60 @@ def transition_stream(events: DataFrame, start: str = "applied", delay: str | No
     return events.groupBy("candidate_id").applyInPandasWithState(advance, LOG_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
+def walk(current: str, requested: list[str], forced) -> tuple[list[str], list[str], list[bool]]:
+    """Stages before and after each of a series of requests, and whether it was accepted.
+
+    A request is a function from stage to stage, an array of results. Composing neighbours at doubling distances gives
+    the stage after every request in log2(n) array steps, as the batch fold does over chunks.
+    """
+    import numpy as np
+
+    names = sorted({*TRANSITIONS, *(x for following in TRANSITIONS.values() for x in following), *filter(None, requested), current})
+    number = {name: i for i, name in enumerate(names)}
+    n, none = len(requested), len(names)  # a missing request is a stage that none may enter
+    allowed = np.zeros((len(names), len(names) + 1), bool)
+    for name, following in TRANSITIONS.items():
+        allowed[number[name], [number[f] for f in following]] = True
+    to = np.array([number.get(r, none) for r in requested], np.int64)
+    may = allowed[:, to].T | np.asarray(forced, bool)[:, None]
+    maps = np.where(may & (to < none)[:, None], to[:, None], np.arange(len(names))[None, :])
+    step = 1
+    while step < n:
+        maps[step:] = np.take_along_axis(maps[step:], maps[:-step], axis=1)
+        step *= 2
+    after = maps[:, number[current]] if n else np.zeros(0, np.int64)
+    before = np.concatenate([[number[current]], after[:-1]])[:n]
+    success = may[np.arange(n), before]
+    return [names[i] for i in before], [names[i] for i in after], success.tolist()
+
+
+def promotion_stream(scheduled: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Rows (candidate_id, slot, state) as interviews pass: a stream of (candidate_id, ts, slot) whose slots become
+    interviewed once the watermark on ``ts`` has reached them. An event-time timer wakes a candidate without new rows."""
+
+    def advance(key, batches, state):
+        import pandas as pd
+
+        waiting = list(state.get[0]) if state.exists else []
+        for batch in batches:
+            waiting += batch["slot"].dropna().astype("datetime64[us]").astype("int64").tolist()
+        limit = state.getCurrentWatermarkMs() * 1000
+        passed, waiting = [w for w in waiting if w <= limit], sorted(w for w in waiting if w > limit)
+        if waiting:
+            state.update((waiting,))
+            state.setTimeoutTimestamp(max(-(-waiting[0] // 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        slots = pd.to_datetime(pd.Series(sorted(passed), dtype="int64"), unit="us")
+        yield pd.DataFrame({"candidate_id": [key[0]] * len(slots), "slot": slots, "state": ["interviewed"] * len(slots)})
+
+    keyed = scheduled.withWatermark("ts", delay).groupBy("candidate_id")
+    return keyed.applyInPandasWithState(
+        advance, "candidate_id string, slot timestamp, state string", "waiting array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def funnel_changes(log: DataFrame, start: str = "applied") -> DataFrame:
     """Running number of candidates per stage, from a (streamed) transition log."""
     entered = F.when(F.col("first"), F.struct(F.lit(start).alias("stage"), F.lit(1).alias("delta")))
