@@ -310,10 +310,35 @@ def yeo_johnson(spark, d):
     return fx.numeric(spark, d).select(*KEYS, *[rounded(v, 4).alias(c) for c, v in moved.items()])
 
 
-@query("yeo_johnson_fit")
+def _likelihood(grid: str) -> str:
+    """(name, lam, score) of the values x for every lambda of a grid (non-negative columns)."""
+    power = "CASE WHEN abs(lam) < 1e-12 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END"
+    return f"""SELECT name, lam, -count(*) / 2.0::DOUBLE * ln(var_pop({power})) + (lam - 1) * sum(ln(1 + x)) AS score
+ FROM v JOIN {grid} g USING (name) GROUP BY 1, 2"""
+
+
+def _finer(best: str, half: int, step: str) -> str:
+    return f"SELECT name, lam + unnest(range({-half}, {half + 1})) * {step}::DOUBLE AS lam FROM {best}"
+
+
+_LAMBDA = {
+    "v": " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::DOUBLE AS x FROM lineitem" for c in NUM),
+    "g0": "SELECT name, unnest(range(-5, 6)) * 0.5::DOUBLE AS lam FROM (SELECT DISTINCT name FROM v)",
+}
+for _k, (_half, _step) in enumerate([(20, "0.05"), (25, "0.002"), (20, "0.0001")]):
+    _LAMBDA[f"s{_k}"] = _likelihood(f"g{_k}")
+    _LAMBDA[f"b{_k}"] = f"SELECT name, arg_max(lam, score) AS lam FROM s{_k} GROUP BY 1"
+    _LAMBDA[f"g{_k + 1}"] = _finer(f"b{_k}", _half, _step)
+_LAMBDA["s3"] = _likelihood("g3")
+
+
+@query(
+    "yeo_johnson_fit",
+    with_inputs("", f"SELECT name, {r('arg_max(lam, score)', 2)} AS lam FROM s3 GROUP BY 1", _LAMBDA),
+)
 def yeo_johnson_fit(spark, d):
     lams = pp.fit_yeo_johnson(fx.numeric(spark, d), NUM)
-    return spark.createDataFrame(list(lams.items()), "name string, lam double")
+    return spark.createDataFrame(list(lams.items()), "name string, lam double").withColumn("lam", rounded(F.col("lam"), 2))
 
 
 @query(
@@ -445,13 +470,17 @@ def cv_folds(spark, d):
     return mt.cv_scores(folded(spark, d), ["model"]).select("model", *_rounded(["cv_mean", "cv_std"]))
 
 
+SPLIT = """SELECT candidate_id, label, row_number() OVER (PARTITION BY label ORDER BY
+  ('0x' || substr(md5(candidate_id || '|42-split'), 1, 8))::BIGINT, candidate_id)
+  <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) AS is_test FROM labelled"""
+
+
 @query(
     "stratified_split",
     with_inputs(
         "labelled",
-        """SELECT candidate_id, label, row_number() OVER (PARTITION BY label ORDER BY
-  ('0x' || substr(md5(candidate_id || '|42-split'), 1, 8))::BIGINT, candidate_id)
-  <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) AS is_test FROM labelled""",
+        "SELECT * FROM split",
+        {"split": SPLIT},
     ),
 )
 def stratified_split(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenloom.functions import scores as s
 from screenloom.functions import text as t
 from screenloom.operators import ranking as rk
+from screenloom.operators.reports import write_report
 from screenloom.operators import skills as sk
 from screenloom.plans import fixtures as fx
 from screenloom.plans.oracle_inputs import norm, r, with_inputs
@@ -46,7 +47,13 @@ PROFILE_COLUMNS = (
 
 @query("scan_candidates", with_inputs("cand", f"SELECT {PROFILE_COLUMNS} FROM cand"))
 def scan_candidates(spark, d):
-    return fx.candidates(spark, d).select(*PROFILE_COLUMNS.split(", "))
+    """All candidates, written as CSV files and read back."""
+    names = {new: old for old, new in src.PROFILE_NAMES.items()} | {"candidate_id": "Candidate_ID"}
+    people = fx.candidates(spark, d)
+    sheet = people.select(*[F.col(new).alias(old) for new, old in names.items()]).repartition(3)
+    # the reader expects the columns of its schema in order, the id last
+    path = write_report({"people": sheet}, new_path(spark, "profiles"))["people"]
+    return src.read_profiles(spark, path, id_column="Candidate_ID").select(*PROFILE_COLUMNS.split(", "))
 
 
 @query(
@@ -564,3 +571,12 @@ def safe_json(spark, d):
     return events.select("event_id", F.col("parsed.k").alias("k"), F.col("parsed.k").isNotNull().alias("valid"))
 
 
+
+
+@query("report_sheets", with_inputs("ranked", "SELECT jd_id, candidate_id, name, rank FROM ranked"))
+def report_sheets(spark, d):
+    """The ranking sheet of a written report, read back."""
+    sheet = ranked(spark, d).select("jd_id", "candidate_id", "name", "rank")
+    path = write_report({"ranking": sheet}, new_path(spark, "report"))["ranking"]
+    reader = spark.read.option("header", True).option("escape", '"')
+    return reader.schema("jd_id string, candidate_id string, name string, rank long").csv(path)
