@@ -105,6 +105,41 @@ def class_report(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return confusion(predictions, keys).select(*keys, F.inline(F.array(*rows)))
 
 
+def class_counts(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, class, tp, fp, fn) for any number of classes: all that occur as label or prediction."""
+    cells = predictions.groupBy(*keys, "y", "yhat").agg(F.count("*").alias("n"))
+    hit = F.col("y") == F.col("yhat")
+    entries = F.array(
+        F.struct(F.col("y").alias("class"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"),
+                 F.when(hit, 0).otherwise(F.col("n")).alias("fn")),
+        F.struct(F.col("yhat").alias("class"), F.lit(0).cast("long").alias("tp"), F.when(hit, 0).otherwise(F.col("n")).alias("fp"),
+                 F.lit(0).cast("long").alias("fn")),
+    )
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    return cells.select(*keys, F.inline(entries)).groupBy(*keys, "class").agg(*sums)
+
+
+def macro_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics of any number of classes: precision, recall and F1 are means over the classes; the rates of false alarms
+    and misses belong to two classes and are 0 here."""
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    means = class_counts(predictions, keys).groupBy(*keys).agg(
+        F.avg(_ratio(tp, tp + fp)).alias("precision"),
+        F.avg(_ratio(tp, tp + fn)).alias("recall"),
+        F.avg(_ratio(2 * tp, 2 * tp + fp + fn)).alias("f1_score"),
+    )
+    miss = F.col("y") - F.col("yhat")
+    whole = predictions.groupBy(*keys).agg(
+        F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("accuracy"),
+        F.lit(0.0).alias("fpr"),
+        F.lit(0.0).alias("fnr"),
+        F.avg(miss * miss).alias("mse"),
+        F.sqrt(F.avg(miss * miss)).alias("rmse"),
+        F.avg(F.abs(miss)).alias("mae"),
+    )
+    return same_keys_join(whole, means, keys).select(*keys, *rates())
+
+
 # ---- ranking quality -------------------------------------------------------------------------------------------
 
 

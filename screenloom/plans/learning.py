@@ -536,3 +536,30 @@ _CHART_ROWS = " UNION ALL ".join(
 @query("chart_metrics", with_inputs("wide auc cv", _CHART_ROWS, {"j": _JOINED}))
 def chart_metrics(spark, d):
     return mt.chart_metrics(summary_metrics(spark, d)).withColumn("value", rounded(F.col("value"), 6))
+
+
+_THREE = "SELECT model, doc_id % 3 AS y, least(floor(score * 3), 2)::BIGINT AS yhat FROM predictions"
+_MACRO = {
+    "three": _THREE,
+    "classes": "SELECT DISTINCT model, unnest([y, yhat]) AS c FROM three",
+    "per_class": """SELECT model, c, count_if(y = c AND yhat = c) AS tp, count_if(y <> c AND yhat = c) AS fp,
+  count_if(y = c AND yhat <> c) AS fn FROM three JOIN classes USING (model) GROUP BY 1, 2""",
+    "means": """SELECT model, avg(coalesce(tp / nullif(tp + fp, 0), 0)) AS precision,
+  avg(coalesce(tp / nullif(tp + fn, 0), 0)) AS recall, avg(coalesce(2*tp / nullif(2*tp + fp + fn, 0), 0)) AS f1_score
+  FROM per_class GROUP BY 1""",
+    "all_metrics": """SELECT model, avg((y = yhat)::INTEGER) AS accuracy, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS fnr,
+  avg((y - yhat) * (y - yhat)) AS mse, sqrt(avg((y - yhat) * (y - yhat))) AS rmse, avg(abs(y - yhat)) AS mae
+  FROM three GROUP BY 1""",
+}
+
+
+@query(
+    "macro_metrics",
+    with_inputs("predictions", f"SELECT model, {_r(_WIDE)} FROM all_metrics JOIN means USING (model)", _MACRO),
+)
+def macro_metrics(spark, d):
+    """Three classes instead of two."""
+    three = fx.scored_labels(spark, d).select(
+        "model", (F.col("doc_id") % 3).alias("y"), F.least(F.floor(F.col("score") * 3), F.lit(2)).alias("yhat")
+    )
+    return mt.macro_metrics(three, ["model"]).select("model", *_rounded(_WIDE))
