@@ -5,7 +5,7 @@ visits each cell whose border is near. Take two linked vectors at home in differ
 plane, one vector on either side, and their distances to it add up to at most sqrt(2 - 2 threshold). So at least one of
 them is within half of that and visits the other's cell: with ``slack=None`` no link is lost. A smaller ``slack`` visits
 fewer cells. In d dimensions the part of the distance that lies across a given border is about 1/sqrt(d) of it, so the
-default of a tenth loses next to nothing (the tests measure the recall against brute force).
+default loses next to nothing (the tests measure the recall against brute force).
 
 Equal vectors are one vertex with a weight. A cell is cut into blocks of bounded size, and pairs of blocks are compared
 in tasks of their own; each returns a row per linked vector, with its links counted and one edge of a spanning forest,
@@ -28,7 +28,7 @@ from screenloom.llm.components import components
 from screenloom.session import stage
 
 CELL_ROWS = 512  # vectors a cell is meant to hold
-MAX_CELLS = 4096  # beyond it cells grow and are cut into blocks
+MAX_CELLS = 1024  # beyond it cells grow and are cut into blocks
 SAMPLE_PER_CELL = 32  # vectors the centres are fitted on, at most, for each cell
 BLOCK_ROWS = 4096
 SLACK = 0.1
@@ -99,7 +99,6 @@ class _Forest:
             if (x == y).all():
                 return
 
-
     def join_all(self, links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
         """Connect wherever ``links`` holds; for a crowded tile only the least label of each row and column moves."""
         if links.sum() < 4 * sum(links.shape):
