@@ -1,6 +1,6 @@
-"""Fixed values of the interview questions: mix, difficulty, sentence formats and a starter knowledge bank.
+"""Fixed values of the interview questions: mix, difficulty, sentence formats and a knowledge bank.
 
-The starter bank covers a few skills. A larger bank is a parameter, see ``sources.question_bank.read_bank``;
+Further banks are a parameter, see ``sources.question_bank.read_bank``;
 skills without an entry use the generic formats.
 """
 
