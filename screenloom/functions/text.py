@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 # Patterns. White space follows Unicode and includes \x1c-\x1f; (?U) does the same for \b.
 # Single characters share one lookup table and the outer range settles most others, so letters are passed quickly.
 ASCII_BLANK = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
-WIDE_BLANK = r"  -     　"
-BLANK = rf"{ASCII_BLANK}[ -　&&[{WIDE_BLANK}]]"
+WIDE_BLANK = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = rf"{ASCII_BLANK}[\u1680-\u3000&&[{WIDE_BLANK}]]"
 URL = rf"https?://[^{ASCII_BLANK}{WIDE_BLANK}]+|www\.(?!net)[^{ASCII_BLANK}{WIDE_BLANK}]+"
 POSSESSIVE = r"(?U)'s\b(?!\.net)"
-GAPS = rf"[{ASCII_BLANK}·|/\\[ -　&&[{WIDE_BLANK}•]]]+"
+GAPS = rf"[{ASCII_BLANK}\u00b7|/\\[\u1680-\u3000&&[{WIDE_BLANK}\u2022]]]+"
 
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 RESUME_EXPERIENCE = [
@@ -28,7 +28,7 @@ REQUIRED_EXPERIENCE = [
 ]
 NAME_LABEL = r"(?iU)name\s*[:\-]?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
 NAME_LINE = r"(?U)^[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}$"
-LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 EDGE_BLANKS = rf"^[{BLANK}]+|[{BLANK}]+$"
 UNKNOWN_NAME = "Unknown Candidate"
 
