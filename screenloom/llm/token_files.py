@@ -16,6 +16,8 @@ place, so a task that runs twice leaves the same file. They are read back with S
 from __future__ import annotations
 
 import functools
+import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenloom.llm.scan import pieces, text_bytes
+from screenloom.llm.scan import pieces
 from screenloom.session import new_path, stage
 
 MAGIC = b"PFR1"
@@ -149,22 +151,82 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _WordCache:
-    """Ids per blank-separated word. Exact for tokenizers that drop white space and split at it, as checked by
-    ``splits_at_blanks``: no token, normalisation or merge then reaches across a blank."""
+# The kind of tokenizer whose words of Latin-1 letters may go to its merge table without the steps before it: composing
+# and lower-casing leave nothing to do, such a word is one piece, and its bytes map to characters one by one.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PLAIN = f"^[A-Z\u00c0-\u00d6\u00d8-\u00de{_LETTERS}]+[.,;:!?]*$"
+_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
-    def __init__(self, path: str, limit: int = 600_000):
-        self.tokenizer, self.limit, self.known = _tokenizer(path), limit, {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+class _Words:
+    """Ids of many texts at once, word by word (words end at blanks), each different word once.
+
+    Exact for tokenizers that drop white space and split at it, as checked by ``splits_at_blanks``: no token,
+    normalisation or merge then reaches across a blank.
+    """
+
+    def __init__(self, path: str, limit: int = 300_000):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.limit, self.known = _tokenizer(path), limit, {}
+        shape = json.loads(self.tokenizer.to_str())
+        steps = [
+            [s["type"] for s in ((shape.get(kind) or {}).get(f"{kind.replace('_', '')}s") or [])]
+            for kind in ("normalizer", "pre_tokenizer")
+        ]
+        self.direct = steps == list(_STEPS) and "[\\p{L}]+|" in json.dumps(shape["pre_tokenizer"]["pretokenizers"][0]).replace("\\\\", "\\")
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def _full(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _stems(self, stems: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known = {}
-        known = self.known
-        split = [t.split(" ") for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        for word, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        known, tokenize, table = self.known, self.model.tokenize, self.bytes
+        for s in stems:
+            if s not in known:
+                ids = tokenize(s if s.isascii() else s.translate(table))
+                known[s] = struct.pack(f"<{len(ids)}I", *[t.id for t in ids])
+        return [known[s] for s in stems]
+
+    def _different(self, words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        """For each word the numbers of its two parts (a word and the marks behind it, or all and nothing), and the ids
+        of all parts."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False) if self.direct else np.zeros(len(words), bool)
+        parts = np.zeros((len(words), 2), np.int32)  # part 0 is nothing
+        rest = np.flatnonzero(~plain)
+        ids = [b"", *self._full(words.take(pa.array(rest)).to_pylist())]
+        parts[rest, 0] = np.arange(1, len(ids))
+        some = words.filter(pa.array(plain))
+        if len(some):
+            stems = pc.utf8_lower(pc.utf8_rtrim(some, ".,;:!?")).dictionary_encode()
+            marks = pc.replace_substring_regex(some, "^[^.,;:!?]+", "").dictionary_encode()
+            parts[plain, 0] = stems.indices.to_numpy() + len(ids)
+            ids += self._stems(stems.dictionary.to_pylist())
+            parts[plain, 1] = marks.indices.to_numpy() + len(ids)
+            ids += self._full(marks.dictionary.to_pylist())
+        return parts, ids
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        words = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        coded = words.flatten().dictionary_encode()
+        parts, pieces_of = self._different(coded.dictionary)
+        flat = np.frombuffer(b"".join(pieces_of), "<u4")
+        size = np.fromiter(map(len, pieces_of), np.int64, len(pieces_of)) // 4
+        place = parts[coded.indices.to_numpy()].ravel()
+        many = size[place]
+        ends = np.cumsum(many)
+        first = (np.cumsum(size) - size)[place] - (ends - many)
+        at = np.arange(int(ends[-1]))
+        at += np.repeat(first, many)
+        ids = flat[at]
+        last = words.offsets.to_numpy()
+        return np.split(ids, ends[2 * (last[1:-1] - last[0]) - 1])
 
 
 def splits_at_blanks(path: str) -> bool:
@@ -179,19 +241,19 @@ def _encoder(path: str, end_id: int, cuts: list[int]):
     """Rows (doc_id, shard, small, ids); ids below 2^16 take two bytes each on their way to the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordCache(path) if splits_at_blanks(path) else None
+        words = _Words(path) if splits_at_blanks(path) else None
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
-                data, at = text_bytes(piece.column("text"))
-                texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            for piece in pieces(batch, "text", 4 << 20):
+                texts = piece.column("text")
                 if words is not None:
                     ids = words.encode(texts)
                 else:
-                    ids = [np.array(_tokenizer(path).encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
-                ends = np.array([end_id], "<u4")
+                    plain = pc.fill_null(texts, "").to_pylist()
+                    ids = [np.array(e.ids, np.uint32) for e in _tokenizer(path).encode_batch(plain, add_special_tokens=False)]
+                ends = np.array([end_id], np.uint32)
                 keys = pc.fill_null(piece.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)
                 full = [np.concatenate([i, ends]) for i in ids]
-                small = [f.astype("<u2") if f.max() < 1 << 16 else f for f in full]
+                small = [f.astype("<u2") if f.max() < 1 << 16 else f.astype("<u4") for f in full]
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
@@ -298,4 +360,6 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
 
 
 def _as_uri(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+    if "://" in path:
+        return path
+    return "file://" + path.removeprefix("file:")
