@@ -140,8 +140,8 @@ def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Score all documents, with those labelled 1 as the target. Labels meet documents by id; of labels that share an id the
-    greatest counts."""
+    greatest counts. Both sides are dealt out by id at every size: labels grow with the corpus and are never broadcast."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label)).alias("_label"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = narrow.join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("_target", F.col("_label") == 1)
+    marked = narrow.join(known.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_target", F.col("_label") == 1)
     return score(docs, fit(marked, "_target"))
