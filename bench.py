@@ -13,7 +13,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from screenloom.plans import all_queries  # noqa: E402
-from screenloom.session import build_session, release  # noqa: E402
+from screenloom.session import build_session, release, ship_package  # noqa: E402
 
 HEADLINE = [
     "normalize_text",
@@ -56,6 +56,7 @@ def main() -> None:
     shared = tempfile.mkdtemp(prefix="bench-")  # the session is local
     spark = build_session("bench", cpus=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, shared=shared)
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     names = sys.argv[1:] or HEADLINE
     registered = all_queries()
 

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()  # applications whose workers have the package
+
+
 def build_session(
     app: str = "screenloom", cpus: str = "*", shuffle_partitions: int = 8, shared: str | None = None
 ) -> SparkSession:
@@ -59,3 +65,17 @@ def release(spark: SparkSession) -> None:
     """Delete whatever this application has staged. Tables that read it must have been used by then."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to its Python workers, as ``--py-files`` does; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path(root.name) / file.relative_to(root))
+    context.addPyFile(str(archive))  # the driver serves it to the executors
+    _SHIPPED.add(context.applicationId)

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from screenloom.session import build_session, release  # noqa: E402
+from screenloom.session import build_session, release, ship_package  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,6 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     session = build_session("tests", cpus="8", shuffle_partitions=4, shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     release(session)
     session.stop()
