@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from screenloom.llm import decontam, mixing, quality_gam, simhash, token_files
 from screenloom.llm.queries import tokenizer_file
-from screenloom.session import stage
+from screenloom.session import ship_package, stage
 
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None  # a fitted classifier, fingerprints, alignments and a tokenizer are beyond SQL
 
 
+def _with_package(step: Step) -> Step:
+    """The step, with the package handed to the Python workers first, wherever the session was started."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; rejected ones go."""
     model = quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -38,11 +53,11 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
-    ("quality classifier", quality),
-    ("SimHash near-dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("source mixing", source_mixing),
-    ("token files", token_output),
+    ("quality classifier", _with_package(quality)),
+    ("SimHash near-dedup", _with_package(near_dedup)),
+    ("benchmark decontamination", _with_package(decontamination)),
+    ("source mixing", _with_package(source_mixing)),
+    ("token files", _with_package(token_output)),
 ]
 
 

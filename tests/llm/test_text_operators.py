@@ -293,7 +293,7 @@ def test_word_cache_is_exact():
     assert token_files.splits_at_blanks(path)
     assert not token_files.splits_at_blanks(tokenizer_file("byte_bpe_50k.json"))
     rng = random.Random(1)
-    letters = "abcXYZ \u00e9\u00df\u00d7\u00f7\u00b5\u0130\u03a3\u0301'\u2019,;.!#19"
+    letters = "abcXYZ  \n\t|_$&%#*)(-/<>\"\u00e9\u00df\u00d7\u00f7\u00b5\u0130\u03a3\u0301'\u2019,;.!#19"
     texts = [t or "" for t in made_texts(9)] + ["don 't", "e \u0301x", "\u0391\u03a3 \u03a3", "<|endoftext|> a<|startoftext|>b", "\u3000a\u00a0b\u2003c"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["word" + "!" * 200]
     direct = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
