@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +93,8 @@ def _windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            some = pc.fill_null(pc.greater(pc.list_value_length(batch.column("unsettled")), 0), False)
+            for piece in pieces(batch.filter(some), "text"):
                 ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 text, low, high, _, reach, hashes = _anchors(scan(piece.column("text")), length)
                 wanted = _listed(piece.column("unsettled"), text, reach)
@@ -211,11 +213,10 @@ def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id
     lists = states.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("state") == _RESOLVED, F.col("reach"))).alias("resolved"),
         F.collect_list(F.when(F.col("state") != _RESOLVED, F.col("reach"))).alias("unsettled"),
-        F.max(F.col("state") == _OPEN).alias("_open"),
     )
-    listed = texts.join(lists, "doc_id", "left")
-    some = listed.where(F.size("unsettled") > 0).select("doc_id", "text", "unsettled")
-    windows = some.mapInArrow(_windows(length), "window long, doc_id long")
+    # Both passes over the texts read this join as it is, so that the texts are shuffled once.
+    listed = texts.join(lists, "doc_id", "left").select("doc_id", "text", "resolved", "unsettled")
+    windows = listed.mapInArrow(_windows(length), "window long, doc_id long")
     least = F.min("doc_id").over(Window.partitionBy("window"))
     repeated = (
         windows.withColumn("_least", least)
