@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -153,8 +154,9 @@ def _tokenizer(path: str):
 
 # The kind of tokenizer whose words of Latin-1 letters may go to its merge table without the steps before it: composing
 # and lower-casing leave nothing to do, such a word is one piece, and its bytes map to characters one by one.
-_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
-_PLAIN = f"^[A-Z\u00c0-\u00d6\u00d8-\u00de{_LETTERS}]+[.,;:!?]*$"
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ffA-Z\u00c0-\u00d6\u00d8-\u00de"
+_MARKS = """!"#$%&()*+,-./:;=?@[\\]^_`{|}~"""  # a run of them behind a word is one piece of its own; no quotes or <, >
+_PLAIN = f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$"
 _STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
 
@@ -202,8 +204,8 @@ class _Words:
         parts[rest, 0] = np.arange(1, len(ids))
         some = words.filter(pa.array(plain))
         if len(some):
-            stems = pc.utf8_lower(pc.utf8_rtrim(some, ".,;:!?")).dictionary_encode()
-            marks = pc.replace_substring_regex(some, "^[^.,;:!?]+", "").dictionary_encode()
+            stems = pc.utf8_lower(pc.utf8_rtrim(some, _MARKS)).dictionary_encode()
+            marks = pc.replace_substring_regex(some, f"^[{_LETTERS}]+", "").dictionary_encode()
             parts[plain, 0] = stems.indices.to_numpy() + len(ids)
             ids += self._stems(stems.dictionary.to_pylist())
             parts[plain, 1] = marks.indices.to_numpy() + len(ids)
@@ -213,7 +215,10 @@ class _Words:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         if not len(texts):
             return []
-        words = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        plain = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.direct:
+            plain = pc.replace_substring(plain, "\n", " ")  # as the tokenizer does with all white space
+        words = pc.split_pattern(plain, " ")
         coded = words.flatten().dictionary_encode()
         parts, pieces_of = self._different(coded.dictionary)
         flat = np.frombuffer(b"".join(pieces_of), "<u4")
