@@ -12,7 +12,7 @@ together are the anchor's reach. Documents meet on anchors:
 Consecutive repeated windows merge into maximal repeats. Copies within one Arrow batch are settled before the shuffle,
 so an anchor reaches it once a batch however many documents share it. Nothing emits pairs of documents.
 
-Equality of reaches and windows is equality of 64-bit hashes of two kinds (anchor and reach); words are never cut.
+Equality between documents is equality of two 64-bit hashes: of anchor and reach, or two of a window. Words are never cut.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _seed(column: str, length: int):
 
 
 def _windows(length: int):
-    """Rows (window, doc_id) of the windows in open or witness reaches."""
+    """Rows (window, check, doc_id) of the windows in open or witness reaches; two hashes name a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +99,13 @@ def _windows(length: int):
                 text, low, high, _, reach, hashes = _anchors(scan(piece.column("text")), length)
                 wanted = _listed(piece.column("unsettled"), text, reach)
                 starts = _ranges(low[wanted], high[wanted])
-                value = run_hashes(hashes, starts, starts + length, seed=3).view(np.int64)
+                value, check = (run_hashes(hashes, starts, starts + length, seed=k).view(np.int64) for k in (3, 4))
                 docs = np.repeat(ids[text[wanted]], (high - low + 1)[wanted])
-                rows = np.unique(np.stack([docs, value]), axis=1) if len(value) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[0])], names=["window", "doc_id"])
+                order = np.lexsort((value, docs))
+                docs, value, check = docs[order], value[order], check[order]
+                new = np.append(True, (docs[1:] != docs[:-1]) | (value[1:] != value[:-1]))[: len(docs)]
+                columns = [pa.array(c[new]) for c in (value, check, docs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["window", "check", "doc_id"])
 
     return run
 
@@ -216,8 +219,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, text: str = "text", doc_id
     )
     # Both passes over the texts read this join as it is, so that the texts are shuffled once.
     listed = texts.join(lists, "doc_id", "left").select("doc_id", "text", "resolved", "unsettled")
-    windows = listed.mapInArrow(_windows(length), "window long, doc_id long")
-    least = F.min("doc_id").over(Window.partitionBy("window"))
+    windows = listed.mapInArrow(_windows(length), "window long, check long, doc_id long")
+    least = F.min("doc_id").over(Window.partitionBy("window", "check"))
     repeated = (
         windows.withColumn("_least", least)
         .where("_least < doc_id")
