@@ -74,9 +74,16 @@ def _entries_sql() -> str:
 
 
 def hits_sql(source: str, id_column: str, text: str) -> str:
+    """Plain words meet the distinct words of a text; only other variants are searched in it."""
+    normal = f"(SELECT {id_column}, {norm(text)} AS t FROM {source})"
     return f"""
- SELECT DISTINCT n.{id_column}, v.canonical FROM (SELECT {id_column}, {norm(text)} AS t FROM {source}) n
- JOIN variants v ON contains(n.t, v.variant) AND regexp_matches(n.t, v.pattern)"""
+ SELECT DISTINCT {id_column}, canonical FROM (
+  SELECT n.{id_column}, v.canonical FROM (
+   SELECT {id_column}, unnest(list_distinct(regexp_extract_all(t, '[a-z0-9_]+'))) AS w FROM {normal}) n
+  JOIN variants v ON v.variant = n.w
+  UNION ALL
+  SELECT n.{id_column}, v.canonical FROM {normal} n JOIN variants v
+  ON NOT regexp_full_match(v.variant, '[a-z0-9_]+') AND contains(n.t, v.variant) AND regexp_matches(n.t, v.pattern))"""
 
 
 CAND = f"""
