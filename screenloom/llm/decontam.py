@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts and test items are compared as words: lower-cased runs of letters and digits. First pass over the corpus: in how
-many texts does each n-gram of the items stand? Of every window of ``WINDOW`` consecutive n-grams of an item the rarest
-one becomes a seed, so every stretch of an item has a seed however popular the item is. Second pass: a seed in a text
-marks the passage that the whole item would cover there; if enough of the item's words stand in it, both are aligned
-word by word (edits, insertions and omissions cost), and the alignment's score is set against a perfect copy.
+Texts and test items are compared as words: lower-cased runs of letters and digits. Every n-gram of an item that stands in a
+text is a seed there, however often it stands elsewhere: a copy is a candidate as long as one run of ``GRAM`` words outlived
+its edits. A seed marks the passage that the whole item would cover there; if enough of the item's words stand in it, both are
+aligned word by word (edits, insertions and omissions cost), and the alignment's score is set against a perfect copy.
 
 Items are taken in blocks of at most ``BLOCK_CHARS`` characters; only a block's n-grams and words go to the tasks. All rows
 of the corpus meet them in place: no text is shuffled, and popular passages meet in no single task.
@@ -24,9 +23,9 @@ from pyspark.sql import functions as F
 from screenloom.llm.scan import Words, gram_starts, owner, pieces, run_hashes, scan, word_hashes
 
 GRAM = 4
-WINDOW = 6
 THRESHOLD = 0.5  # of the score of a perfect copy
 BLOCK_CHARS = 1 << 22
+_SEEDS = 1 << 20  # of whole texts, expanded to their items at once
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 _BREAKS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 
@@ -93,18 +92,10 @@ class Items:
         sizes = sorted({min(gram, len(own)) for own in words if len(own)})
         return cls(ids, words, key[order].astype(np.uint64), which[order].astype(np.int64), where[order].astype(np.int64), sizes)
 
-    def seeds(self, rows: np.ndarray, window: int) -> Items:
-        """Keep the rarest n-gram of every window of an item; ``rows`` tells in how many texts each one stands."""
-        keep = np.zeros(len(self.keys), dtype=bool)
-        order = np.lexsort((self.place, self.item))
-        edges = np.searchsorted(self.item[order], np.arange(len(self.words) + 1))
-        for begin, end in zip(edges[:-1], edges[1:], strict=True):
-            own = order[begin:end]
-            for at in range(max(1, len(own) - window + 1)):
-                some = own[at : at + window]
-                if len(some):
-                    keep[some[np.lexsort((self.keys[some], rows[some]))[0]]] = True
-        return Items(self.ids, self.words, self.keys[keep], self.item[keep], self.place[keep], self.sizes)
+    def numbered(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The different words of all items, ascending, and each item's words as places in them."""
+        known = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+        return known, [np.searchsorted(known, own) for own in self.words]
 
     def hits(self, w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word number, first row of the n-gram) wherever an n-gram stands in the texts."""
@@ -122,40 +113,67 @@ class Items:
 # ---- passages ---------------------------------------------------------------------------------------------------
 
 
-def _passages(items: Items, w: Words, hashes: np.ndarray) -> dict[tuple[int, int], list[list[int]]]:
-    """For each (text, item) the merged word ranges that a copy of the item around a seed can cover."""
+def _passages(items: Items, w: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """For each text and item the merged word ranges that a copy of the item around a seed can cover."""
     at, row = items.hits(w, hashes)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    count = np.searchsorted(items.keys, items.keys[row], side="right") - row if len(row) else row
     text = owner(w.first)[at]
-    last = np.searchsorted(items.keys, items.keys[row], side="right") if len(row) else row
-    found: dict[tuple[int, int], list[list[int]]] = {}
-    for a, t, begin, end in sorted(zip(at.tolist(), text.tolist(), row.tolist(), last.tolist(), strict=True)):
-        for r in range(begin, end):
-            k = int(items.item[r])
-            size = len(items.words[k])
-            slack = size // 4 + 2
-            start = a - int(items.place[r]) - slack
-            low, high = max(int(w.first[t]), start), min(int(w.first[t + 1]), start + size + 2 * slack)
-            ranges = found.setdefault((t, k), [])
-            if ranges and low <= ranges[-1][1]:
-                ranges[-1][1] = max(high, ranges[-1][1])
-            else:
-                ranges.append([low, high])
-    return found
+    done = np.concatenate([[0], np.cumsum(count)])
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(done, done[begin] + _SEEDS, side="right")) - 1)
+        cut = int(np.searchsorted(text, text[end - 1])) if end < len(at) else end
+        end = cut if cut > begin else int(np.searchsorted(text, text[begin], side="right"))
+        yield from _merged(items, w, at[begin:end], text[begin:end], row[begin:end], count[begin:end])
+        begin = end
+
+
+def _merged(
+    items: Items, w: Words, at: np.ndarray, text: np.ndarray, row: np.ndarray, count: np.ndarray
+) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    hit = np.repeat(np.arange(len(at)), count)
+    gram = row[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
+    t, k = text[hit], items.item[gram]
+    size = np.array([len(own) for own in items.words], dtype=np.int64)[k]
+    slack = size // 4 + 2
+    start = at[hit] - items.place[gram] - slack
+    low, high = np.maximum(w.first[t], start), np.minimum(w.first[t + 1], start + size + 2 * slack)
+    order = np.lexsort((low, k, t))
+    t, k, low, high = t[order], k[order], low[order], high[order]
+    first = np.ones(len(t), dtype=bool)
+    first[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+    far = np.maximum.accumulate((np.cumsum(first) << 32) + high)  # a group's numbers exceed all before it
+    fresh = first.copy()
+    fresh[1:] |= low[1:] > (far[:-1] & 0xFFFFFFFF)
+    begins = np.flatnonzero(fresh)
+    ends = np.maximum.reduceat(high, begins)
+    edges = np.append(np.flatnonzero(first[begins]), len(begins))
+    lows, highs, ts, ks = (c.tolist() for c in (low[begins], ends, t[begins], k[begins]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield ts[a], ks[a], list(zip(lows[a:b], highs[a:b], strict=True))
 
 
 def leaks(items: Items, texts: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, end word) of every passage that aligns at or above the threshold, the best one
     for each text and item."""
     w, hashes = _words(texts)
+    known, numbers = items.numbered()
+    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    number = np.where(known[at] == hashes, at, len(known)) if len(known) else at
+    seen, stamp = np.full(len(known) + 1, -1), 0
     result = []
-    for (t, k), ranges in _passages(items, w, hashes).items():
+    for t, k, ranges in _passages(items, w, hashes):
         item = items.words[k]
         perfect = MATCH * len(item)
         best = (0.0, 0, 0)
         for low, high in ranges:
             passage = hashes[low:high]
             # no alignment scores more than a match for every item word that stands in the passage
-            if MATCH * np.isin(item, passage).sum() < threshold * perfect:
+            stamp += 1
+            seen[number[low:high]] = stamp
+            if MATCH * (seen[numbers[k]] == stamp).sum() < threshold * perfect:
                 continue
             score, a, b = align(item, passage)
             if score / perfect > best[0]:
@@ -184,34 +202,11 @@ def _blocks(benchmark: DataFrame, gram: int, block_chars: int) -> Iterator[Items
         yield Items.of(ids, pa.array(texts, pa.large_string()), gram)
 
 
-def _seeded(docs: DataFrame, items: Items, window: int) -> Items:
-    """Count the texts of every n-gram of the block over the whole corpus, and choose the seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = np.zeros(len(items.keys), np.int64)
-            for piece in pieces(batch, "text"):
-                w, hashes = _words(piece.column("text"))
-                at, row = items.hits(w, hashes)
-                pairs = np.unique(np.stack([owner(w.first)[at], row]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-                np.add.at(total, pairs[1], 1)
-            rows = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total[rows])], names=["row", "texts"])
-
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counted = texts.mapInArrow(run, "row long, texts long").groupBy("row").agg(F.sum("texts").alias("texts")).toArrow()
-    total = np.zeros(len(items.keys), np.int64)
-    total[counted["row"].to_numpy()] = counted["texts"].to_numpy()
-    _, first, same = np.unique(items.keys, return_index=True, return_inverse=True)
-    return items.seeds(total[first][same], window)
-
-
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     threshold: float = THRESHOLD,
     gram: int = GRAM,
-    window: int = WINDOW,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Rows (doc_id, item_id, score, first_word, end_word): the best passage of each document for each item whose
@@ -224,17 +219,15 @@ def find_leaks(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     result = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark, gram, block_chars):
-        seeds = _seeded(docs, block, window)
-
-        def run(batches: Iterator[pa.RecordBatch], seeds: Items = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in pieces(batch, "text"):
-                    found = leaks(seeds, piece.column("text"), threshold)
+                    found = leaks(block, piece.column("text"), threshold)
                     t, k, score, a, b = (list(c) for c in zip(*found, strict=True)) if found else ([],) * 5
                     yield pa.RecordBatch.from_arrays(
                         [
                             piece.column("doc_id").take(pa.array(t, pa.int64())),
-                            pa.array([seeds.ids[i] for i in k], pa.int64()),
+                            pa.array([block.ids[i] for i in k], pa.int64()),
                             pa.array(score, pa.float64()),
                             pa.array(a, pa.int64()),
                             pa.array(b, pa.int64()),
@@ -251,19 +244,16 @@ def drop_leaks(
     benchmark: DataFrame,
     threshold: float = THRESHOLD,
     gram: int = GRAM,
-    window: int = WINDOW,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """The rows of ``docs`` without a leak of any item, all columns. Each block of items is one more pass in place."""
     names, result = docs.columns, docs
     for block in _blocks(benchmark, gram, block_chars):
-        seeds = _seeded(docs, block, window)
-
-        def run(batches: Iterator[pa.RecordBatch], seeds: Items = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in pieces(batch, "text"):
                     clean = np.ones(len(piece), dtype=bool)
-                    clean[[found[0] for found in leaks(seeds, piece.column("text"), threshold)]] = False
+                    clean[[found[0] for found in leaks(block, piece.column("text"), threshold)]] = False
                     yield piece.filter(pa.array(clean)).select(names)
 
         result = result.mapInArrow(run, docs.schema)

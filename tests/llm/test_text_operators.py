@@ -479,6 +479,25 @@ def test_decontamination(spark, none):
     assert decontam.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_lone_edited_copies(spark):
+    """One copy of each item, every 6th to 9th word replaced, and no verbatim copy anywhere."""
+    rng = random.Random(8)
+    items = [(k, " ".join(f"i{rng.randrange(5000)}" for _ in range(rng.randrange(30, 60)))) for k in range(24)]
+    rows = []
+    for k, text in items:
+        copy, step = text.split(), 6 + k % 4
+        copy[step - 1 :: step] = [f"edit{k}x{i}" for i in range(len(copy[step - 1 :: step]))]
+        around = [f"o{rng.randrange(5000)}" for _ in range(80)]
+        rows.append((1000 + k, " ".join(around[:40] + copy + around[40:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.find_leaks(docs, benchmark).collect()}
+    assert set(found) == {(1000 + k, k) for k, _ in items}
+    for k, text in items:
+        assert found[1000 + k, k] == pytest.approx(brute_alignment(text.split(), rows[k][1].split()) / (2 * len(text.split())))
+    assert decontam.drop_leaks(docs, benchmark).count() == 0
+
+
 # ---- 1 ----------------------------------------------------------------------------------------------------------
 
 
