@@ -1,13 +1,17 @@
 """Cross-entropy difference between two matched n-gram models.
 
 The target model counts the words of chosen documents, the background model those of all documents. Both share one
-vocabulary (the commonest words of the corpus, one symbol for all others, one for the beginning of a text), one table
-layout and one smoothing, so their losses differ by the counts alone. A document's score is the mean over its tokens of
-the loss under the target model minus the loss under the background model: the lower, the more it reads like the target.
+vocabulary (every word of the corpus, and one symbol for the beginning of a text) and one smoothing, so their losses differ by
+the counts alone. A document's score is the mean over its tokens of the loss under the target model minus the loss under the
+background model: the lower, the more it reads like the target.
 
-Words are counted over the whole corpus, and bigrams too: each task adds up what it reads before the shuffle, so hot words
-and bigrams reach it once a task. The models that come back are bounded by ``vocabulary`` and ``cells``: bigrams are
-counted in hashed cells.
+Bigrams are counted exactly, in a table that grows with the corpus: each task adds up what it reads before the shuffle, so
+hot bigrams reach it once a task; word counts are sums of that table. Losses are found once for each different bigram. The
+commonest bigrams, ``HOT`` at most, go to the tasks; a document's other bigrams meet their losses in a join, and none of them
+stands in more documents than the rarest common one. Words and bigrams are equal where their 64-bit hashes are.
+
+``fit`` and ``score`` are the same scores from a model of bounded size that is held in memory, with the commonest
+words and bigrams in hashed cells; the query does not use them.
 """
 
 from __future__ import annotations
@@ -21,9 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.llm.scan import mix, owner, pieces, scan, word_hashes
+from screenloom.session import stage
 
 VOCABULARY = 32_768
 CELLS = 1 << 20
+HOT = 1 << 20  # bigrams whose losses go to the tasks
+BEGIN = 0  # stands for the word before a text
+_HELD = 1 << 21  # different bigrams a task adds up before it hands them on
+_ROWS = 1 << 16
 PRIOR = 8.0  # how many tokens the unigram share weighs against the bigram counts
 
 
@@ -138,10 +147,163 @@ def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+# ---- counts that grow with the corpus ---------------------------------------------------------------------------
+
+
+def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: its text, the hash of the word before it, its hash."""
+    w = scan(texts)
+    now = word_hashes(w)
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[w.first[:-1][np.diff(w.first) > 0]] = BEGIN
+    return owner(w.first), before, now
+
+
+def _keys(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + now)
+
+
+def _added(before: np.ndarray, now: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different bigram once, with its counts added up."""
+    _, at, place = np.unique(_keys(before, now), return_index=True, return_inverse=True)
+    total = [np.bincount(place, counts[:, k], minlength=len(at)).astype(np.int64) for k in range(counts.shape[1])]
+    return before[at], now[at], np.stack(total, axis=1)
+
+
+def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _added(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def rows(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns = [found[0].view(np.int64), found[1].view(np.int64), found[2][:, 0], found[2][:, 1]]
+        for at in range(0, len(columns[0]), _ROWS):
+            some = [pa.array(c[at : at + _ROWS]) for c in columns]
+            yield pa.RecordBatch.from_arrays(some, names=["before", "now", "target", "background"])
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            text, before, now = _bigrams(piece.column("text"))
+            chosen = piece.column("target").to_numpy(zero_copy_only=False).astype(bool)[text]
+            held.append(_added(before, now, np.stack([chosen, np.ones(len(text), bool)], axis=1)))
+            if sum(len(h[0]) for h in held) > 2 * _HELD:
+                held = [merged()]
+                if len(held[0][0]) > _HELD:
+                    yield from rows(held.pop())
+    if held:
+        yield from rows(merged())
+
+
+def _summed(counts: DataFrame, *by: str) -> DataFrame:
+    return counts.groupBy(*by).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def bigram_losses(texts: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(before, now, background, target_loss, background_loss) of every bigram in ``texts`` (text, target), with the loss of
+    ``now`` behind ``before`` under both models."""
+    pairs = stage(_summed(texts.mapInArrow(_count_bigrams, "before long, now long, target long, background long"), "before", "now"), "bigrams")
+    words = stage(_summed(pairs, "now").withColumnRenamed("now", "word"), "words")
+    size = words.agg(F.count("*").alias("kinds"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
+    begins = _summed(pairs.where(F.col("before") == BEGIN), "before").withColumnRenamed("before", "word")
+    own = words.select(F.col("word").alias("now"), F.col("target").alias("now_target"), F.col("background").alias("now_background"))
+    first = words.union(begins).select(
+        F.col("word").alias("before"), F.col("target").alias("before_target"), F.col("background").alias("before_background")
+    )
+
+    def loss(side: str):
+        share = (F.col(f"now_{side}") + F.lit(1.0)) / F.lit(float((size[side] or 0) + max(size["kinds"], 1)))
+        return -F.log((F.col(side) + F.lit(float(prior)) * share) / (F.col(f"before_{side}") + F.lit(float(prior))))
+
+    losses = [loss(side).alias(f"{side}_loss") for side in ("target", "background")]
+    return pairs.join(own, "now").join(first, "before").select("before", "now", "background", *losses)
+
+
+def _hot_from(losses: DataFrame, hot: int) -> int | None:
+    """The least background count from which there are at most ``hot`` bigrams, to a sixteenth of an octave; None if all are."""
+    step = F.floor(F.log2("background") * 16).cast("int")
+    found = losses.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("background").alias("least")).collect()
+    total, least = 0, None
+    for row in sorted(found, key=lambda r: -r["step"]):
+        total += row["n"]
+        if total > hot:
+            return least if least is not None else row["least"] * 2 + 1
+        least = row["least"]
+    return None
+
+
+def score_all(docs: DataFrame, texts: DataFrame, prior: float = PRIOR, hot: int = HOT) -> DataFrame:
+    """One row per document of ``docs``: doc_id, n_tokens, target_loss, background_loss, difference, under the models of all
+    rows of ``texts`` (text, and the boolean target), which hold every text of ``docs``.
+
+    Losses depend on the text alone, so they are added up by the hash of the text; copies share their mean.
+    """
+    spark = docs.sparkSession
+    losses = stage(bigram_losses(texts, prior), "losses")
+    least = _hot_from(losses, hot)
+    table = (losses if least is None else losses.where(F.col("background") >= least)).drop("background").toArrow()
+    keys = _keys(*(table[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("before", "now")))
+    order = np.argsort(keys)
+    known = np.stack([table[c].to_numpy().astype(float)[order] for c in ("target_loss", "background_loss")], axis=1)
+    shared = spark.sparkContext.broadcast((keys[order], known))
+
+    def looked_up(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        keys, _ = shared.value
+        text, before, now = _bigrams(texts)
+        key = _keys(before, now)
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        return text, before, now, at, keys[at] == key if len(keys) else np.zeros(len(key), bool)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                text, _, _, at, hit = looked_up(piece.column("text"))
+                n = len(piece)
+                count, cold = np.bincount(text, minlength=n), np.bincount(text[~hit], minlength=n)
+                sums = [np.bincount(text[hit], shared.value[1][at[hit], k], minlength=n).astype(float) for k in range(2)]
+                columns = [piece.column("doc_id"), piece.column("key"), *map(pa.array, (count, cold, *sums))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_tokens", "n_cold", "hot_target", "hot_background"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                text, before, now, _, hit = looked_up(piece.column("text"))
+                key = pa.array(piece.column("key").to_numpy(zero_copy_only=False)[text[~hit]].astype(np.int64))
+                columns = [key, pa.array(before[~hit].view(np.int64)), pa.array(now[~hit].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "before", "now"])
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = narrow.withColumn("key", F.xxhash64("text"))
+    schema = "doc_id long, key long, n_tokens long, n_cold long, hot_target double, hot_background double"
+    found = narrow.mapInArrow(common, schema)
+    if least is None:
+        found = found.withColumns({"cold_target": F.lit(0.0), "cold_background": F.lit(0.0)})
+    else:
+        pair = F.xxhash64("before", "now").alias("pair")
+        cold = losses.where(F.col("background") < least).select(pair, "target_loss", "background_loss")
+        tokens_left = narrow.mapInArrow(rare, "key long, before long, now long").select("key", pair)
+        means = tokens_left.join(cold, "pair").groupBy("key").agg(
+            F.avg("target_loss").alias("cold_target"), F.avg("background_loss").alias("cold_background")
+        )
+        found = found.join(means, "key", "left")
+        mean = lambda side: F.coalesce(F.col(f"cold_{side}") * F.col("n_cold"), F.lit(0.0))
+        found = found.withColumns({f"cold_{side}": mean(side) for side in ("target", "background")})
+
+    def per_token(side: str):
+        return ((F.col(f"hot_{side}") + F.col(f"cold_{side}")) / F.greatest("n_tokens", F.lit(1))).alias(f"{side}_loss")
+
+    scored = found.select("doc_id", "n_tokens", per_token("target"), per_token("background"))
+    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label: str = "quality", hot: int = HOT) -> DataFrame:
     """Score all documents, with those labelled 1 as the target. Labels meet documents by id; of labels that share an id the
-    greatest counts. Both sides are dealt out by id at every size: labels grow with the corpus and are never broadcast."""
+    greatest counts. Both sides are dealt out by id at every size: labels grow with the corpus and are never broadcast.
+
+    A null text or one without words has no tokens and zero losses. Rows are judged one by one, so repeated rows and ids give
+    repeated results; an empty table gives an empty result; other columns are ignored.
+    """
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label)).alias("_label"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = narrow.join(known.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_target", F.col("_label") == 1)
-    return score(docs, fit(marked, "_target"))
+    marked = narrow.join(known.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    return score_all(narrow, marked.select("text", F.coalesce(F.col("_label") == 1, F.lit(False)).alias("target")), hot=hot)

@@ -419,6 +419,38 @@ def test_lm_score(spark, docs, none):
     assert lm_score.cross_entropy_difference(docs, labels.limit(0)).count() == len(texts)
 
 
+@pytest.mark.parametrize("hot", [0, 5, 300, lm_score.HOT])
+def test_lm_score_counts_every_word_and_bigram(spark, docs, hot):
+    """More words than the bounded vocabulary has, against plain counts, wherever the losses of common bigrams come from."""
+    rng = random.Random(11)
+    rare = [" ".join(f"r{k}x{i}" for i in range(300)) for k in range(130)] + [" ".join(rng.choice("abcdef") for _ in range(400))] * 3
+    more = spark.createDataFrame([(5000 + k, t) for k, t in enumerate(rare)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").union(more)
+    texts = [(i, t, words_of(t)) for i, t in ids_and_texts(every)]
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(sorted({i for i, _, _ in texts if i is not None}))], LABELS)
+    target = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    single, double = [{}, {}], [{}, {}]
+    for i, _, words in texts:
+        for k in [0] * (i in target) + [1]:
+            for a, b in zip([None, *words], [*words, None], strict=True):
+                single[k][a] = single[k].get(a, 0) + bool(words)
+                double[k][a, b] = double[k].get((a, b), 0) + 1
+    kinds = len({b for _, _, words in texts for b in words})
+    assert kinds > lm_score.VOCABULARY
+    totals = [sum(n for a, n in s.items() if a is not None) for s in single]
+    expected = []
+    for i, _, words in texts:
+        loss = [0.0, 0.0]
+        for k in range(2):
+            for a, b in zip([None, *words[:-1]], words, strict=True) if words else ():
+                share = (single[k].get(b, 0) + 1) / (totals[k] + kinds)
+                loss[k] -= np.log((double[k].get((a, b), 0) + 8 * share) / (single[k].get(a, 0) + 8)) / len(words)
+        expected.append((i, len(words), round(float(loss[0]), 7), round(float(loss[1]), 7)))
+    found = lm_score.cross_entropy_difference(every, labels, hot=hot).collect()
+    got = [(r["doc_id"], r["n_tokens"], round(r["target_loss"], 7), round(r["background_loss"], 7)) for r in found]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 # ---- 10 ---------------------------------------------------------------------------------------------------------
 
 
