@@ -96,7 +96,7 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9, slack=None)
 
 
 @register

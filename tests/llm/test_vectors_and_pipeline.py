@@ -93,6 +93,19 @@ def test_embeddings_recall(spark):
     assert sum(found.values()) / links > 0.99
 
 
+@pytest.mark.parametrize("rank", [4, 8])
+def test_embedding_query_loses_no_link(spark, tmp_path, rank):
+    """The query on vectors of low intrinsic dimension, where links cross borders at a distance."""
+    rng = np.random.default_rng(rank)
+    rows = rng.normal(size=(1600, rank)) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T
+    rows = np.vstack([rows, rows + rng.normal(size=(1600, rank)) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T * 0.4])
+    ids = list(range(len(rows)))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries.QUERIES["op5_embedding_dedup"](spark, str(tmp_path)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == brute(ids, rows, 0.9)
+
+
 # ---- queries and pipeline ---------------------------------------------------------------------------------------
 
 
