@@ -1,19 +1,29 @@
-"""Exact nearest neighbours among a bounded set of points.
+"""Exact nearest neighbours.
 
-The points (labelled rows of a classifier, bases of an oversampling) are bounded by a documented parameter and chosen by
-a hash of their id; as one matrix of checked size they go to every task. Queries of any number stream against it in
-Arrow batches: the work is linear in the queries, nothing is replicated or shuffled, and no group can grow hot.
+A search goes through all points, in blocks of ``BLOCK_POINTS``: as one matrix a block goes to every task, queries of any
+number stream against it in Arrow batches, and the k best of each query are merged after every few blocks. No group can grow
+hot. A classifier searches a bounded set of its labelled rows, chosen by a hash of their id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from screenloom.functions.hashing import hash32
+from screenloom.session import stage
 
-MAX_POINTS = 20_000
+MAX_POINTS = 20_000  # labelled rows of a classifier
+BLOCK_POINTS = 20_000
+_BLOCKS = 8  # searched before their results are merged
 _QUERIES = 256  # compared at once
 
 
@@ -28,22 +38,62 @@ def nearest_neighbors(
     k: int,
     exclude_same_id: bool = False,
     payload: list[str] | None = None,
-    max_points: int = MAX_POINTS,
+    max_points: int | None = None,
 ) -> DataFrame:
-    """(query_id, rank, distance, id, payload ...): the k nearest of the chosen points for every query, ties by id.
+    """(query_id, rank, distance, id, payload ...): the k nearest points for every query, ties by id; with ``max_points`` the
+    nearest of the chosen points.
 
     Both inputs carry (id bigint, vec array<double>). Payload columns of the points are passed through. Without points
     there are no neighbours.
     """
     payload = payload or []
-    table = chosen_points(points.select("id", "vec", *payload), max_points).toArrow().to_pandas()
+    points = points.select("id", "vec", *payload)
+    if max_points is not None:
+        table = chosen_points(points, max_points).toArrow().to_pandas()
+        return _among(queries.withColumn("_row", F.lit(0).cast("long")), points, table, k, exclude_same_id, payload).drop("_row")
+    blocks = _blocks(points)
+    ahead = list(islice(blocks, 2))
+    if len(ahead) == 1:
+        return _among(queries.withColumn("_row", F.lit(0).cast("long")), points, ahead[0], k, exclude_same_id, payload).drop("_row")
+    # Queries that share an id stay apart by their row number, which is fixed once it is written.
+    rows = stage(queries.select("id", "vec").withColumn("_row", F.monotonically_increasing_id()), "queries")
+    best = None
+    while ahead:
+        found = [_among(rows, points, table, k, exclude_same_id, payload) for table in ahead]
+        best = stage(_best(found if best is None else [best, *found], k, payload), "nearest")
+        ahead = list(islice(blocks, _BLOCKS))
+    return best.drop("_row")
+
+
+def _blocks(points: DataFrame) -> Iterator[pd.DataFrame]:
+    """All points, ``BLOCK_POINTS`` at a time; one empty block if there are none."""
+    schema, rows, first = to_arrow_schema(points.schema), points.toLocalIterator(), True
+    while (block := list(islice(rows, BLOCK_POINTS))) or first:
+        columns = [pa.array([r[i] for r in block], f.type) for i, f in enumerate(schema)]
+        yield pa.table(columns, names=schema.names).to_pandas()
+        first = False
+
+
+def _best(found: list[DataFrame], k: int, payload: list[str]) -> DataFrame:
+    """The k nearest of each query, of at most k from every block."""
+    entries = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id", *payload))), 1, k)
+    every = reduce(DataFrame.unionByName, found).groupBy("_row", "query_id").agg(entries.alias("_best"))
+    ranked = every.select("_row", "query_id", F.posexplode("_best").alias("_place", "_near"))
+    rank = (F.col("_place") + 1).cast("int").alias("rank")
+    return ranked.select("_row", "query_id", rank, *[F.col("_near")[c].alias(c) for c in ("distance", "id", *payload)])
+
+
+def _among(
+    queries: DataFrame, points: DataFrame, table: pd.DataFrame, k: int, exclude_same_id: bool, payload: list[str]
+) -> DataFrame:
+    """The k nearest of the points in ``table`` for every query, with the query's ``_row``."""
     table = table.sort_values("id", ignore_index=True)
     width = len(table["vec"].iloc[0]) if len(table) else 0
     matrix = np.array(table["vec"].tolist(), dtype=float).reshape(len(table), width)
     ids, extras = table["id"].to_numpy(), table[payload]
     squares = (matrix * matrix).sum(1)
     extra = {f.name: f.dataType.simpleString() for f in points.schema if f.name in payload}
-    schema = "query_id bigint, rank int, distance double, id bigint" + "".join(f", {c} {t}" for c, t in extra.items())
+    schema = "_row bigint, query_id bigint, rank int, distance double, id bigint" + "".join(f", {c} {t}" for c, t in extra.items())
     shared = queries.sparkSession.sparkContext.broadcast((matrix, ids, squares, extras))
 
     def match(batches):
@@ -55,7 +105,7 @@ def nearest_neighbors(
             for start in range(0, len(batch) if take else 0, _QUERIES):
                 part = batch.iloc[start : start + _QUERIES]
                 q = np.stack(part["vec"].to_numpy()).astype(float)
-                own = part["id"].to_numpy()
+                own, number = part["id"].to_numpy(), part["_row"].to_numpy()
                 rough = (q * q).sum(1)[:, None] + squares[None, :] - 2 * q @ matrix.T
                 if exclude_same_id:
                     rough[own[:, None] == ids[None, :]] = np.inf
@@ -77,9 +127,10 @@ def nearest_neighbors(
                 found.insert(0, "distance", exact[keep])
                 found.insert(0, "rank", (place[keep] + 1).astype("int32"))
                 found.insert(0, "query_id", own[rows[keep]])
+                found.insert(0, "_row", number[rows[keep]])
                 yield found
 
-    return queries.select("id", "vec").mapInPandas(match, schema)
+    return queries.select("id", "vec", "_row").mapInPandas(match, schema)
 
 
 def classify(test: DataFrame, train: DataFrame, k: int = 11, max_points: int = MAX_POINTS) -> DataFrame:

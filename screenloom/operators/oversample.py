@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.functions.hashing import hash32, hash_uniform
-from screenloom.operators.neighbors import MAX_POINTS, nearest_neighbors
+from screenloom.operators.neighbors import nearest_neighbors
 from screenloom.operators.positions import with_position
 
 COPY_BLOCK = 1024
 HASH_BLOCK = 1 << 16
 
 
-def smote(rows: DataFrame, seed: int = 42, max_neighbors: int = 5, max_points: int = MAX_POINTS) -> DataFrame:
+def smote(rows: DataFrame, seed: int = 42, max_neighbors: int = 5, max_points: int | None = None) -> DataFrame:
     """Fill every class up to the largest one. ``rows`` carry (id bigint, label int, vec array<double>); it is read
     several times.
 
     Every row of a smaller class is a base equally often (the remainder goes to rows chosen by hash). Each new point
-    lies on the segment from its base to one of the base's nearest neighbours among at most ``max_points`` rows of
-    its class. A class without a neighbour, or with nothing missing, is left as it is; so are rows without a label.
+    lies on the segment from its base to one of the base's nearest neighbours in its class, or among ``max_points`` rows
+    of it. A class without a neighbour, or with nothing missing, is left as it is; so are rows without a label.
     """
     rows = rows.select("id", "label", "vec").withColumn("synthetic", F.lit(False))
     counts = {r["label"]: r["n"] for r in rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -31,7 +31,7 @@ def smote(rows: DataFrame, seed: int = 42, max_neighbors: int = 5, max_points: i
     return reduce(DataFrame.unionByName, made, rows)
 
 
-def _between(rows: DataFrame, label: int, size: int, missing: int, seed: int, max_neighbors: int, max_points: int) -> DataFrame:
+def _between(rows: DataFrame, label: int, size: int, missing: int, seed: int, max_neighbors: int, max_points: int | None) -> DataFrame:
     """``missing`` new rows of one class of ``size`` rows."""
     base = rows.where(F.col("label") == label).select("id", "vec")
     neighbors = max(1, min(max_neighbors, size - 1))

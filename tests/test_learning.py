@@ -168,6 +168,36 @@ def test_neighbors_among_chosen_points(spark):
     assert nn.nearest_neighbors(points.limit(0), points, 3).count() == 0
 
 
+def test_neighbors_among_all_points(spark):
+    """More points than a classifier or a block holds: none is left out; nor is a point next to its base in smote."""
+    x = np.random.default_rng(4).normal(size=(20_600, 2))
+    points = vectors(spark, x)
+    got = nn.nearest_neighbors(points.where("id % 500 = 0"), points, 3, exclude_same_id=True).collect()
+    found = {(r.query_id, r["rank"]): r.id for r in got}
+    for q in range(0, len(x), 500):
+        assert [found[(q, k)] for k in (1, 2, 3)] == np.argsort(((x - x[q]) ** 2).sum(1))[1:4].tolist()
+
+
+def test_blocks_of_points_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nn, "BLOCK_POINTS", 7)
+    x = np.round(np.random.default_rng(6).normal(size=(150, 2)), 1)  # with ties
+    points = vectors(spark, x)
+    twice = points.where("id < 40").union(points.where("id < 3"))  # queries that share an id
+    got = nn.nearest_neighbors(twice, points.withColumn("label", F.col("id") % 3), 9, payload=["label"]).collect()
+    expected = []
+    for q in [*range(40), *range(3)]:
+        distance = np.sqrt(((x - x[q]) ** 2).sum(1))
+        expected += [(q, k + 1, float(distance[i]), int(i), int(i) % 3) for k, i in enumerate(np.lexsort((np.arange(150), distance))[:9])]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    rows = [(i, 1 if i < 30 else 0, x[i].tolist()) for i in range(150)]
+    out = smote(spark.createDataFrame(rows, "id long, label int, vec array<double>")).where("synthetic").collect()
+    assert len(out) == 90
+    for r in out:
+        near = np.argsort(((x[:30] - x[r.id]) ** 2).sum(1), kind="stable")
+        reach = np.linalg.norm(x[near[5]] - x[r.id])
+        assert np.linalg.norm(np.array(r.vec) - x[r.id]) <= reach + 1e-9
+
+
 def test_smote_of_several_classes(spark):
     rows = [(i, i % 10 and (1 if i % 3 else 2), [float(i), 1.0]) for i in range(60)] + [(100, None, [0.0, 0.0])]
     out = smote(spark.createDataFrame(rows, "id long, label int, vec array<double>")).groupBy("label").count().collect()
