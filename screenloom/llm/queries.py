@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.llm import decontam, embed_dedup, hard_negatives, lm_score, mixing, quality_gam, secret_scan, simhash, substring
-from screenloom.llm import token_files, toxicity
+from screenloom.llm import periodic, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +139,80 @@ WITH rows AS (
 )
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
 """
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The texts of one document in ten with periodic words from some place on, by the crc32 of their doc_id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    texts = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    some = texts.withColumn("n", F.size("words").cast("long"))
+    placed = some.withColumn("a", F.col("g") % F.nullif(F.greatest("n", F.lit(0)), F.lit(0)))
+    rest = F.col("n") - F.col("a")
+    periodic_words = placed.withColumn("p", (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int")).withColumn("a", F.col("a").cast("int"))
+    copies = F.ceil(rest / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), copies)), F.lit(1), rest.cast("int"))
+    text = F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " "))
+    return periodic_words.select("doc_id", text.alias("text"))
+
+
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_planted_runs(_read(spark, sf_dir, "documents")))
+    # the least start and period come first, so only a greater exponent replaces what was best before
+    greater = "CASE WHEN best IS NULL OR r.length * best.period > best.length * r.period THEN r ELSE best END"
+    best = F.expr(f"aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>), (best, r) -> {greater})")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    chosen = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    return chosen.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+CHECKS["op12_periodic_runs"] = r"""
+WITH hashed AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+        xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+                lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h
+    FROM documents
+), sized AS (
+    SELECT doc_id, words, len(words) AS n, h, h // 10 AS g FROM hashed
+), placed AS (
+    SELECT doc_id, words, n, h % 10 = 0 AND n > 0 AS planted, CASE WHEN n > 0 THEN g % n END AS a, g FROM sized
+), texts AS (
+    SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n),
+        lambda i: words[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE words END AS words
+    FROM placed
+), places AS (
+    SELECT doc_id, n, words, unnest(range(0, n - 2)) AS i FROM texts WHERE n >= 6
+), grams AS (
+    SELECT doc_id, n, i, words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] AS gram FROM places
+), often AS (
+    SELECT doc_id, n, i, gram FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) >= 3
+), pairs AS (  -- words i to i + 2 stand again q later
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM often x JOIN often y ON x.doc_id = y.doc_id AND x.gram = y.gram
+    WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+    SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length FROM islands GROUP BY doc_id, q, island
+), runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM stretches
+    WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+        arg_min({'start': start, 'length': length, 'period': period}, (-length / period, start, period)) AS best
+    FROM runs GROUP BY doc_id
+), gone AS (
+    SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+    1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+    sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE
+        list_transform(list_filter(list_zip(words, range(n)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed l ON t.doc_id = l.doc_id LEFT JOIN gone g ON t.doc_id = g.doc_id
+"""
