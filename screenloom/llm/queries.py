@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import decontam, embed_dedup, hard_negatives, lm_score, mixing, quality_gam, secret_scan, simhash, substring
+from screenloom.llm import chat, decontam, embed_dedup, hard_negatives, lm_score, mixing, quality_gam, secret_scan, simhash, substring
 from screenloom.llm import periodic, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +141,18 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 """
 
 
+@register
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    said = "\\### Assistant: </turn> ok"
+    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    count = chat.RankedTokens(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chat.digests(chat.read_back(chat.format_windows(turns, count)))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """The texts of one document in ten with periodic words from some place on, by the crc32 of their doc_id."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
