@@ -7,6 +7,8 @@ Arrow batch inside a task; nothing keeps state between batches.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+PIECE = 1 << 20  # bytes of text worked on at once; arrays of several numbers a byte are made for them
 BLANKS = b" \t\n\x0b\x0c\r"
 _SEGMENT = 1 << 20  # bytes hashed at once; longer words are hashed one by one
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2^64
@@ -32,8 +35,20 @@ class Words:
     first: np.ndarray
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with at most ``limit`` bytes of text each; a longer text stands alone."""
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a worker that waits for its next task keeps none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``limit`` bytes of text each; a longer text stands alone. Memory freed
+    meanwhile goes back after each batch."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype("float64"))
     begin, total = 0, 0.0
     for row, size in enumerate(sizes):
@@ -43,6 +58,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         total += size
     if begin < len(sizes):
         yield batch.slice(begin)
+    release()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
