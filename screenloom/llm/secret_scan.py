@@ -2,7 +2,8 @@
 
 Pattern kinds are reported as they match. Structural kinds are reported only after decoding: a base64 or hex candidate
 must hold a complete key encoding whose nested lengths add up (DER, SSH), a PEM block must decode to one, and a signed
-token must begin with a JSON header that names an algorithm.
+token must begin with a JSON header that names an algorithm. A key's own length says how many characters of base64 belong to
+it, so it is found behind a path, before other text and wrapped into lines; a PEM block is also found inside base64.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,15 +29,22 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){32,}(?![0-9A-Za-z])")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]*")
+_BREAK = re.compile(r"""[\x20\t"']*(?:\r?\n|\\r\\n|\\n)[\x20\t"']*(?=[A-Za-z0-9+/_-])""")
+# Where base64 of a DER sequence can begin: its tag and length fix the first two characters. Also behind a path or a mark.
+_DER_START = re.compile(r"(?<![A-Za-z0-9])(?=M[A-P][A-Za-z0-9+/_-]{14})")
+_SSH_START = re.compile(r"b3BlbnNzaC1rZXktdjEA")
+_PEM_START = re.compile(r"LS0tLS1CRUdJTi")
+_HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Za-z])")
 # Texts without any of these hold nothing: one pass of a linear-time matcher over a whole batch.
 _MAYBE = (
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|"""
-    r"""[0-9A-F]{64}|eyJ[A-Za-z0-9_-]+\.|-----BEGIN|[A-Za-z0-9+/_-]{40}"""
+    r"""[0-9A-Fa-f]{64}|e[wy][A-Za-z0-9_-]+\.|-----BEGIN|M[A-P][A-Za-z0-9+/_-]{14}|[A-Za-z0-9+/_-]{40}"""
 )
+KEY_BYTES = 1 << 16  # no key encoding is longer
 _SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 
 
@@ -68,10 +76,11 @@ def is_der_key(data: bytes) -> bool:
     outer = _der_items(data, 0, len(data)) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
-    tags = [t for t, _, _ in _der_items(data, outer[0][1], outer[0][2]) or []]
+    inner = _der_items(data, outer[0][1], outer[0][2]) or []
+    tags, sizes = [t for t, _, _ in inner], [end - begin for _, begin, end in inner]
     private = len(tags) >= 3 and tags[0] == 0x02 and tags[1] in (0x02, 0x04, 0x30)
-    public = tags in ([0x30, 0x03], [0x02, 0x02])
-    return private or public
+    modulus = tags == [0x02, 0x02] and sizes[0] >= 64 and sizes[1] <= 8  # two numbers alike are a signature
+    return private or modulus or tags == [0x30, 0x03]
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -100,13 +109,123 @@ def _base64(text: str) -> bytes:
         return b""
 
 
+def _json_object(text: str) -> dict | None:
+    try:
+        value = json.loads(_base64(text))
+    except (ValueError, RecursionError):  # also of bytes that are no text, and of nesting beyond any real header
+        return None
+    return value if isinstance(value, dict) else None
+
+
 def is_signed_token(text: str) -> bool:
     """Header and payload are JSON objects, and the header names an algorithm."""
-    try:
-        header, payload = (json.loads(_base64(part)) for part in text.split(".")[:2])
-    except ValueError:  # also of bytes that are no text
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
+    header, payload = (_json_object(part) for part in text.split(".")[:2])
+    return header is not None and isinstance(header.get("alg"), str) and payload is not None
+
+
+def _signed_tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """Three parts in a row of a dotted run; a header may follow a mark or letters that belong to no token. Each part is
+    decoded a fixed number of times, so the search is linear."""
+    for m in _DOTTED.finditer(text):
+        ends, at = [], m.start()
+        for part in m[0].split("."):
+            ends.append((at, at + len(part)))
+            at += len(part) + 1
+        k = 0
+        while k + 2 < len(ends):
+            (begin, end), (_, close), (_, last) = ends[k : k + 3]
+            mark = max(text.rfind("-", begin, end), text.rfind("_", begin, end)) + 1
+            starts = {begin, text.find("eyJ", begin, end), max(mark, begin)}
+            good = [s for s in sorted(starts) if s >= begin and text[s : s + 2] in ("ey", "ew") and is_signed_token(text[s:close])]
+            if good:
+                yield "jwt", good[0], last
+            k += 3 if good else 1
+
+
+def _gather(text: str, at: int, most: int) -> tuple[str, int]:
+    """Up to ``most`` base64 characters from ``at`` on, over line breaks, and where they end."""
+    parts, size = [], 0
+    while True:
+        end = _RUN.match(text, at, at + most - size).end()
+        parts.append(text[at:end])
+        size += end - at
+        further = _BREAK.match(text, end) if size < most else None
+        if further is None:
+            return "".join(parts), end
+        at = further.end()
+
+
+def _key_span(text: str, at: int, size: int | None, check: Callable[[bytes], bool]) -> tuple[int, int] | None:
+    """The span of ``size`` encoded bytes from ``at`` on if ``check`` accepts them, with the marks that fill them up."""
+    if size is None or not 24 <= size <= KEY_BYTES:
+        return None
+    need = -(-size * 4 // 3)
+    body, end = _gather(text, at, need)
+    if len(body) < need or not check(_base64(body)[:size]):
+        return None
+    return at, _filled(text, end)
+
+
+def _filled(text: str, end: int) -> int:
+    """The end of base64 with the marks that fill up its last group."""
+    return end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+
+
+def _der_size(data: bytes) -> int | None:
+    """Bytes of the sequence that begins here, by its own length."""
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    if data[1] < 0x80:
+        return 2 + data[1]
+    count = data[1] & 0x7F
+    return 2 + count + int.from_bytes(data[2 : 2 + count], "big") if 1 <= count <= 4 else None
+
+
+def _ssh_size(text: str, start: int) -> int | None:
+    """Bytes of the OpenSSH private key that begins at ``start``: three names, a count, as many public keys, the private
+    part. No more is decoded than the lengths read so far ask for."""
+    at, left, count = 15, 3, None
+    data = b""
+    while left or count is None:
+        if at + 4 > KEY_BYTES:
+            return None
+        if at + 4 > len(data):
+            need = -(-(at + 4) // 3) * 4 + 256
+            body = _gather(text, start, need)[0]
+            data = _base64(body[: len(body) - (len(body) % 4 == 1)])
+            if at + 4 > len(data):
+                return None
+        size = int.from_bytes(data[at : at + 4], "big")
+        if left:
+            at, left = at + 4 + size, left - 1
+        elif size > 64:
+            return None
+        else:
+            count, left, at = size, size + 1, at + 4
+    return at
+
+
+def _pem_blocks(text: str, pattern: re.Pattern = _PEM) -> Iterator[tuple[int, int]]:
+    for m in pattern.finditer(text):
+        if _key_kind(_base64(re.sub(r"\\[nr]|\s", "", m[2]))):
+            yield m.span()
+
+
+def _encoded_pem(text: str) -> Iterator[tuple[int, int]]:
+    """Base64 of a text with a key between PEM marks. Characters are decoded once for each of four alignments at most."""
+    until, tried = -1, set()
+    for m in _PEM_START.finditer(text):
+        if m.start() >= until:
+            body, until = _gather(text, m.start(), len(text))
+            tried = set()
+        elif m.start() % 4 in tried:
+            continue
+        else:
+            body, _ = _gather(text, m.start(), len(text))
+        tried.add(m.start() % 4)
+        whole = _base64(body[: len(body) // 4 * 4 + (0 if len(body) % 4 == 1 else len(body) % 4)])
+        if next(_pem_blocks(whole.decode("latin-1")), None):
+            yield m.start(), _filled(text, until)
 
 
 def _key_kind(data: bytes) -> str | None:
@@ -118,13 +237,17 @@ def find(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", *m.span()) for m in _HEX.finditer(text) if m.end() - m.start() >= 32]
-    found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    for m in _PEM.finditer(text):
-        if _key_kind(_base64(re.sub(r"\\[nr]|\s", "", m[2]))):
-            found.append(("pem", *m.span()))
+    found += _signed_tokens(text)
+    found += [("pem", *span) for span in (*_pem_blocks(text), *_encoded_pem(text))]
+    for m in _DER_START.finditer(text):
+        if span := _key_span(text, m.start(), _der_size(_base64(text[m.start() : m.start() + 8])), is_der_key):
+            found.append(("der", *span))
+    for m in _SSH_START.finditer(text):
+        if span := _key_span(text, m.start(), _ssh_size(text, m.start()), is_ssh_key):
+            found.append(("ssh", *span))
     for m in _BASE64.finditer(text):
-        if kind := _key_kind(_base64(m[0])):
-            found.append((kind, *m.span()))
+        if not m[0].startswith(_SSH_START.pattern) and is_ssh_key(_base64(m[0])):
+            found.append(("ssh", *m.span()))
     for m in _HEX_ANY.finditer(text):
         if kind := _key_kind(bytes.fromhex(m[0])):
             found.append((kind, *m.span()))

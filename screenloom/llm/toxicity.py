@@ -3,8 +3,8 @@
 Voters are lexicon entries (words) and patterns (word beginnings, shouting, exclamations). Lexicon and beginnings are
 mined from a bounded sample of labelled rows: those found far more often in toxic texts. A voter fires on a text or
 abstains. A generative label model has, per class, the rate at which each voter fires (its accuracy) and, within classes,
-the covariance of the voters (their correlations: a word and its own beginnings fire together and count once). It is
-fitted by expectation maximisation and gives each text of the sample a posterior label; a linear classifier is trained on
+the covariance of the voters (their correlations: a word and its own beginnings fire together and count once; those that
+fire on the very same texts of the sample are one voter). It is fitted by expectation maximisation and gives each text of the sample a posterior label; a linear classifier is trained on
 those, with one weight per voter. Scoring is one pass over all texts without a shuffle.
 """
 
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from screenloom.llm.labelled import MAX_ROWS, held_out, labelled_texts
 from screenloom.llm.scan import Words, mix, owner, pieces, scan, word_hashes
 
-VOTERS = 384  # mined voters at most
 BEGINNINGS = (4, 5, 6, 7)  # bytes of a word beginning
 STYLE = ["shouting", "exclamations", "marks"]
 # Word characters: letters and digits of ASCII, and all else beyond it.
@@ -63,7 +62,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for s, n, h in zip(start.tolist(), length[at[heads]].tolist(), hits.tolist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[heads].view(np.int64)), pa.array(names), pa.array(hits), pa.array(size - hits)],
+                    [pa.array(key[heads].view(np.int64)), pa.array(names, pa.string()), pa.array(hits), pa.array(size - hits)],
                     names=["key", "example", "toxic", "clean"],
                 )
 
@@ -79,39 +78,56 @@ def _style(w: Words) -> np.ndarray:
     return share
 
 
-def counts(texts: pa.Array, keys: np.ndarray) -> np.ndarray:
-    """How often each voter (``keys`` ascending, then the style voters) fires per text."""
+def counts(texts: pa.Array, keys: np.ndarray, voter: np.ndarray) -> np.ndarray:
+    """How often each voter fires per text: the mined ones (``keys``, ascending, each with its ``voter``), then the style voters.
+    A voter of several keys fires as often as the most frequent of them."""
     w, found = _voter_keys(texts)
     n = len(w.first) - 1
     text = owner(w.first)
-    total = np.zeros((n, len(keys) + len(STYLE)))
+    mined = int(voter.max()) + 1 if len(voter) else 0
+    total = np.zeros((n, mined + len(STYLE)), np.float32)
     for some, key, _ in found:
         if len(keys) and len(key):
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            np.add.at(total, (text[some[hit]], at[hit]), 1)
-    total[:, len(keys) :] = _style(scan(texts))
+            hit = np.flatnonzero(keys[at] == key)
+            place, many = np.unique(text[some[hit]] * len(keys) + at[hit], return_counts=True)
+            np.maximum.at(total, (place // len(keys), voter[place % len(keys)]), many)
+    total[:, mined:] = _style(scan(texts))
     return total
 
 
 # ---- label model and classifier ---------------------------------------------------------------------------------
 
 
+def together(fired: np.ndarray) -> np.ndarray:
+    """The voter of each mined key, given how often it fires per text: keys that fire on the same texts are one voter."""
+    patterns = np.packbits(fired > 0, axis=0).T
+    _, voter = np.unique(patterns, axis=0, return_inverse=True) if len(patterns) else (None, np.zeros(0, np.int64))
+    return voter.ravel()
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, ridge: float = 0.02) -> np.ndarray:
     """Posterior probability of label 1 per row.
 
     The first step takes the labels; later ones the posteriors. Rounds end when the labels become less likely, so that
     the mixture cannot drift to another split of the texts, such as by language.
+
+    The covariance within classes follows from the products of all votes, which are summed once: with the rates r and the
+    sums s of a class of n rows, it takes away s r' + r s' - n r r'.
     """
     posterior = np.clip(labels, 0.02, 0.98)
     best, best_fit = posterior, -np.inf
+    products = _blocks(votes, np.ones(len(votes)))
+    mean = votes.mean(axis=0, dtype=np.float64)
     for _ in range(rounds):
         share = posterior.mean()
-        rates = [(p @ votes + 0.5 * votes.mean(axis=0)) / (p.sum() + 0.5) for p in (1 - posterior, posterior)]
-        spread = votes - np.where(posterior[:, None] > 0.5, rates[1], rates[0])
-        within = spread.T @ spread / len(votes) + ridge * np.eye(votes.shape[1])
-        weights = np.linalg.solve(within, rates[1] - rates[0])
-        margin = (votes - (rates[0] + rates[1]) / 2) @ weights + np.log(share / (1 - share))
+        rates = [(p @ votes + 0.5 * mean) / (p.sum() + 0.5) for p in (1 - posterior, posterior)]
+        within = products.copy()
+        for rate, member in zip(rates, (posterior <= 0.5, posterior > 0.5), strict=True):
+            cross = np.outer(member.astype(np.float64) @ votes, rate)
+            within -= cross + cross.T - member.sum() * np.outer(rate, rate)
+        weights = np.linalg.solve(within / len(votes) + ridge * np.eye(votes.shape[1]), rates[1] - rates[0])
+        margin = votes @ weights - (rates[0] + rates[1]) @ weights / 2 + np.log(share / (1 - share))
         posterior = np.clip(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 1e-4, 1 - 1e-4)
         fit = float(np.mean(labels * np.log(posterior) + (1 - labels) * np.log(1 - posterior)))
         if fit <= best_fit + 1e-5:
@@ -120,16 +136,25 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, ridge:
     return best
 
 
+def _blocks(rows: np.ndarray, weights: np.ndarray, step: int = 2048) -> np.ndarray:
+    """The sum of ``weight * row' row``, a block of rows at a time."""
+    total = np.zeros((rows.shape[1],) * 2)
+    for at in range(0, len(rows), step):
+        part = rows[at : at + step].astype(np.float64)
+        total += (part * weights[at : at + step, None]).T @ part
+    return total
+
+
 def linear_classifier(rows: np.ndarray, targets: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> np.ndarray:
     """Logistic weights and intercept (last) on soft targets, by Newton steps with an L2 penalty."""
-    x = np.hstack([rows, np.ones((len(rows), 1))])
+    x = np.hstack([rows, np.ones((len(rows), 1), rows.dtype)])
     weights = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(curve, x.T @ (targets - p) - ridge * weights)
+        curve = _blocks(x, p * (1 - p) + 1e-6) + np.diag(ridge)
+        step = np.linalg.solve(curve, (targets - p) @ x - ridge * weights)
         weights += step
         if np.abs(step).max() < 1e-4:
             break
@@ -138,12 +163,13 @@ def linear_classifier(rows: np.ndarray, targets: np.ndarray, penalty: float = 0.
 
 @dataclass
 class ToxicityModel:
-    keys: np.ndarray
+    keys: np.ndarray  # of words and beginnings, ascending
     names: list[str]
-    weights: np.ndarray
+    voter: np.ndarray  # the voter of each key
+    weights: np.ndarray  # of voters, of style voters, and the intercept
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        rows = np.log1p(counts(texts, self.keys))
+        rows = np.log1p(counts(texts, self.keys, self.voter))
         return 1 / (1 + np.exp(-np.clip(rows @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -159,18 +185,17 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     size = sample.agg(F.count("*"), F.sum(F.when(F.col("label") > 0, 1).otherwise(0))).first()
     base = max(size[1] or 0, 1) / max(size[0], 1)
     precise = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    worth = F.col("toxic") * (F.log(precise) - F.lit(float(np.log(base))))
     voters = (
         total.where(F.col("toxic") >= 3).where(precise >= min(0.9, max(0.6, 3 * base)))
-        .orderBy(worth.desc(), "key").limit(VOTERS).select("key", "example").collect()
-    )
+        .select("key", "example").collect()
+    )  # fmt: skip  # no more than the sample has words
     names = {np.uint64(r["key"] & (1 << 64) - 1): r["example"] for r in voters}
     keys = np.array(sorted(names), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                votes = np.minimum(counts(piece.column("text"), keys), 60000).astype("<u2")
+                votes = np.minimum(counts(piece.column("text"), keys, np.arange(len(keys))), 60000).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("label"), pa.array([v.tobytes() for v in votes], pa.binary())],
                     names=["doc_id", "label", "votes"],
@@ -179,13 +204,23 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     rows = sample.mapInArrow(run, "doc_id long, label int, votes binary").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     width = len(keys) + len(STYLE)
-    fired = np.frombuffer(b"".join(rows["votes"].to_pylist()), "<u2").reshape(-1, width)[order].astype(float)
+    fired = np.frombuffer(b"".join(rows["votes"].to_pylist()), "<u2").reshape(-1, width)[order]
     target = (rows["label"].to_numpy()[order] > 0).astype(float)
+    voter = together(fired[:, : len(keys)])
+    voters = int(voter.max()) + 1 if len(voter) else 0
+    named = [names[k] for k in keys]
     if not 0 < target.sum() < len(target):
         mean = (target.sum() + 1) / (len(target) + 2)
-        return ToxicityModel(keys, [names[k] for k in keys], np.append(np.zeros(width), np.log(mean / (1 - mean))))
-    posterior = label_model((fired > 0).astype(float), target)
-    return ToxicityModel(keys, [names[k] for k in keys], linear_classifier(np.log1p(fired), posterior))
+        return ToxicityModel(keys, named, voter, np.append(np.zeros(voters + len(STYLE)), np.log(mean / (1 - mean))))
+    total = np.zeros((len(fired), voters + len(STYLE)), np.float32)
+    for k, v in enumerate([*voter.tolist(), *range(voters, voters + len(STYLE))]):
+        np.maximum(total[:, v], fired[:, k], out=total[:, v])
+    # A voter of n keys counts as n equal columns would: scaled by sqrt(n) it bears the ridge of one.
+    scale = np.sqrt(np.append(np.bincount(voter, minlength=voters), np.ones(len(STYLE)))).astype(np.float32)
+    posterior = label_model((total > 0) * scale, target)
+    weights = linear_classifier(np.log1p(total) * scale, posterior)
+    weights[:-1] *= scale
+    return ToxicityModel(keys, named, voter, weights)
 
 
 def score(docs: DataFrame, model: ToxicityModel, modulus: int = 5, remainder: int = 0, threshold: float = 0.5) -> DataFrame:
