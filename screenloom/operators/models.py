@@ -8,13 +8,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, classification
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenloom.operators import boosting, perceptron
 from screenloom.operators import metrics as mt
 from screenloom.operators import neighbors as nn
 from screenloom.session import stage
@@ -33,10 +35,12 @@ Predictor = Callable[[DataFrame], DataFrame]  # adds score and yhat
 
 @dataclass(frozen=True)
 class Fitted:
-    """A trained classifier: an MLlib model, the weights of a calibrated SVC, or the points of a neighbour vote."""
+    """A trained classifier: an MLlib model, the weights of a calibrated SVC, the points of a neighbour vote, or an object
+    whose ``score`` takes a matrix of features."""
 
     predict: Predictor
     model: Model | None = None
+    scorer: boosting.Ensemble | perceptron.Perceptron | None = None
     weights: list | None = None
     points: DataFrame | None = None
     k: int = 0
@@ -45,6 +49,16 @@ class Fitted:
 Trainer = Callable[[DataFrame], Fitted]  # rows: id, label, features
 
 
+@dataclass(frozen=True)
+class FoldTrainer:
+    """Fits all rows and the rows outside each fold side by side, in the same passes over them."""
+
+    fit: Callable[[DataFrame, int], list[Fitted]]  # rows with fold, and the number of folds
+
+    def __call__(self, rows: DataFrame) -> Fitted:
+        return self.fit(rows, 0)[0]
+
+
 def _with_prediction(predicted: DataFrame, score: Column) -> DataFrame:
     keep = [c for c in predicted.columns if c not in ("rawPrediction", "probability", "prediction")]
     return predicted.select(*keep, score.alias("score"), F.col("prediction").cast("int").alias("yhat"))
@@ -79,13 +93,27 @@ def logistic(c: float, max_iter: int) -> Trainer:
     return train
 
 
-def multilayer(hidden: list[int], max_iter: int) -> Trainer:
-    def train(rows: DataFrame) -> Fitted:
-        width = rows.select(F.size(vector_to_array("features")).alias("n")).first()["n"]
-        layers = [width, *hidden, 2]
-        return mllib(MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=SEED))(rows)
+def _from_scorer(scorer) -> Fitted:
+    def score(features: pd.Series) -> pd.Series:
+        return pd.Series(scorer.score(np.stack(features.to_numpy())) if len(features) else [], dtype="float64")
 
-    return train
+    scored = F.pandas_udf(score, "double")
+
+    def predict(df: DataFrame) -> DataFrame:
+        found = df.withColumn("score", scored(vector_to_array(F.col("features"))))
+        return found.withColumn("yhat", (F.col("score") > 0.5).cast("int"))
+
+    return Fitted(predict, scorer=scorer)
+
+
+def in_passes(fit: Callable[..., list], settings) -> FoldTrainer:
+    """A trainer of ``boosting`` or ``perceptron``."""
+
+    def train(rows: DataFrame, folds: int) -> list[Fitted]:
+        kept = rows.withColumn("features", vector_to_array(F.col("features")))
+        return [_from_scorer(f) for f in fit(kept, settings, folds)]
+
+    return FoldTrainer(train)
 
 
 def calibrated_svc(c: float, max_iter: int, folds: int = 5) -> Trainer:
@@ -171,7 +199,8 @@ def default_models(max_iter_scale: float = 1.0) -> dict[str, Trainer]:
         "GradientBoosting": mllib(
             GBTClassifier(maxIter=n(150), maxDepth=4, subsamplingRate=0.8, stepSize=0.05, seed=SEED)
         ),
-        "MLP": multilayer([128, 64], n(400)),
+        "MLP": in_passes(perceptron.fit, perceptron.Settings(epochs=n(200))),
+        "RegularizedBoosting": in_passes(boosting.fit, boosting.Settings(trees=n(200))),
     }
     return models
 
@@ -187,6 +216,8 @@ def save(fitted: Fitted, spark: SparkSession, path: str) -> None:
         fitted.model.write().overwrite().save(f"{path}/model")
     elif fitted.weights is not None:
         kind, detail = "weights", json.dumps(fitted.weights)
+    elif fitted.scorer is not None:
+        kind, detail = type(fitted.scorer).__name__, fitted.scorer.to_json()
     else:
         fitted.points.write.mode("overwrite").parquet(f"{path}/points")
     about = spark.createDataFrame([(kind, detail)], "kind string, detail string")
@@ -199,6 +230,9 @@ def load(spark: SparkSession, path: str) -> Fitted:
         return _from_model(getattr(classification, about["detail"].rsplit(".", 1)[1]).load(f"{path}/model"))
     if about["kind"] == "weights":
         return _from_weights(json.loads(about["detail"]))
+    for kind in (boosting.Ensemble, perceptron.Perceptron):
+        if about["kind"] == kind.__name__:
+            return _from_scorer(kind.from_json(about["detail"]))
     return _from_points(spark.read.parquet(f"{path}/points"), int(about["detail"]))
 
 
@@ -217,18 +251,34 @@ def cross_validate(trainer: Trainer, name: str, rows: DataFrame, folds: int = 5)
 
     def one(fold: int) -> DataFrame:
         fitted = trainer(folded.where(F.col("fold") != fold).drop("fold"))
-        held = predictions(fitted, name, folded.where(F.col("fold") == fold).drop("fold"))
-        return stage(held.withColumn("fold", F.lit(fold)), "held")
+        return stage(_held_out(fitted, name, folded, fold), "held")
 
     parts = _together(one, range(folds), rows.sparkSession)
     return mt.cv_scores(reduce(DataFrame.unionByName, parts), ["model"])
 
 
+def _held_out(fitted: Fitted, name: str, folded: DataFrame, fold: int) -> DataFrame:
+    held = predictions(fitted, name, folded.where(F.col("fold") == fold).drop("fold"))
+    return held.withColumn("fold", F.lit(fold))
+
+
+def _fitted_and_validated(trainer: Trainer, name: str, rows: DataFrame, folds: int) -> tuple[Fitted, DataFrame | None]:
+    """The model fitted on all rows, and its accuracy over folds (none without folds)."""
+    if not folds:
+        return trainer(rows), None
+    if not isinstance(trainer, FoldTrainer):
+        return trainer(rows), cross_validate(trainer, name, rows, folds)
+    folded = stage(mt.stratified_folds(rows, "id", "label", folds, SEED), "folds")
+    fitted, *by_fold = trainer.fit(folded, folds)
+    held = reduce(DataFrame.unionByName, [_held_out(f, name, folded, k) for k, f in enumerate(by_fold)])
+    return fitted, mt.cv_scores(stage(held, "held"), ["model"])
+
+
 def evaluate(
     trainer: Trainer, name: str, train: DataFrame, test: DataFrame, folds: int = 5
 ) -> tuple[DataFrame, DataFrame, Fitted]:
     """Long metrics (model, metric, value), test predictions, and the fitted model. 0 folds skips validation."""
-    fitted = trainer(train)
+    fitted, validated = _fitted_and_validated(trainer, name, train, folds)
     tested = stage(predictions(fitted, name, test), "tested")  # read by several metrics
     accuracy = mt.binary_metrics(predictions(fitted, name, train), ["model"])
     wide = (
@@ -239,8 +289,8 @@ def evaluate(
         .withColumn("roc_auc", F.coalesce("roc_auc", F.lit(0.0)))
     )
     names = [m for m in mt.METRICS if not m.startswith("cv_")]
-    if folds:
-        wide = wide.join(cross_validate(trainer, name, train, folds), "model")
+    if validated is not None:
+        wide = wide.join(validated, "model")
         names = mt.METRICS
     return mt.long_metrics(wide, names), tested, fitted
 

@@ -42,9 +42,8 @@ def prepared(spark, d) -> Prepared:
         f"""SELECT query_id, id, rank, {r('dist', 5)} AS distance FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS id, list_distance(a.v, b.v) AS dist,
    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
-  FROM vecs a JOIN chosen b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
-        {"vecs": _VECTORS, "chosen": f"""SELECT * FROM vecs
- ORDER BY substr(md5(vec_id::VARCHAR || '|points'), 1, 8), vec_id LIMIT {nn.MAX_POINTS}"""},
+  FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
+        {"vecs": _VECTORS},
     ),
 )
 def knn_topk(spark, d):
@@ -245,7 +244,7 @@ def _train_eval(name: str):
     return run
 
 
-for _name in ("RandomForest", "LogisticRegression", "LinearSVC", "KNN", "GradientBoosting", "MLP"):
+for _name in ("RandomForest", "LogisticRegression", "LinearSVC", "KNN", "GradientBoosting", "MLP", "RegularizedBoosting"):
     query(f"train_eval_{_name.lower()}", _metric_check(_name))(_train_eval(_name))
 
 
