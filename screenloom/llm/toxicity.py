@@ -99,14 +99,47 @@ def counts(texts: pa.Array, keys: np.ndarray, voter: np.ndarray) -> np.ndarray:
 # ---- label model and classifier ---------------------------------------------------------------------------------
 
 
-def together(fired: np.ndarray) -> np.ndarray:
-    """The voter of each mined key, given how often it fires per text: keys that fire on the same texts are one voter."""
-    patterns = np.packbits(fired > 0, axis=0).T
-    _, voter = np.unique(patterns, axis=0, return_inverse=True) if len(patterns) else (None, np.zeros(0, np.int64))
-    return voter.ravel()
-
-
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, ridge: float = 0.02) -> np.ndarray:
+@dataclass
+class Sparse:
+    """A matrix by its entries (row, column, value), of which few are not zero."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Sparse:
+        row, column = np.nonzero(rows)
+        return cls(row, column, rows[row, column].astype(float), rows.shape)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * weights[self.column], minlength=self.shape[0])
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Of each column, rows weighted."""
+        return np.bincount(self.column, self.value * weights[self.row], minlength=self.shape[1])
+
+    def products(self, weights: np.ndarray, step: int = 2048) -> np.ndarray:
+        """The sum of ``weight * row' row``, a block of rows at a time; entries stand in the order of rows."""
+        total = np.zeros((self.shape[1],) * 2)
+        for at in range(0, self.shape[0], step):
+            low, high = np.searchsorted(self.row, (at, at + step))
+            part = np.zeros((min(step, self.shape[0] - at), self.shape[1]))
+            part[self.row[low:high] - at, self.column[low:high]] = self.value[low:high]
+            total += (part * weights[at : at + step, None]).T @ part
+        return total
+
+
+def together(row: np.ndarray, key: np.ndarray, keys: int) -> np.ndarray:
+    """The voter of each mined key, given the entries (text, key) where it fires: keys that fire on the same texts are one."""
+    order = np.lexsort((row, key))
+    cuts = np.searchsorted(key[order], np.arange(1, keys))
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(texts.tobytes(), len(known)) for texts in np.split(row[order], cuts)][:keys], np.int64)
+
+
+def label_model(votes: Sparse | np.ndarray, labels: np.ndarray, rounds: int = 20, ridge: float = 0.02) -> np.ndarray:
     """Posterior probability of label 1 per row.
 
     The first step takes the labels; later ones the posteriors. Rounds end when the labels become less likely, so that
@@ -115,19 +148,21 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, ridge:
     The covariance within classes follows from the products of all votes, which are summed once: with the rates r and the
     sums s of a class of n rows, it takes away s r' + r s' - n r r'.
     """
+    votes = votes if isinstance(votes, Sparse) else Sparse.of(votes)
+    count, width = votes.shape
     posterior = np.clip(labels, 0.02, 0.98)
     best, best_fit = posterior, -np.inf
-    products = _blocks(votes, np.ones(len(votes)))
-    mean = votes.mean(axis=0, dtype=np.float64)
+    products = votes.products(np.ones(count))
+    mean = votes.sums(np.ones(count)) / count
     for _ in range(rounds):
         share = posterior.mean()
-        rates = [(p @ votes + 0.5 * mean) / (p.sum() + 0.5) for p in (1 - posterior, posterior)]
+        rates = [(votes.sums(p) + 0.5 * mean) / (p.sum() + 0.5) for p in (1 - posterior, posterior)]
         within = products.copy()
         for rate, member in zip(rates, (posterior <= 0.5, posterior > 0.5), strict=True):
-            cross = np.outer(member.astype(np.float64) @ votes, rate)
+            cross = np.outer(votes.sums(member.astype(float)), rate)
             within -= cross + cross.T - member.sum() * np.outer(rate, rate)
-        weights = np.linalg.solve(within / len(votes) + ridge * np.eye(votes.shape[1]), rates[1] - rates[0])
-        margin = votes @ weights - (rates[0] + rates[1]) @ weights / 2 + np.log(share / (1 - share))
+        weights = np.linalg.solve(within / count + ridge * np.eye(width), rates[1] - rates[0])
+        margin = votes.times(weights) - (rates[0] + rates[1]) @ weights / 2 + np.log(share / (1 - share))
         posterior = np.clip(1 / (1 + np.exp(-np.clip(margin, -30, 30))), 1e-4, 1 - 1e-4)
         fit = float(np.mean(labels * np.log(posterior) + (1 - labels) * np.log(1 - posterior)))
         if fit <= best_fit + 1e-5:
@@ -136,25 +171,21 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, ridge:
     return best
 
 
-def _blocks(rows: np.ndarray, weights: np.ndarray, step: int = 2048) -> np.ndarray:
-    """The sum of ``weight * row' row``, a block of rows at a time."""
-    total = np.zeros((rows.shape[1],) * 2)
-    for at in range(0, len(rows), step):
-        part = rows[at : at + step].astype(np.float64)
-        total += (part * weights[at : at + step, None]).T @ part
-    return total
-
-
-def linear_classifier(rows: np.ndarray, targets: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> np.ndarray:
+def linear_classifier(rows: Sparse | np.ndarray, targets: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> np.ndarray:
     """Logistic weights and intercept (last) on soft targets, by Newton steps with an L2 penalty."""
-    x = np.hstack([rows, np.ones((len(rows), 1), rows.dtype)])
-    weights = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
+    rows = rows if isinstance(rows, Sparse) else Sparse.of(rows)
+    width = rows.shape[1]
+    weights = np.zeros(width + 1)
+    ridge = np.full(width + 1, penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        curve = _blocks(x, p * (1 - p) + 1e-6) + np.diag(ridge)
-        step = np.linalg.solve(curve, (targets - p) @ x - ridge * weights)
+        p = 1 / (1 + np.exp(-np.clip(rows.times(weights[:-1]) + weights[-1], -30, 30)))
+        curvature = p * (1 - p) + 1e-6
+        curve = np.diag(ridge)
+        curve[:-1, :-1] += rows.products(curvature)
+        curve[-1, :-1] = curve[:-1, -1] = rows.sums(curvature)
+        curve[-1, -1] += curvature.sum()
+        step = np.linalg.solve(curve, np.append(rows.sums(targets - p), (targets - p).sum()) - ridge * weights)
         weights += step
         if np.abs(step).max() < 1e-4:
             break
@@ -193,32 +224,38 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     keys = np.array(sorted(names), dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text the voters that fire and how often, as pairs of numbers."""
         for batch in batches:
             for piece in pieces(batch, "text"):
-                votes = np.minimum(counts(piece.column("text"), keys, np.arange(len(keys))), 60000).astype("<u2")
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("label"), pa.array([v.tobytes() for v in votes], pa.binary())],
-                    names=["doc_id", "label", "votes"],
-                )
+                votes = Sparse.of(counts(piece.column("text"), keys, np.arange(len(keys))))
+                pairs = np.stack([votes.column, votes.value], axis=1).astype("<u4")
+                cuts = np.searchsorted(votes.row, np.arange(1, len(piece)))
+                fired = pa.array([some.tobytes() for some in np.split(pairs, cuts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), fired], names=["doc_id", "label", "votes"])
 
     rows = sample.mapInArrow(run, "doc_id long, label int, votes binary").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    width = len(keys) + len(STYLE)
-    fired = np.frombuffer(b"".join(rows["votes"].to_pylist()), "<u2").reshape(-1, width)[order]
     target = (rows["label"].to_numpy()[order] > 0).astype(float)
-    voter = together(fired[:, : len(keys)])
+    blobs = rows["votes"].take(pa.array(order)).to_pylist()
+    pairs = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
+    row = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+    mined = pairs[:, 0] < len(keys)
+    voter = together(row[mined], pairs[mined, 0], len(keys))
     voters = int(voter.max()) + 1 if len(voter) else 0
+    width = voters + len(STYLE)
     named = [names[k] for k in keys]
     if not 0 < target.sum() < len(target):
         mean = (target.sum() + 1) / (len(target) + 2)
-        return ToxicityModel(keys, named, voter, np.append(np.zeros(voters + len(STYLE)), np.log(mean / (1 - mean))))
-    total = np.zeros((len(fired), voters + len(STYLE)), np.float32)
-    for k, v in enumerate([*voter.tolist(), *range(voters, voters + len(STYLE))]):
-        np.maximum(total[:, v], fired[:, k], out=total[:, v])
+        return ToxicityModel(keys, named, voter, np.append(np.zeros(width), np.log(mean / (1 - mean))))
+    column = np.append(voter, voters + np.arange(len(STYLE)))[pairs[:, 0]]
+    place, where = np.unique(row * width + column, return_inverse=True)
+    fired = np.zeros(len(place))
+    np.maximum.at(fired, where, pairs[:, 1])
     # A voter of n keys counts as n equal columns would: scaled by sqrt(n) it bears the ridge of one.
-    scale = np.sqrt(np.append(np.bincount(voter, minlength=voters), np.ones(len(STYLE)))).astype(np.float32)
-    posterior = label_model((total > 0) * scale, target)
-    weights = linear_classifier(np.log1p(total) * scale, posterior)
+    scale = np.sqrt(np.append(np.bincount(voter, minlength=voters), np.ones(len(STYLE))))
+    row, column, shape = place // width, place % width, (len(target), width)
+    posterior = label_model(Sparse(row, column, scale[column], shape), target)
+    weights = linear_classifier(Sparse(row, column, np.log1p(fired) * scale[column], shape), posterior)
     weights[:-1] *= scale
     return ToxicityModel(keys, named, voter, weights)
 

@@ -519,7 +519,7 @@ def test_linear_classifier_is_at_the_least_loss():
 
 def test_keys_that_fire_together_are_one_voter():
     fired = np.array([[1, 2, 0, 1], [0, 0, 3, 0], [1, 1, 0, 0]])
-    voter = toxicity.together(fired)
+    voter = toxicity.together(*np.nonzero(fired), 4)
     assert voter[0] == voter[1] and len({voter[0], voter[2], voter[3]}) == 3 and voter.max() == 2
 
 
