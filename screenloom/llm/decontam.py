@@ -1,32 +1,36 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Texts and test items are compared as words: lower-cased runs of letters and digits. Every n-gram of an item that stands in a
-text is a seed there, however often it stands elsewhere: a copy is a candidate as long as one run of ``GRAM`` words outlived
-its edits. A seed marks the passage that the whole item would cover there; if enough of the item's words stand in it, both are
-aligned word by word (edits, insertions and omissions cost), and the alignment's score is set against a perfect copy.
-
-Items are taken in blocks of at most ``BLOCK_CHARS`` characters; only a block's n-grams and words go to the tasks. All rows
-of the corpus meet them in place: no text is shuffled, and popular passages meet in no single task.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Texts and test items are compared as words: lower-cased runs of letters and digits. The n-grams of all items are a table, and
+those that stand in texts meet it by an equi-join on the n-gram. Rarity is the number of texts that hold an n-gram. Each text
+chooses its seeds for itself: of the item's n-grams that it really holds, the rarest one for every stretch along which a copy of
+the item could begin. So a copy is a candidate as long as one run of ``GRAM`` words outlived its edits, however common that run
+is elsewhere. A seed marks the passage that the whole item would cover there; item and passage are aligned word by word (edits,
+insertions and omissions cost), and the alignment's score is set against a perfect copy.
+
+Texts are read once. A bitmap of bounded size of all item n-grams tells which texts can hold one; only their words, as
+hashes, go on. Neither items nor texts pass the driver, and the plan does not grow with the benchmark. Passages that many
+texts share meet one item by a join that the adaptive skew join splits; nothing else gathers rows by item or n-gram.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.llm.scan import Words, gram_starts, owner, pieces, run_hashes, scan, word_hashes
+from screenloom.session import stage
 
 GRAM = 4
 THRESHOLD = 0.5  # of the score of a perfect copy
-BLOCK_CHARS = 1 << 22
-_SEEDS = 1 << 20  # of whole texts, expanded to their items at once
+FILTER_BITS = 25  # the bitmap of n-grams has 2 to this power bits, 4 MB, whatever the benchmark
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
+FOUND = "doc_id long, item_id long, score double, first_word long, end_word long"
+_BITMAP = 1 << 15  # bits of one bitmap of Spark's
 _BREAKS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 
 
@@ -35,6 +39,15 @@ def _words(texts: pa.Array) -> tuple[Words, np.ndarray]:
     return w, word_hashes(w)
 
 
+def _grams(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    return run_hashes(hashes, at, at + size).view(np.int64)
+
+
+def slack(size: int | Column) -> int | Column:
+    """Words by which edits may move a passage."""
+    return F.floor(size / 4).cast("int") + 2 if isinstance(size, Column) else size // 4 + 2
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman score of two word sequences, and the stretch of ``text`` the best alignment covers.
 
@@ -61,200 +74,214 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best, *best_at
 
 
-# ---- items ------------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Items:
-    """A block of test items: word hashes, and n-grams as (key, item, place), ascending by key."""
-
-    ids: list[int]
-    words: list[np.ndarray]
-    keys: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    sizes: list[int]
-
-    @classmethod
-    def of(cls, ids: list[int], texts: pa.Array, gram: int) -> Items:
-        """An item of fewer words than an n-gram is one n-gram of its own length; one without words has none."""
-        w, hashes = _words(texts)
-        words = [hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        keys, item, place = [], [], []
-        for k, own in enumerate(words):
-            size = min(gram, len(own))
-            at = np.arange(len(own) - size + 1) if size else np.zeros(0, np.int64)
-            keys.append(run_hashes(own, at, at + size))
-            item.append(np.full(len(at), k))
-            place.append(at)
-        key, which, where = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (keys, item, place))
-        order = np.lexsort((where, which, key))
-        sizes = sorted({min(gram, len(own)) for own in words if len(own)})
-        return cls(ids, words, key[order].astype(np.uint64), which[order].astype(np.int64), where[order].astype(np.int64), sizes)
-
-    def numbered(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The different words of all items, ascending, and each item's words as places in them."""
-        known = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
-        return known, [np.searchsorted(known, own) for own in self.words]
-
-    def hits(self, w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word number, first row of the n-gram) wherever an n-gram stands in the texts."""
-        found = []
-        distinct, first = np.unique(self.keys, return_index=True)
-        for size in self.sizes if len(distinct) else ():
-            at = gram_starts(w.first, size)
-            key = run_hashes(hashes, at, at + size)
-            row = np.minimum(np.searchsorted(distinct, key), len(distinct) - 1)
-            hit = distinct[row] == key
-            found.append((at[hit], first[row[hit]]))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-
-
-# ---- passages ---------------------------------------------------------------------------------------------------
-
-
-def _passages(items: Items, w: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """For each text and item the merged word ranges that a copy of the item around a seed can cover."""
-    at, row = items.hits(w, hashes)
-    order = np.argsort(at, kind="stable")
-    at, row = at[order], row[order]
-    count = np.searchsorted(items.keys, items.keys[row], side="right") - row if len(row) else row
-    text = owner(w.first)[at]
-    done = np.concatenate([[0], np.cumsum(count)])
-    begin = 0
-    while begin < len(at):
-        end = max(begin + 1, int(np.searchsorted(done, done[begin] + _SEEDS, side="right")) - 1)
-        cut = int(np.searchsorted(text, text[end - 1])) if end < len(at) else end
-        end = cut if cut > begin else int(np.searchsorted(text, text[begin], side="right"))
-        yield from _merged(items, w, at[begin:end], text[begin:end], row[begin:end], count[begin:end])
-        begin = end
-
-
-def _merged(
-    items: Items, w: Words, at: np.ndarray, text: np.ndarray, row: np.ndarray, count: np.ndarray
-) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    hit = np.repeat(np.arange(len(at)), count)
-    gram = row[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
-    t, k = text[hit], items.item[gram]
-    size = np.array([len(own) for own in items.words], dtype=np.int64)[k]
-    slack = size // 4 + 2
-    start = at[hit] - items.place[gram] - slack
-    low, high = np.maximum(w.first[t], start), np.minimum(w.first[t + 1], start + size + 2 * slack)
-    order = np.lexsort((low, k, t))
-    t, k, low, high = t[order], k[order], low[order], high[order]
-    first = np.ones(len(t), dtype=bool)
-    first[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-    far = np.maximum.accumulate((np.cumsum(first) << 32) + high)  # a group's numbers exceed all before it
-    fresh = first.copy()
-    fresh[1:] |= low[1:] > (far[:-1] & 0xFFFFFFFF)
-    begins = np.flatnonzero(fresh)
-    ends = np.maximum.reduceat(high, begins)
-    edges = np.append(np.flatnonzero(first[begins]), len(begins))
-    lows, highs, ts, ks = (c.tolist() for c in (low[begins], ends, t[begins], k[begins]))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield ts[a], ks[a], list(zip(lows[a:b], highs[a:b], strict=True))
-
-
-def leaks(items: Items, texts: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, first word, end word) of every passage that aligns at or above the threshold, the best one
-    for each text and item."""
-    w, hashes = _words(texts)
-    known, numbers = items.numbered()
-    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-    number = np.where(known[at] == hashes, at, len(known)) if len(known) else at
-    seen, stamp = np.full(len(known) + 1, -1), 0
-    result = []
-    for t, k, ranges in _passages(items, w, hashes):
-        item = items.words[k]
-        perfect = MATCH * len(item)
-        best = (0.0, 0, 0)
-        for low, high in ranges:
-            passage = hashes[low:high]
-            # no alignment scores more than a match for every item word that stands in the passage
-            stamp += 1
-            seen[number[low:high]] = stamp
-            if MATCH * (seen[numbers[k]] == stamp).sum() < threshold * perfect:
-                continue
-            score, a, b = align(item, passage)
-            if score / perfect > best[0]:
-                start = low - int(w.first[t])
-                best = (score / perfect, start + a, start + b)
-        if best[0] >= threshold:
-            result.append((t, k, *best))
-    return result
+# ---- items and n-grams ------------------------------------------------------------------------------------------
 
 
-# ---- on Spark ---------------------------------------------------------------------------------------------------
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Rows (item, item_id, size, words); ``item`` tells rows apart that share an id. Items without words are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                w, hashes = _words(piece.column("text"))
+                words = [part.tobytes() for part in np.split(hashes, w.first[1:-1])] if len(piece) else []
+                columns = [piece.column("item_id"), pa.array(np.diff(w.first).astype(np.int32)), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "size", "words"])
 
-def _blocks(benchmark: DataFrame, gram: int, block_chars: int) -> Iterator[Items]:
-    """Test items in blocks of bounded size, by item_id. Rows that share an id are items of their own."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    ids, texts, size = [], [], 0
-    for row in rows.where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        if ids and size + len(row["text"]) > block_chars:
-            yield Items.of(ids, pa.array(texts, pa.large_string()), gram)
-            ids, texts, size = [], [], 0
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        size += len(row["text"])
-    if ids:
-        yield Items.of(ids, pa.array(texts, pa.large_string()), gram)
+    found = rows.where("text is not null").mapInArrow(run, "item_id long, size int, words binary").where("size > 0")
+    return stage(found.select(F.monotonically_increasing_id().alias("item"), "*"), "items")
+
+
+def _item_grams(items: DataFrame, gram: int) -> DataFrame:
+    """Rows (key, item, place, size): every n-gram of an item; an item of fewer words is one n-gram of its own length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, size, words in zip(*(batch.column(c) for c in ("item", "size", "words")), strict=True):
+                own = np.frombuffer(words.as_py(), np.uint64)
+                at = np.arange(len(own) - min(gram, len(own)) + 1)
+                repeated = [pa.array(np.full(len(at), v.as_py(), t)) for v, t in ((item, np.int64), (size, np.int32))]
+                columns = [pa.array(_grams(own, at, min(gram, len(own)))), repeated[0], pa.array(at.astype(np.int32)), repeated[1]]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "place", "size"])
+
+    return stage(items.mapInArrow(run, "key long, item long, place int, size int"), "grams")
+
+
+def _positions(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = (1 << bits) - 1
+    return keys & mask, (keys >> 32) & mask
+
+
+def bitmap(grams: DataFrame, bits: int) -> np.ndarray:
+    """2^bits bits, two of them set for each key. Tasks build them; the driver puts them in a row, 4 MB at 25 bits."""
+    mask = F.lit((1 << bits) - 1)
+    both = F.array(F.col("key").bitwiseAND(mask), F.shiftright("key", 32).bitwiseAND(mask))
+    placed = grams.select(F.explode(both).alias("p")).select(F.expr(f"p div {_BITMAP}").alias("part"), (F.col("p") % _BITMAP).alias("bit"))
+    whole = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    for row in placed.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        begin = row["part"] * (_BITMAP // 8)
+        part = np.frombuffer(row["bits"], np.uint8)[: len(whole) - begin]
+        whole[begin : begin + len(part)] = part
+    return whole
+
+
+def _held(texts: DataFrame, known: np.ndarray, bits: int, sizes: list[int]) -> DataFrame:
+    """Texts that can hold an n-gram of ``sizes`` words: text (a number), doc_id, mark_a, mark_b (of its characters), words,
+    and the n-grams as keys and places. Written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                w, hashes = _words(piece.column("text"))
+                found = []
+                for size in sizes:
+                    at = gram_starts(w.first, size)
+                    key = _grams(hashes, at, size)
+                    hit = np.ones(len(key), bool)
+                    for p in _positions(key, bits):
+                        hit &= (known[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+                    found.append((at[hit], key[hit]))
+                at, key = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+                text = owner(w.first)[at]
+                order = np.argsort(text, kind="stable")
+                at, key, text = at[order], key[order], text[order]
+                some = np.unique(text)
+                cuts = np.searchsorted(text, some)
+                lists = pa.array(np.append(cuts, len(text)).astype(np.int32))
+                words = [hashes[w.first[t] : w.first[t + 1]].tobytes() for t in some.tolist()]
+                chosen = pa.array(some)
+                columns = [piece.column(c).take(chosen) for c in ("doc_id", "mark_a", "mark_b")]
+                places = pa.array((at - w.first[text]).astype(np.int32))
+                columns += [pa.array(words, pa.binary()), *(pa.ListArray.from_arrays(lists, v) for v in (pa.array(key), places))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark_a", "mark_b", "words", "keys", "places"])
+
+    schema = "doc_id long, mark_a long, mark_b long, words binary, keys array<long>, places array<int>"
+    return stage(texts.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("text"), "*"), "held")
+
+
+def _seeds(held: DataFrame, grams: DataFrame) -> DataFrame:
+    """Rows (text, item, at, place, size): for each text and item the rarest n-gram of every stretch. A stretch is as long as
+    the slack by which a passage is widened, so a copy lies within the passage of any seed of its stretch."""
+    rarity = held.select("text", F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("texts"))
+    known = grams.join(rarity, "key")
+    hits = held.select("text", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("text", F.col("h.keys").alias("key"), F.col("h.places").alias("at"))
+    met = hits.join(known, "key")
+    stretch = F.floor((F.col("at") - F.col("place")) / slack(F.col("size"))).alias("stretch")
+    rarest = F.min(F.struct("texts", "at", "place", "size")).alias("seed")
+    return met.groupBy("text", "item", stretch).agg(rarest).select("text", "item", "seed.at", "seed.place", "seed.size")
+
+
+def passages(seeds: list[tuple[int, int, int]], words: int) -> list[tuple[int, int]]:
+    """Word ranges of a text of ``words`` words that a copy of an item around a seed (at, place, size) can cover, merged."""
+    ranges: list[list[int]] = []
+    for at, place, size in sorted(seeds, key=lambda s: s[0] - s[1]):
+        low = max(0, at - place - 2 * slack(size))
+        high = min(words, at - place + size + 2 * slack(size))
+        if ranges and low <= ranges[-1][1]:
+            ranges[-1][1] = max(ranges[-1][1], high)
+        else:
+            ranges.append([low, high])
+    return [(low, high) for low, high in ranges]
+
+
+def _cut(held: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Rows (text, item, low, passage): the words of each passage, cut from its text in one join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                rows = []
+                for row in batch.slice(at, 64).to_pylist():
+                    own, by = row["words"], {}
+                    for seed in row["seeds"]:
+                        by.setdefault(seed["item"], []).append((seed["at"], seed["place"], seed["size"]))
+                    for item, some in by.items():
+                        for low, high in passages(some, len(own) // 8):
+                            rows.append((row["text"], item, low, own[8 * low : 8 * high]))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["text", "item", "low", "passage"])
+
+    lists = seeds.groupBy("text").agg(F.collect_list(F.struct("item", "at", "place", "size")).alias("seeds"))  # of one text
+    return held.select("text", "words").join(lists, "text").mapInArrow(run, "text long, item long, low long, passage binary")
+
+
+def _scored(cut: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Rows (text, item, item_id, score, first_word, end_word) of the passages that align at or above the threshold."""
+    names = ["text", "item", "item_id", "score", "first_word", "end_word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, item, low, passage, item_id, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, there = np.frombuffer(words, np.uint64), np.frombuffer(passage, np.uint64)
+                perfect = MATCH * len(own)
+                # no alignment scores more than a match for every item word that stands in the passage
+                if MATCH * np.isin(own, there).sum() < threshold * perfect:
+                    continue
+                score, a, b = align(own, there)
+                if score >= threshold * perfect:
+                    rows.append((text, item, item_id, score / perfect, low + a, low + b))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    met = cut.join(items.select("item", "item_id", "words"), "item").select("text", "item", "low", "passage", "item_id", "words")
+    schema = "text long, item long, item_id long, score double, first_word long, end_word long"
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word", "item_id")).alias("best")
+    return met.mapInArrow(run, schema).groupBy("text", "item").agg(best).select(
+        "text", "best.item_id", "best.score", (-F.col("best.back")).alias("first_word"), "best.end_word"
+    )
+
+
+# ---- on Spark ---------------------------------------------------------------------------------------------------
+
+
+def _marks(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("mark_a"), F.xxhash64(F.lit(1), text).alias("mark_b")]
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, gram: int, bits: int) -> DataFrame | None:
+    """Rows (doc_id, mark_a, mark_b, item_id, score, first_word, end_word); None without items."""
+    if not 3 <= bits <= 32:
+        raise ValueError("filter_bits must lie between 3 and 32")
+    items = _items(benchmark)
+    grams = _item_grams(items, gram)
+    sizes = sorted(r["n"] for r in items.select(F.least("size", F.lit(gram)).alias("n")).distinct().collect())  # ``gram`` at most
+    if not sizes:
+        return None
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_marks(text), text.alias("text"))
+    held = _held(texts, bitmap(grams, bits), bits, sizes)
+    found = _scored(_cut(held, _seeds(held, grams)), items, threshold)
+    return found.join(held.select("text", "doc_id", "mark_a", "mark_b"), "text")
 
 
 def find_leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    threshold: float = THRESHOLD,
-    gram: int = GRAM,
-    block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
     """Rows (doc_id, item_id, score, first_word, end_word): the best passage of each document for each item whose
-    alignment scores ``threshold`` of a perfect copy or more.
+    alignment scores ``threshold`` of a perfect copy or more; of equal ones the first.
 
     Null texts and items, and those without words, match nothing. Rows are judged one by one, so repeated rows and ids give
-    repeated results; a row without id is reported with a null id. Empty tables give an empty result.
+    repeated results; a row without id is reported with a null id. Empty tables give an empty result; other columns are
+    ignored. ``filter_bits`` (up to 32, a byte for eight) changes what is looked up, never the result.
     """
-    schema = "doc_id long, item_id long, score double, first_word long, end_word long"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    result = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(benchmark, gram, block_chars):
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in pieces(batch, "text"):
-                    found = leaks(block, piece.column("text"), threshold)
-                    t, k, score, a, b = (list(c) for c in zip(*found, strict=True)) if found else ([],) * 5
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            piece.column("doc_id").take(pa.array(t, pa.int64())),
-                            pa.array([block.ids[i] for i in k], pa.int64()),
-                            pa.array(score, pa.float64()),
-                            pa.array(a, pa.int64()),
-                            pa.array(b, pa.int64()),
-                        ],
-                        names=["doc_id", "item_id", "score", "first_word", "end_word"],
-                    )
-
-        result = result.union(texts.mapInArrow(run, schema))
-    return result
+    found = _leaks(docs, benchmark, threshold, gram, filter_bits)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    return found.select("doc_id", "item_id", "score", "first_word", "end_word")
 
 
 def drop_leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    threshold: float = THRESHOLD,
-    gram: int = GRAM,
-    block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
-    """The rows of ``docs`` without a leak of any item, all columns. Each block of items is one more pass in place."""
-    names, result = docs.columns, docs
-    for block in _blocks(benchmark, gram, block_chars):
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in pieces(batch, "text"):
-                    clean = np.ones(len(piece), dtype=bool)
-                    clean[[found[0] for found in leaks(block, piece.column("text"), threshold)]] = False
-                    yield piece.filter(pa.array(clean)).select(names)
-
-        result = result.mapInArrow(run, docs.schema)
-    return result
+    """The rows of ``docs`` without a leak of any item, all columns. Whether a row has one follows from its text alone, so rows
+    are matched with the texts that leak by two 64-bit hashes of the text, and repeated rows stay or go together."""
+    found = _leaks(docs, benchmark, threshold, gram, filter_bits)
+    if found is None:
+        return docs
+    leaking = found.select(F.col("mark_a").alias("_mark_a"), F.col("mark_b").alias("_mark_b")).distinct()
+    a, b = (F.xxhash64(F.col("text").cast("string")), F.xxhash64(F.lit(1), F.col("text").cast("string")))
+    return docs.join(leaking, (a == F.col("_mark_a")) & (b == F.col("_mark_b")), "left_anti")

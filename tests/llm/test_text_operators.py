@@ -661,8 +661,8 @@ def test_decontamination(spark, none):
     for r in found.where("doc_id is not null").collect():
         item = w(dict(items)[r["item_id"]])
         assert r["score"] == pytest.approx(brute_alignment(item, w(text[r["doc_id"]])) / (2 * len(item)))
-    blocks = decontam.find_leaks(docs, benchmark, block_chars=500)
-    assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == hits
+    crowded = decontam.find_leaks(docs, benchmark, filter_bits=8)  # nearly every n-gram passes the bitmap
+    assert sorted(map(tuple, crowded.collect()), key=repr) == sorted(map(tuple, found.collect()), key=repr)
     kept = decontam.drop_leaks(docs, benchmark)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows if i is not None and i not in {h for h, _ in hits})
@@ -689,6 +689,44 @@ def test_decontamination_of_lone_edited_copies(spark):
     assert decontam.drop_leaks(docs, benchmark).count() == 0
 
 
+def test_rare_seeds(spark):
+    """Of the n-grams a text holds the rarest one of each stretch seeds, and only n-grams that stand in it can."""
+    items = [(1, " ".join(f"a{i}" for i in range(30))), (2, "common words stand here " + " ".join(f"b{i}" for i in range(20)))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, items[0][1]), (2, "x common words stand here y"), (3, f"{items[1][1]} z"), (4, " ".join(["common words stand here"] * 3))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    table, grams = decontam._items(benchmark), None
+    grams = decontam._item_grams(table, 4)
+    known = decontam.bitmap(grams, 20)
+    keys = np.array([r["key"] for r in grams.collect()])
+    assert all((known[p >> 3] >> (p & 7) & 1).all() for p in decontam._positions(keys, 20))
+    assert np.unpackbits(known).sum() <= 2 * len(keys)
+    marked = texts.select("doc_id", *decontam._marks(F.col("text")), "text")
+    held = decontam._held(marked, known, 20, [4])
+    names = {r["item"]: r["item_id"] for r in table.collect()}
+    numbers = {r["text"]: r["doc_id"] for r in held.collect()}
+    seeds = {(numbers[r["text"]], names[r["item"]], r["at"], r["place"]) for r in decontam._seeds(held, grams).collect()}
+    assert {s for s in seeds if s[0] == 1} == {(1, 1, 0, 0)} and {s for s in seeds if s[0] == 2} == {(2, 2, 1, 0)}
+    assert {s for s in seeds if s[0] == 3} == {(3, 2, 1, 1)}  # the n-gram at 0 stands in three texts, that at 1 in one
+    assert {s[1] for s in seeds if s[0] == 4} == {2}
+    assert sorted(map(tuple, decontam.find_leaks(texts, benchmark).select("doc_id", "item_id").collect())) == [(1, 1), (3, 2)]
+
+
+def test_decontamination_of_long_texts_and_many_items(spark):
+    """A text of over a piece, its copy at the very end, and a benchmark that a small bitmap cannot tell apart."""
+    rng = random.Random(3)
+    items = [(k, " ".join(f"i{rng.randrange(9000)}" for _ in range(25))) for k in range(1500)]
+    noise = " ".join(f"o{rng.randrange(9000)}" for _ in range(300_000))
+    texts = [(1, f"{noise} {items[700][1]}"), (2, noise), (3, "x" * 1_500_000 + " " + items[3][1])]
+    texts = [(d, t, "c", 1, "w") for d, t in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, item string, size int, words string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for bits in (decontam.FILTER_BITS, 14):
+        found = decontam.find_leaks(docs, benchmark, filter_bits=bits).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["score"], r["first_word"]) for r in found) == [(1, 700, 1.0, 300_000), (3, 3, 1.0, 1)]
+    assert [r["doc_id"] for r in decontam.drop_leaks(docs, benchmark).collect()] == [2]
+
+
 # ---- 1 ----------------------------------------------------------------------------------------------------------
 
 
