@@ -1,33 +1,39 @@
 """Exact nearest neighbours.
 
-A search goes through all points, in blocks of ``BLOCK_POINTS``: as one matrix a block goes to every task, queries of any
-number stream against it in Arrow batches, and the k best of each query are merged after every few blocks. No group can grow
-hot. A classifier searches a bounded set of its labelled rows, chosen by a hash of their id.
+Points that fit into one block of ``BLOCK_POINTS`` rows, which is counted first, go to every task as one matrix, and queries of
+any number stream against it.
+
+More points are dealt into cells: each belongs to the nearest of at most ``MAX_PIVOTS`` pivots, chosen by a hash, and a cell
+knows its radius. A query first searches its own cell, which bounds the distance of its k-th neighbour. By the triangle
+inequality only cells whose pivot is no farther than that bound plus their radius can hold a nearer point, and of those only
+the ones whose border with the own cell is within the bound; it visits these and no others. Cells are cut into blocks of
+bounded size, and the queries of a busy cell into blocks, so no task gets more than one block of each. Of equal points only as
+many are kept as can be neighbours, so copies make no cell hot. Points move by shuffles alone; the driver sees pivots and a
+row per cell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from screenloom.functions.hashing import hash32
 from screenloom.session import stage
 
-MAX_POINTS = 20_000  # labelled rows of a classifier
 BLOCK_POINTS = 20_000
-_BLOCKS = 8  # searched before their results are merged
+CELL_POINTS = 2048  # points a cell is meant to hold
+MAX_PIVOTS = 1024  # beyond them cells grow and are cut into blocks
 _QUERIES = 256  # compared at once
+_ROUND = 1e-9  # by which rounding may change a distance, in parts of the numbers compared
 
 
-def chosen_points(points: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
+def chosen_points(points: DataFrame, max_points: int) -> DataFrame:
     """At most ``max_points`` rows, by a hash of the id."""
     return points.orderBy(hash32("id", seed="points"), "id").limit(max_points)
 
@@ -39,39 +45,27 @@ def nearest_neighbors(
     exclude_same_id: bool = False,
     payload: list[str] | None = None,
     max_points: int | None = None,
+    block_points: int | None = None,
+    cell_points: int | None = None,
+    report: dict | None = None,
 ) -> DataFrame:
     """(query_id, rank, distance, id, payload ...): the k nearest points for every query, ties by id; with ``max_points`` the
     nearest of the chosen points.
 
-    Both inputs carry (id bigint, vec array<double>). Payload columns of the points are passed through. Without points
-    there are no neighbours.
+    Both inputs carry (id bigint, vec array<double>), vectors of one width without nulls. Payload columns of the points are
+    passed through. Queries that share an id are answered one by one. Without points there are no neighbours. ``report`` takes
+    the number of cells, of queries, and of visits beyond the own cell where points are dealt into cells.
     """
     payload = payload or []
+    block_points, cell_points = block_points or BLOCK_POINTS, cell_points or CELL_POINTS
     points = points.select("id", "vec", *payload)
-    if max_points is not None:
-        table = chosen_points(points, max_points).toArrow().to_pandas()
+    points = points if max_points is None else chosen_points(points, max_points)
+    if points.limit(block_points + 1).count() <= block_points:
+        table = points.toArrow().to_pandas()
         return _among(queries.withColumn("_row", F.lit(0).cast("long")), points, table, k, exclude_same_id, payload).drop("_row")
-    blocks = _blocks(points)
-    ahead = list(islice(blocks, 2))
-    if len(ahead) == 1:
-        return _among(queries.withColumn("_row", F.lit(0).cast("long")), points, ahead[0], k, exclude_same_id, payload).drop("_row")
     # Queries that share an id stay apart by their row number, which is fixed once it is written.
     rows = stage(queries.select("id", "vec").withColumn("_row", F.monotonically_increasing_id()), "queries")
-    best = None
-    while ahead:
-        found = [_among(rows, points, table, k, exclude_same_id, payload) for table in ahead]
-        best = stage(_best(found if best is None else [best, *found], k, payload), "nearest")
-        ahead = list(islice(blocks, _BLOCKS))
-    return best.drop("_row")
-
-
-def _blocks(points: DataFrame) -> Iterator[pd.DataFrame]:
-    """All points, ``BLOCK_POINTS`` at a time; one empty block if there are none."""
-    schema, rows, first = to_arrow_schema(points.schema), points.toLocalIterator(), True
-    while (block := list(islice(rows, BLOCK_POINTS))) or first:
-        columns = [pa.array([r[i] for r in block], f.type) for i, f in enumerate(schema)]
-        yield pa.table(columns, names=schema.names).to_pandas()
-        first = False
+    return _by_cells(rows, points, k, exclude_same_id, payload, block_points, cell_points, report).drop("_row")
 
 
 def _best(found: list[DataFrame], k: int, payload: list[str]) -> DataFrame:
@@ -83,58 +77,196 @@ def _best(found: list[DataFrame], k: int, payload: list[str]) -> DataFrame:
     return ranked.select("_row", "query_id", rank, *[F.col("_near")[c].alias(c) for c in ("distance", "id", *payload)])
 
 
+def _nearest(
+    q: np.ndarray, own: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int, exclude_same_id: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance) of the k nearest points; ``ids`` ascending."""
+    take = min(k, len(ids))
+    squares = (matrix * matrix).sum(1)
+    rough = (q * q).sum(1)[:, None] + squares[None, :] - 2 * q @ matrix.T
+    if exclude_same_id:
+        rough[own[:, None] == ids[None, :]] = np.inf
+    kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
+    # The product form loses digits; keep everything near the k-th value and measure it directly.
+    slack = _ROUND * ((q * q).sum(1) + squares.max() + 1)
+    rows, cols = (np.isfinite(rough) & (rough <= (kth + slack)[:, None])).nonzero()
+    exact = np.empty(len(rows))
+    for at in range(0, len(rows), 100_000):
+        some = slice(at, at + 100_000)
+        diff = q[rows[some]] - matrix[cols[some]]
+        exact[some] = np.sqrt((diff * diff).sum(1))
+    order = np.lexsort((cols, exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep], exact[keep]
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, 0))
+
+
+def _matched(part: pd.DataFrame, table: pd.DataFrame, matrix: np.ndarray, k: int, exclude_same_id: bool, payload: list[str]) -> pd.DataFrame:
+    """Rows of the result for some queries and a table of points ascending by id."""
+    own = part["id"].to_numpy()
+    rows, cols, exact = _nearest(_matrix(part["vec"]), own, matrix, table["id"].to_numpy(), k, exclude_same_id)
+    found = table[payload].iloc[cols].reset_index(drop=True)
+    found.insert(0, "id", table["id"].to_numpy()[cols])
+    found.insert(0, "distance", exact)
+    found.insert(0, "rank", (np.arange(len(rows)) - np.searchsorted(rows, rows) + 1).astype("int32"))
+    found.insert(0, "query_id", own[rows])
+    found.insert(0, "_row", part["_row"].to_numpy()[rows])
+    return found
+
+
+def _schema(points: DataFrame, payload: list[str]) -> str:
+    extra = {f.name: f.dataType.simpleString() for f in points.schema if f.name in payload}
+    return "_row bigint, query_id bigint, rank int, distance double, id bigint" + "".join(f", {c} {t}" for c, t in extra.items())
+
+
 def _among(
     queries: DataFrame, points: DataFrame, table: pd.DataFrame, k: int, exclude_same_id: bool, payload: list[str]
 ) -> DataFrame:
-    """The k nearest of the points in ``table`` for every query, with the query's ``_row``."""
+    """The k nearest of the points in ``table``, a block at most, for every query, with the query's ``_row``."""
     table = table.sort_values("id", ignore_index=True)
-    width = len(table["vec"].iloc[0]) if len(table) else 0
-    matrix = np.array(table["vec"].tolist(), dtype=float).reshape(len(table), width)
-    ids, extras = table["id"].to_numpy(), table[payload]
-    squares = (matrix * matrix).sum(1)
-    extra = {f.name: f.dataType.simpleString() for f in points.schema if f.name in payload}
-    schema = "_row bigint, query_id bigint, rank int, distance double, id bigint" + "".join(f", {c} {t}" for c, t in extra.items())
-    shared = queries.sparkSession.sparkContext.broadcast((matrix, ids, squares, extras))
+    shared = queries.sparkSession.sparkContext.broadcast((_matrix(table["vec"]), table[["id", *payload]]))
 
     def match(batches):
-        import numpy as np
+        matrix, known = shared.value
+        for batch in batches:
+            for start in range(0, len(batch) if len(known) else 0, _QUERIES):
+                yield _matched(batch.iloc[start : start + _QUERIES], known, matrix, k, exclude_same_id, payload)
+
+    return queries.select("id", "vec", "_row").mapInPandas(match, _schema(points, payload))
+
+
+# ---- cells ------------------------------------------------------------------------------------------------------
+
+
+def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of all rows and pivots, and by how much rounding can have changed the greatest of them."""
+    squares = (rows * rows).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * rows @ pivots.T
+    return np.sqrt(np.maximum(squares, 0))
+
 
-        matrix, ids, squares, extras = shared.value
-        take = min(k, len(ids))
+def _blur(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """A bound on the rounding of ``_distances``: the product form loses digits where vectors are long and close."""
+    return np.sqrt(_ROUND * ((rows * rows).sum(1)[:, None] + (pivots * pivots).sum(1).max() + 1e-300))
+
+
+def _possible(points: DataFrame, k: int) -> DataFrame:
+    """Points without those that never can be neighbours: of equal vectors the first k + 1 ids, of an id k rows."""
+    same = Window.partitionBy("vec").orderBy("id")
+    copies = points.withColumn("_place", F.dense_rank().over(same)).where(F.col("_place") <= k + 1)
+    twice = Window.partitionBy("vec", "id").orderBy(F.monotonically_increasing_id())
+    return copies.withColumn("_place", F.row_number().over(twice)).where(F.col("_place") <= k).drop("_place")
+
+
+def _by_cells(
+    queries: DataFrame,
+    points: DataFrame,
+    k: int,
+    exclude_same_id: bool,
+    payload: list[str],
+    block_points: int,
+    cell_points: int,
+    report: dict | None,
+) -> DataFrame:
+    kept = stage(_possible(points, k), "points")
+    total = kept.count()
+    sample = chosen_points(kept.select("id", "vec"), max(1, min(MAX_PIVOTS, math.ceil(total / cell_points)))).select("vec")
+    pivots = np.unique(np.array([r["vec"] for r in sample.collect()], float), axis=0)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+
+    def deal(batches):
         for batch in batches:
-            for start in range(0, len(batch) if take else 0, _QUERIES):
-                part = batch.iloc[start : start + _QUERIES]
-                q = np.stack(part["vec"].to_numpy()).astype(float)
-                own, number = part["id"].to_numpy(), part["_row"].to_numpy()
-                rough = (q * q).sum(1)[:, None] + squares[None, :] - 2 * q @ matrix.T
-                if exclude_same_id:
-                    rough[own[:, None] == ids[None, :]] = np.inf
-                kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
-                # The product form loses digits; keep everything near the k-th value and measure it directly.
-                slack = 1e-9 * ((q * q).sum(1) + squares.max() + 1)
-                rows, cols = (np.isfinite(rough) & (rough <= (kth + slack)[:, None])).nonzero()
-                exact = np.empty(len(rows))
-                for at in range(0, len(rows), 100_000):
-                    some = slice(at, at + 100_000)
-                    diff = q[rows[some]] - matrix[cols[some]]
-                    exact[some] = np.sqrt((diff * diff).sum(1))
-                order = np.lexsort((cols, exact, rows))
-                rows, cols, exact = rows[order], cols[order], exact[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                keep = place < k
-                found = extras.iloc[cols[keep]].reset_index(drop=True)
-                found.insert(0, "id", ids[cols[keep]])
-                found.insert(0, "distance", exact[keep])
-                found.insert(0, "rank", (place[keep] + 1).astype("int32"))
-                found.insert(0, "query_id", own[rows[keep]])
-                found.insert(0, "_row", number[rows[keep]])
-                yield found
-
-    return queries.select("id", "vec", "_row").mapInPandas(match, schema)
-
-
-def classify(test: DataFrame, train: DataFrame, k: int = 11, max_points: int = MAX_POINTS) -> DataFrame:
-    """Vote of the k nearest of the chosen training rows: (id, score, yhat). ``train`` carries a ``label``."""
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start : start + 1024].copy()
+                rows = _matrix(part["vec"])
+                cell = _distances(rows, pivots).argmin(axis=1)
+                part["cell"] = cell.astype("int32")
+                part["reach"] = np.sqrt(((rows - pivots[cell]) ** 2).sum(1))
+                yield part
+
+    placed = stage(kept.mapInPandas(deal, f"{fields}, cell int, reach double"), "cells")
+    sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).collect()}
+    counts = np.array([sizes[c]["n"] if c in sizes else 0 for c in range(len(pivots))])
+    radii = np.array([sizes[c]["reach"] if c in sizes else 0.0 for c in range(len(pivots))])
+    blocks = np.maximum(1, -(-counts // block_points))
+    schema = _schema(points, payload)
+    # Of k points and as many more as can share the query's id at least k are neighbours.
+    alike = kept.groupBy("id").count().agg(F.max("count")).first()[0] if exclude_same_id else 0
+    enough = k + alike
+
+    def search(asked: DataFrame) -> DataFrame:
+        """The k nearest within the cells that ``asked`` (_row, id, vec, cell) names."""
+        busy = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        plan = [(c, int(blocks[c]), -(-n // block_points)) for c, n in busy.items() if counts[c]]
+        table = F.broadcast(queries.sparkSession.createDataFrame(plan, "cell int, blocks int, parts int"))  # a row per cell
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = asked.join(table, "cell").withColumn("part", F.pmod(F.xxhash64("_row"), F.col("parts")).cast("int"))
+        right = placed.join(table, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        left, right = left.withColumn("block", every("blocks")), right.withColumn("part", every("parts"))
+
+        def match(some: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+            near = near.sort_values("id", ignore_index=True)
+            matrix = _matrix(near["vec"])
+            chunks = range(0, len(some) if len(near) else 0, _QUERIES)
+            found = [_matched(some.iloc[at : at + _QUERIES], near, matrix, k, exclude_same_id, payload) for at in chunks]
+            return pd.concat(found) if found else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+        keys = ["cell", "block", "part"]
+        own = left.select(*keys, "_row", "id", "vec").groupBy(*keys)
+        return own.cogroup(right.select(*keys, "id", "vec", *payload).groupBy(*keys)).applyInPandas(match, schema)
+
+    def at_home(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start : start + 1024].copy()
+                apart = _distances(_matrix(part["vec"]), pivots)
+                apart[:, counts == 0] = np.inf
+                part["cell"] = apart.argmin(axis=1).astype("int32")
+                yield part
+
+    asked = "_row bigint, id bigint, vec array<double>, cell int"
+    columns = ["_row", "id", "vec"]
+    home = stage(queries.select(*columns).mapInPandas(at_home, asked), "asked")
+    first = stage(_best([search(home)], k, payload), "home")
+    full = first.where(F.col("rank") == k).select("_row", F.col("distance").alias("bound"))
+    bounded = home.join(full, "_row", "left")
+
+    def visits(batches):
+        between = _distances(pivots, pivots)
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start : start + 256]
+                rows, own = _matrix(part["vec"]), part["cell"].to_numpy()
+                apart, blur = _distances(rows, pivots), _blur(rows, pivots)
+                farthest = np.where(counts > 0, apart + radii, np.inf) + blur
+                order = np.argsort(farthest, axis=1)
+                place = (np.cumsum(counts[order], axis=1) < enough).sum(axis=1, keepdims=True)
+                held = np.take_along_axis(farthest, np.take_along_axis(order, np.minimum(place, len(pivots) - 1), 1), 1)
+                held[place == len(pivots)] = np.inf
+                bound = np.minimum(part["bound"].fillna(np.inf).to_numpy()[:, None], held)
+                reach = apart - radii[None, :] <= bound + 2 * blur
+                here = apart[np.arange(len(rows)), own][:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    border = (apart**2 - here**2) / (2 * between[own])
+                    reach &= ~(border > bound + 2 * blur * (1 + (apart + here) / between[own]))
+                reach[np.arange(len(rows)), own] = False
+                reach[:, counts == 0] = False
+                r, c = reach.nonzero()
+                out = part[columns].iloc[r].reset_index(drop=True)
+                out["cell"] = c.astype("int32")
+                yield out
+
+    further = stage(bounded.mapInPandas(visits, asked), "visits")
+    if report is not None:
+        report |= {"cells": int((counts > 0).sum()), "queries": home.count(), "visits": further.count()}
+    return _best([first.drop("rank"), search(further).drop("rank")], k, payload)
+
+
+def classify(test: DataFrame, train: DataFrame, k: int = 11, max_points: int | None = None) -> DataFrame:
+    """Vote of the k nearest training rows: (id, score, yhat). ``train`` carries a ``label``."""
     near = nearest_neighbors(test, train, k, payload=["label"], max_points=max_points)
     votes = near.groupBy(F.col("query_id").alias("id")).agg(F.avg(F.col("label").cast("double")).alias("score"))
     return votes.withColumn("yhat", (F.col("score") > 0.5).cast("int"))

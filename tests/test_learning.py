@@ -178,8 +178,29 @@ def test_neighbors_among_all_points(spark):
         assert [found[(q, k)] for k in (1, 2, 3)] == np.argsort(((x - x[q]) ** 2).sum(1))[1:4].tolist()
 
 
+@pytest.mark.parametrize(("cell", "exclude"), [(1, True), (20, False), (400, True)])
+def test_cells_lose_no_neighbor(spark, cell, exclude):
+    """Cells of every size, with clusters, copies without end, repeated ids and vectors far from all others."""
+    rng = np.random.default_rng(cell)
+    x = np.concatenate([rng.normal(size=(200, 3)), rng.normal(size=(120, 3)) * 0.01 + 50, np.full((150, 3), 9.0), rng.normal(size=(30, 3)) * 1e4])
+    ids = np.arange(len(x))
+    ids[190:200] = 7  # rows that share an id
+    points, report = vectors(spark, x, ids), {}
+    got = nn.nearest_neighbors(points, points, 6, exclude, block_points=40, cell_points=cell, report=report).collect()
+    expected = []
+    for q in range(len(x)):
+        distance = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, distance)) if not exclude or ids[i] != ids[q]][:6]
+        expected += [(int(ids[q]), k + 1, round(float(distance[i]), 9), int(ids[i])) for k, i in enumerate(order)]
+    assert sorted((r.query_id, r["rank"], round(r.distance, 9), r.id) for r in got) == sorted(expected)
+    assert report["queries"] == len(x) and report["cells"] >= (1 if cell == 400 else 2)
+    if cell == 20:
+        assert report["visits"] < 0.5 * report["cells"] * len(x)
+
+
 def test_blocks_of_points_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nn, "BLOCK_POINTS", 7)
+    monkeypatch.setattr(nn, "CELL_POINTS", 10)
     x = np.round(np.random.default_rng(6).normal(size=(150, 2)), 1)  # with ties
     points = vectors(spark, x)
     twice = points.where("id < 40").union(points.where("id < 3"))  # queries that share an id
