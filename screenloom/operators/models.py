@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -12,36 +11,29 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, classification
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.operators import boosting, perceptron
+from screenloom.operators import boosting, linear, perceptron
 from screenloom.operators import metrics as mt
 from screenloom.operators import neighbors as nn
 from screenloom.session import stage
 
 SEED = 42
-TOLERANCE = 1e-4
+Scorer = boosting.Ensemble | linear.Calibrated | linear.Linear | perceptron.Perceptron
 Predictor = Callable[[DataFrame], DataFrame]  # adds score and yhat
 
 
 @dataclass(frozen=True)
 class Fitted:
-    """A trained classifier: an MLlib model, the weights of a calibrated SVC, the points of a neighbour vote, or an object
-    whose ``score`` takes a matrix of features."""
+    """A trained classifier: an MLlib model, the points of a neighbour vote, or an object whose ``score`` takes a matrix of
+    features."""
 
     predict: Predictor
     model: Model | None = None
-    scorer: boosting.Ensemble | perceptron.Perceptron | None = None
-    weights: list | None = None
+    scorer: Scorer | None = None
     points: DataFrame | None = None
     k: int = 0
 
@@ -83,16 +75,6 @@ def mllib(estimator) -> Trainer:
     return train
 
 
-def logistic(c: float, max_iter: int) -> Trainer:
-    """The penalty follows the number of rows: 1 / (C n)."""
-
-    def train(rows: DataFrame) -> Fitted:
-        penalty = 1.0 / (c * max(rows.count(), 1))
-        return mllib(LogisticRegression(regParam=penalty, elasticNetParam=0.0, maxIter=max_iter, standardization=False))(rows)
-
-    return train
-
-
 def _from_scorer(scorer) -> Fitted:
     def score(features: pd.Series) -> pd.Series:
         return pd.Series(scorer.score(np.stack(features.to_numpy())) if len(features) else [], dtype="float64")
@@ -107,7 +89,7 @@ def _from_scorer(scorer) -> Fitted:
 
 
 def in_passes(fit: Callable[..., list], settings) -> FoldTrainer:
-    """A trainer of ``boosting`` or ``perceptron``."""
+    """A trainer of ``boosting``, ``linear`` or ``perceptron``."""
 
     def train(rows: DataFrame, folds: int) -> list[Fitted]:
         kept = rows.withColumn("features", vector_to_array(F.col("features")))
@@ -116,55 +98,12 @@ def in_passes(fit: Callable[..., list], settings) -> FoldTrainer:
     return FoldTrainer(train)
 
 
-def calibrated_svc(c: float, max_iter: int, folds: int = 5) -> Trainer:
-    """Linear SVC per fold with a sigmoid fitted on the held-out margins; probabilities are averaged."""
-
-    def train(rows: DataFrame) -> Fitted:
-        folded = stage(mt.stratified_folds(rows, "id", "label", folds, SEED), "folds")
-        margin = VectorAssembler(inputCols=["margin"], outputCol="margin_vector")
-
-        def one(fold: int) -> tuple:
-            part = folded.where(F.col("fold") != fold)
-            penalty = 1.0 / (c * max(part.count(), 1))
-            svc = LinearSVC(regParam=penalty, maxIter=max_iter, tol=TOLERANCE, standardization=False).fit(
-                compact(part)
-            )
-            held = margin.transform(_margin(svc, folded.where(F.col("fold") == fold)))
-            sigmoid = LogisticRegression(featuresCol="margin_vector").fit(held)
-            slope, offset = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-            return svc.coefficients.toArray().tolist(), float(svc.intercept), slope, offset
-
-        return _from_weights(_together(one, range(folds), rows.sparkSession))
-
-    return train
-
-
 def _together(work: Callable, items, spark: SparkSession) -> list:
     """Run independent fits side by side; each is a series of small jobs that leaves cores idle."""
     with ThreadPoolExecutor(len(items)) as pool:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(work), i) for i in items]]
 
 
-def _from_weights(pairs: list) -> Fitted:
-    return Fitted(lambda df: _averaged_sigmoids(df, pairs), weights=pairs)
-
-
-def _margin(svc, rows: DataFrame) -> DataFrame:
-    scored = svc.transform(rows).withColumn("margin", vector_to_array("rawPrediction")[1])
-    return scored.select("id", "label", "margin")
-
-
-def _averaged_sigmoids(df: DataFrame, pairs: list) -> DataFrame:
-    x = vector_to_array(F.col("features"))
-    probabilities = []
-    for weights, intercept, slope, offset in pairs:
-        products = F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
-        margin = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v) + float(intercept)
-        probabilities.append(1.0 / (1.0 + F.exp(-(slope * margin + offset))))
-    score = sum(probabilities[1:], probabilities[0]) / len(probabilities)
-    return df.withColumn("score", score).withColumn("yhat", (F.col("score") > 0.5).cast("int"))
-
-
 def knn(k: int) -> Trainer:
     def train(rows: DataFrame) -> Fitted:
         points = rows.select("id", vector_to_array("features").alias("vec"), F.col("label").cast("int").alias("label"))
@@ -193,8 +132,8 @@ def default_models(max_iter_scale: float = 1.0) -> dict[str, Trainer]:
                 numTrees=n(200), maxDepth=6, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=SEED
             )
         ),
-        "LogisticRegression": logistic(0.5, n(2000)),
-        "LinearSVC": calibrated_svc(0.3, n(3000)),
+        "LogisticRegression": in_passes(linear.fit_logistic, 0.5),
+        "LinearSVC": in_passes(linear.fit_calibrated_svc, 0.3),
         "KNN": knn(11),
         "GradientBoosting": mllib(
             GBTClassifier(maxIter=n(150), maxDepth=4, subsamplingRate=0.8, stepSize=0.05, seed=SEED)
@@ -214,8 +153,6 @@ def save(fitted: Fitted, spark: SparkSession, path: str) -> None:
     if fitted.model is not None:
         kind, detail = "model", f"{type(fitted.model).__module__}.{type(fitted.model).__name__}"
         fitted.model.write().overwrite().save(f"{path}/model")
-    elif fitted.weights is not None:
-        kind, detail = "weights", json.dumps(fitted.weights)
     elif fitted.scorer is not None:
         kind, detail = type(fitted.scorer).__name__, fitted.scorer.to_json()
     else:
@@ -228,9 +165,7 @@ def load(spark: SparkSession, path: str) -> Fitted:
     about = spark.read.schema("kind string, detail string").json(f"{path}/about").first()
     if about["kind"] == "model":
         return _from_model(getattr(classification, about["detail"].rsplit(".", 1)[1]).load(f"{path}/model"))
-    if about["kind"] == "weights":
-        return _from_weights(json.loads(about["detail"]))
-    for kind in (boosting.Ensemble, perceptron.Perceptron):
+    for kind in Scorer.__args__:
         if about["kind"] == kind.__name__:
             return _from_scorer(kind.from_json(about["detail"]))
     return _from_points(spark.read.parquet(f"{path}/points"), int(about["detail"]))

@@ -294,5 +294,5 @@ def test_every_model_learns(spark, tmp_path):
         if name == "RandomForest":
             top = md.feature_importance(fitted, ["a", "b", "c"], spark, 2).collect()
             assert {r.feature for r in top} == {"a", "b"}
-    cv = md.cross_validate(md.logistic(0.5, 50), "LR", df, 4).first()
+    cv = md.cross_validate(md.default_models()["LogisticRegression"], "LR", df, 4).first()
     assert cv.cv_mean > 0.85 and cv.cv_std < 0.2
