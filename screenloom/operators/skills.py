@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.dims.taxonomy import STARTER_TAXONOMY
 from screenloom.functions.scores import breadth_bonus, jd_coverage
 from screenloom.functions.text import normalize_text, strip
+from screenloom.operators.dictionary import Dictionary
 
 # ``ord`` is a path (source, file, category, place ...), compared part by part, so nothing is packed or overflows.
 ENTRY_SCHEMA = "ord array<long>, category string, canonical string, aliases array<string>"
-WORD = r"\w+"  # ASCII letters, digits and underscore, as in the boundary test
-EDGES = ("(?<![a-z0-9_])", "(?![a-z0-9_])")
 BLOCK_VARIANTS = 100_000  # variants that one matcher column holds
 
 
@@ -83,56 +81,22 @@ def variant_table(entries: DataFrame) -> DataFrame:
     return clean.groupBy("variant").agg(F.min_by("canonical", F.struct("ord", "pos")).alias("canonical"))
 
 
-def matcher_table(variants: DataFrame) -> DataFrame:
-    """Variants keyed by their first word.
-
-    ``phrase`` is null for a plain word, which equals a whole word of the text.
-    """
-    variant = F.col("variant")
-    phrase = F.when(~variant.rlike(f"^{WORD}$"), variant)
-    return variants.select(F.regexp_extract(variant, WORD, 0).alias("head"), phrase.alias("phrase"), "canonical")
-
-
 # ---- extraction ------------------------------------------------------------------------------------------------
 
 
-class _Block:
-    """Some variants by their first word. The cost of a text follows its words, not the taxonomy."""
-
-    def __init__(self, rows: list[tuple[str, str | None, str]]):
-        self.by_head: dict[str, list[tuple[str | None, str]]] = {}
-        for head, phrase, canonical in rows:
-            self.by_head.setdefault(head, []).append((phrase, canonical))
-
-    def find(self, text: str | None) -> list[str]:
-        if text is None:
-            return []
-        found = set()
-        for head in {*re.findall(WORD, text, re.ASCII), ""}:
-            for phrase, canonical in self.by_head.get(head, ()):
-                if canonical not in found and (phrase is None or _occurs(text, phrase)):
-                    found.add(canonical)
-        return sorted(found)
-
-
-def _occurs(text: str, phrase: str) -> bool:
-    """Whether a phrase occurs with no word character at its edges. A substring search settles most cases."""
-    return phrase in text and re.search(EDGES[0] + re.escape(phrase) + EDGES[1], text) is not None
-
-
 @dataclass(frozen=True)
 class Matcher:
     """Compiled variants, in blocks of bounded size. A taxonomy of any size is matched by the same map-only plan, in
     batches and streams: one column of found skills per block, united per row."""
 
-    blocks: tuple[_Block, ...]
+    blocks: tuple[Dictionary, ...]
 
     @staticmethod
     def build(entries: DataFrame, block_variants: int = BLOCK_VARIANTS) -> Matcher:
-        rows = matcher_table(variant_table(entries)).orderBy("head", "canonical", "phrase").toLocalIterator()
+        rows = variant_table(entries).orderBy("variant").toLocalIterator()
         blocks = []
-        while some := [tuple(r) for r in islice(rows, block_variants)]:
-            blocks.append(_Block(some))
+        while some := list(islice(rows, block_variants)):
+            blocks.append(Dictionary([r["variant"] for r in some], [r["canonical"] for r in some]))
         return Matcher(tuple(blocks))
 
     def skills(self, df: DataFrame, text: str, out: str = "skills") -> DataFrame:
@@ -142,12 +106,11 @@ class Matcher:
         return df.withColumn(out, F.array_sort(reduce(F.array_union, found, none)))
 
 
-def _finder(block: _Block):
-    @F.pandas_udf("array<string>")
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(block.find)
+def _finder(block: Dictionary):
+    def find(texts: pa.Array) -> pa.Array:
+        return block.find(texts)
 
-    return find
+    return F.arrow_udf(find, "array<string>")
 
 
 def add_implied(df: DataFrame, implied: DataFrame, id_column: str, skills: str = "skills") -> DataFrame:
