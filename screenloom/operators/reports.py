@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from screenloom.dims.stages import STATUS_LABELS
 from screenloom.functions.scores import label_of, rounded
@@ -35,13 +38,49 @@ def kpis(counted: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_report(sheets: dict[str, DataFrame], path: str, file_format: str = "csv") -> dict[str, str]:
-    """One table per sheet below ``path``; returns where each was written."""
-    written = {}
-    for name, df in sheets.items():
-        target = f"{path}/{name}"
-        writer = df.write.mode("overwrite").format(file_format)
-        if file_format == "csv":
-            writer = writer.option("header", True).option("escape", '"')
-        writer.save(target)
-        written[name] = target
-    return written
+    """One table per sheet below ``path``; returns where each was written.
+
+    The report appears whole or not at all: sheets are written to a draft next to ``path``, which takes its place when all are
+    done, by a rename of the shared file system. If any sheet fails, the draft goes and what stood at ``path`` stays. (A store
+    without renames copies; there a reader can see part of it.)
+    """
+    if not sheets:
+        return {}
+    spark = next(iter(sheets.values())).sparkSession
+    mark = uuid.uuid4().hex
+    draft, old = f"{path}.draft-{mark}", f"{path}.old-{mark}"
+    try:
+        for name, df in sheets.items():
+            writer = df.write.format(file_format)
+            if file_format == "csv":
+                writer = writer.option("header", True).option("escape", '"')
+            writer.save(f"{draft}/{name}")
+        store, place = _store(spark, path)
+        _, drafted = _store(spark, draft)
+        _, aside = _store(spark, old)
+        replaced = store.exists(place)
+        if replaced and not store.rename(place, aside):
+            raise OSError(f"cannot put aside {path}")
+        if not store.rename(drafted, place):
+            if replaced:
+                store.rename(aside, place)
+            raise OSError(f"cannot publish {path}")
+        if replaced:
+            store.delete(aside, True)
+    except Exception:
+        store, drafted = _store(spark, draft)
+        store.delete(drafted, True)
+        raise
+    return {name: f"{path}/{name}" for name in sheets}
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def read_sheet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A CSV sheet of a report, with the types it was written with; texts may hold line breaks."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    return reader.schema(schema).csv(path)

@@ -6,7 +6,7 @@ import importlib
 
 from screenloom.plans.registry import CHECKS, QUERIES, Query
 
-GROUPS = ["screening", "similarity", "hiring", "learning", "models", "interviews", "streams"]
+GROUPS = ["screening", "similarity", "hiring", "learning", "models", "interviews", "reports", "streams"]
 
 
 def _load() -> None:

@@ -26,7 +26,8 @@ def _wide(documents: DataFrame) -> DataFrame:
     def listed(column: Column) -> Column:
         return F.coalesce(column, none)
 
-    topics = documents.select(F.explode("bank").alias("skill", "topic"))
+    every = documents.select("file", F.explode("bank").alias("skill", "topic"))
+    topics = every.groupBy("skill").agg(F.max_by("topic", "file").alias("topic"))  # the last registration counts
     tiers = F.explode(F.array(*[F.lit(t) for t in TIERS])).alias("tier")
     by_tier = topics.select("skill", "topic", tiers)
     concepts = F.coalesce(
@@ -43,9 +44,13 @@ def _wide(documents: DataFrame) -> DataFrame:
 
 
 def read_bank(spark: SparkSession, path: str) -> DataFrame:
-    return _wide(spark.read.text(path, wholetext=True).select(F.from_json("value", BANK).alias("bank")))
+    """The bank of a file or a folder. A skill that several files register has the topics of the last one, by path. A file
+    that is no JSON object is an error that names it."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    wrong = F.raise_error(F.concat(F.lit("no JSON object of skills: "), F.col("file"))).cast(BANK)
+    return _wide(files.select("file", F.coalesce(F.from_json("value", BANK), wrong).alias("bank")))
 
 
 def starter_bank(spark: SparkSession) -> DataFrame:
     document = spark.createDataFrame([(json.dumps(STARTER_BANK),)], "value string")
-    return _wide(document.select(F.from_json("value", BANK).alias("bank")))
+    return _wide(document.select(F.lit("").alias("file"), F.from_json("value", BANK).alias("bank")))

@@ -11,10 +11,13 @@ NESTED = "map<string,map<string,array<string>>>"
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """Registration entries (ord, category, canonical, aliases) in file order; several files follow path order.
 
-    ``path`` may be a folder of files, each an object of its own, as ``write_taxonomy`` leaves it.
+    ``path`` may be a folder of files, each an object of its own, as ``write_taxonomy`` leaves it. A file that is none is an
+    error that names it.
     """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    nested = files.select("file", F.from_json("value", NESTED).alias("taxonomy"))
+    parsed = F.from_json("value", NESTED)
+    wrong = F.raise_error(F.concat(F.lit("no JSON object of categories: "), F.col("file"))).cast(NESTED)
+    nested = files.select("file", F.coalesce(parsed, wrong).alias("taxonomy"))
     categories = nested.select("file", F.posexplode("taxonomy").alias("c", "category", "skills"))
     skills = categories.select("file", "c", "category", F.posexplode("skills").alias("s", "canonical", "aliases"))
     # A taxonomy has few files; their rank makes the leading part of the order.

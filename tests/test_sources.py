@@ -1,10 +1,13 @@
 import csv
 
+import pytest
 from pyspark.sql import functions as F
 
 from screenloom.functions.scores import label_of, pretty_json, safe_json
-from screenloom.operators.reports import write_report
+from screenloom.operators.reports import read_sheet, write_report
 from screenloom.sources import candidates as src
+from screenloom.sources.question_bank import read_bank
+from screenloom.sources.taxonomy import read_taxonomy
 
 HEADER = [
     "Name", "Age", "Gender", "Education_Level", "Field_of_Study", "Experience_Years", "Skills", "Certifications",
@@ -63,3 +66,41 @@ def test_report(spark, tmp_path):
     sheets = {"people": spark.range(3), "none": spark.range(0)}
     written = write_report(sheets, str(tmp_path / "report"))
     assert spark.read.option("header", True).csv(written["people"]).count() == 3
+
+
+def test_report_appears_whole_or_not_at_all(spark, tmp_path):
+    """A sheet that fails leaves no other sheet behind, and the report that stood there stays; texts may hold line breaks."""
+    path = str(tmp_path / "report")
+    good = spark.createDataFrame([(1, 'a "quoted"\nline, and more', None), (2, "", 0.5)], "id long, text string, share double")
+    bad = spark.range(3).select(F.expr("raise_error('no sheet')").cast("string").alias("x"))
+    with pytest.raises(Exception, match="no sheet"):
+        write_report({"good": good, "bad": bad}, path)
+    assert list(tmp_path.iterdir()) == []
+    written = write_report({"good": good, "again": good.limit(1)}, path)
+    back = sorted(map(tuple, read_sheet(spark, written["good"], good.schema).collect()))
+    assert back[0] == (1, 'a "quoted"\nline, and more', None) and back[1][2] == 0.5
+    with pytest.raises(Exception, match="no sheet"):
+        write_report({"good": good.limit(0), "bad": bad}, path)
+    assert [p.name for p in tmp_path.iterdir()] == ["report"]
+    assert read_sheet(spark, written["good"], good.schema).count() == 2
+    write_report({"good": good.limit(1)}, path)  # a new report takes the place of the old one
+    assert sorted(p.name for p in (tmp_path / "report").iterdir()) == ["good"]
+    assert write_report({}, path) == {}
+
+
+def test_broken_taxonomy_is_an_error(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"Data": {"SQL": ["postgres"]}}')
+    assert [r.canonical for r in read_taxonomy(spark, str(tmp_path)).collect()] == ["SQL"]
+    (tmp_path / "broken.json").write_text('{"Data": {"SQL": ')
+    with pytest.raises(Exception, match="broken.json"):
+        read_taxonomy(spark, str(tmp_path)).collect()
+
+
+def test_bank_of_several_files_keeps_the_last_registration(spark, tmp_path):
+    topic = '{"concepts": {"easy": ["%s"]}, "coding_patterns": [], "scenarios": [], "design_topics": []}'
+    (tmp_path / "a.json").write_text('{"SQL": %s, "Python": %s}' % (topic % "old", topic % "p"))
+    (tmp_path / "b.json").write_text('{"SQL": %s}' % (topic % "new"))
+    rows = [(r.skill, r.tier) for r in read_bank(spark, str(tmp_path)).collect()]
+    assert len(rows) == len(set(rows)) and {s for s, _ in rows} == {"SQL", "Python"}
+    concepts = {c for r in read_bank(spark, str(tmp_path)).where("skill = 'SQL'").collect() for c in r.concepts}
+    assert concepts <= {"new"}
