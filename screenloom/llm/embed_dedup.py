@@ -4,9 +4,8 @@ Centres are fitted on a bounded sample, and every vector is indexed: it lives in
 visits each cell whose border is near. Take two linked vectors at home in different cells. Between those cells lies a
 plane, one vector on either side, and their distances to it add up to at most sqrt(2 - 2 threshold). So at least one of
 them is within half of that and visits the other's cell: with ``slack=None`` no link is lost. A smaller ``slack`` visits
-fewer cells. In d dimensions the part of the distance that lies across a given border is about 1/sqrt(d) of it, so the
-default loses next to nothing of vectors spread over many dimensions, but many links of vectors that lie in few. The query
-runs with ``slack=None``.
+fewer cells. In d dimensions the part of the distance that lies across a given border is about 1/sqrt(d) of it, so ``SLACK``
+loses next to nothing of vectors spread over many dimensions, but many links of vectors that lie in few: it must be asked for.
 
 Equal vectors are one vertex with a weight. The residents and the visitors of a cell are cut into blocks of bounded size,
 and each block of residents is compared with every block of the cell in tasks of their own; visitors are not compared with
@@ -185,7 +184,7 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.9,
-    slack: float | None = SLACK,
+    slack: float | None = None,
     cell_rows: int = CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
     vec_id: str = "vec_id",

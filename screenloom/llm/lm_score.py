@@ -9,15 +9,11 @@ Bigrams are counted exactly, in a table that grows with the corpus: each task ad
 hot bigrams reach it once a task; word counts are sums of that table. Losses are found once for each different bigram. The
 commonest bigrams, ``HOT`` at most, go to the tasks; a document's other bigrams meet their losses in a join, and none of them
 stands in more documents than the rarest common one. Words and bigrams are equal where their 64-bit hashes are.
-
-``fit`` and ``score`` are the same scores from a model of bounded size that is held in memory, with the commonest
-words and bigrams in hashed cells; the query does not use them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +23,6 @@ from pyspark.sql import functions as F
 from screenloom.llm.scan import mix, owner, pieces, scan, word_hashes
 from screenloom.session import stage
 
-VOCABULARY = 32_768
-CELLS = 1 << 20
 HOT = 1 << 20  # bigrams whose losses go to the tasks
 BEGIN = 0  # stands for the word before a text
 _HELD = 1 << 21  # different bigrams a task adds up before it hands them on
@@ -36,117 +30,6 @@ _ROWS = 1 << 16
 PRIOR = 8.0  # how many tokens the unigram share weighs against the bigram counts
 
 
-@dataclass
-class Model:
-    """``words``: hashes of the vocabulary, ascending; word ids are places in it, then unknown, then the beginning.
-
-    Counts have a column for the target and one for the background: ``single`` a row per id, ``double`` a row per cell.
-    """
-
-    words: np.ndarray
-    single: np.ndarray
-    double: np.ndarray
-
-    def losses(self, texts: pa.Array, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens per text, and their mean loss (nats) under both models; no tokens, no loss."""
-        text, before, now = tokens(texts, self.words)
-        n = len(texts)
-        count = np.bincount(text, minlength=n)
-        cell = cells_of(before, now, len(self.double))
-        loss = np.zeros((n, 2))
-        for k in range(2):
-            total = self.single[:-1, k].sum()
-            share = (self.single[now, k] + 1.0) / (total + len(self.single) - 1)
-            likely = (self.double[cell, k] + prior * share) / (self.single[before, k] + prior)
-            loss[:, k] = np.bincount(text, -np.log(likely), minlength=n) / np.maximum(count, 1)
-        return count, loss
-
-
-def tokens(texts: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its text, the id before it, its id."""
-    w = scan(texts)
-    hashes = word_hashes(w)
-    ids = np.full(len(hashes), len(words), dtype=np.int64)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        known = words[at] == hashes
-        ids[known] = at[known]
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[w.first[:-1][np.diff(w.first) > 0]] = len(words) + 1
-    return owner(w.first), before, ids
-
-
-def cells_of(before: np.ndarray, now: np.ndarray, cells: int) -> np.ndarray:
-    return (mix(before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + now.astype(np.uint64)) % np.uint64(cells)).astype(np.int64)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [np.unique(word_hashes(scan(p.column("text"))), return_counts=True) for p in pieces(batch, "text")]
-        if not found:
-            continue
-        keys, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([f[1] for f in found]), minlength=len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], names=["word", "n"])
-
-
-def fit(docs: DataFrame, target: str, vocabulary: int = VOCABULARY, cells: int = CELLS) -> Model:
-    """Count over all rows of ``docs`` (columns text, and the boolean ``target``; null is false)."""
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    counted = texts.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toArrow()["word"].to_numpy()
-    words = np.sort(top.astype(np.int64).view(np.uint64))
-    size = len(words) + 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, double = np.zeros((size, 2), np.int64), np.zeros((cells, 2), np.int64)
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                text, before, now = tokens(piece.column("text"), words)
-                chosen = piece.column("target").to_numpy(zero_copy_only=False).astype(bool)[text]
-                cell = cells_of(before, now, cells)
-                begins = now[before == size - 1], chosen[before == size - 1]
-                for k, some in ((0, chosen), (1, slice(None))):
-                    single[:, k] += np.bincount(now[some], minlength=size)
-                    single[size - 1, k] += begins[1].sum() if k == 0 else len(begins[0])
-                    double[:, k] += np.bincount(cell[some], minlength=cells)
-        for first, table in ((0, double), (cells, single)):
-            rows = np.flatnonzero(table[:, 1])
-            for at in range(0, len(rows), 1 << 16):
-                some = rows[at : at + (1 << 16)]
-                columns = [pa.array(some + first), pa.array(table[some, 0]), pa.array(table[some, 1])]
-                yield pa.RecordBatch.from_arrays(columns, names=["cell", "target", "background"])
-
-    sums = texts.mapInArrow(run, "cell long, target long, background long").groupBy("cell")
-    rows = sums.agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    table = np.zeros((cells + size, 2), np.float32)
-    at = rows["cell"].to_numpy()
-    table[at, 0], table[at, 1] = rows["target"].to_numpy(), rows["background"].to_numpy()
-    return Model(words, table[cells:].astype(np.float64), table[:cells])
-
-
-def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
-    """One row per document: doc_id, n_tokens, target_loss, background_loss, difference.
-
-    A null text or one without words has no tokens and zero losses. Rows are judged one by one, so repeated rows and ids give
-    repeated results; an empty table gives an empty result; other columns are ignored.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by vocabulary and cells
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                count, loss = shared.value.losses(piece.column("text"), prior)
-                columns = [piece.column("doc_id"), pa.array(count), pa.array(loss[:, 0]), pa.array(loss[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_tokens long, target_loss double, background_loss double"
-    scored = texts.mapInArrow(run, schema)
-    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
-
-
 # ---- counts that grow with the corpus ---------------------------------------------------------------------------
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenloom.dims import question_bank as qb
 from screenloom.functions.hashing import hash32
 from screenloom.functions.text import seniority_tier
+from screenloom.operators.backends import Backend, answered
 
 SEED = 42
 
@@ -133,3 +136,13 @@ def generate_questions(profiles: DataFrame, bank: DataFrame, n_per_skill: int =
 
 def of_types(questions: DataFrame, types: list[str]) -> DataFrame:
     return questions.where(F.col("type").isin(*types))
+
+
+def from_backends(questions: DataFrame, chain: Sequence[Backend], store: str | None = None, kind: str = "") -> DataFrame:
+    """``questions`` worded by a chain of back-ends, with the column ``origin``: the back-end, or "bank" where none answered
+    and the bank's own wording stays. A request names skill, type and difficulty and gives the bank's question; equal ones of
+    all candidates are asked once, see ``backends.answered``."""
+    wanted = F.concat_ws("\n", F.concat_ws(" | ", "skill", "type", "difficulty"), "question")
+    found = answered(questions.withColumn("_request", wanted), chain, "_request", store, kind)
+    worded = found.withColumn("question", F.coalesce("answer", "question")).withColumn("origin", F.coalesce("backend", F.lit("bank")))
+    return worded.drop("_request", "answer", "backend")

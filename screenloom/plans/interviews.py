@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from screenloom.dims import question_bank as qb
 from screenloom.operators import questions as qs
 from screenloom.operators import reports as rp
 from screenloom.operators import screening as sg
+from screenloom.operators.backends import Backend
 from screenloom.plans import fixtures as fx
 from screenloom.plans.hiring import current_states, jd_schedule
 from screenloom.plans.oracle_inputs import CTES, NEEDS, items, lit, with_inputs
@@ -129,6 +131,33 @@ def all_questions(spark, d):
     return questions(spark, d)
 
 
+def _rephrased(requests: pa.Array) -> pa.Array:
+    """Words coding questions anew, and knows nothing of others."""
+    return pa.array([f"Write code: {r.split(chr(10), 1)[1]}" if " | coding | " in r else None for r in requests.to_pylist()], pa.string())
+
+
+def _shortened(requests: pa.Array) -> pa.Array:
+    """Fails on every batch with a question on design, as a service that is down does."""
+    if any(" | system_design | " in r for r in requests.to_pylist()):
+        raise ConnectionError("no answer")
+    return pa.array([None] * len(requests), pa.string())
+
+
+@query(
+    "backend_questions",
+    with_inputs(
+        "questions",
+        """SELECT candidate_id, skill, type, i, CASE WHEN type = 'coding' THEN 'Write code: ' || question ELSE question END AS question,
+            CASE WHEN type = 'coding' THEN 'rephrased' ELSE 'bank' END AS origin FROM questions""",
+    ),
+)
+def backend_questions(spark, d):
+    """All questions through a chain of two back-ends, the first of which fails; the bank answers what both leave open."""
+    chain = [Backend("shortened", _shortened), Backend("rephrased", _rephrased)]
+    found = qs.from_backends(questions(spark, d), chain)
+    return found.select("candidate_id", "skill", "type", "i", "question", "origin")
+
+
 @query(
     "questions_by_type",
     with_inputs(

@@ -539,48 +539,15 @@ def test_label_model_discounts_copies():
 # ---- 7 ----------------------------------------------------------------------------------------------------------
 
 
-def test_lm_score(spark, docs, none):
-    texts = ids_and_texts(docs)
-    labels = spark.createDataFrame([(i, k % 2, 0) for k, (i, _) in enumerate(texts) if i is not None][:60], LABELS)
-    target = {r["doc_id"] for r in labels.groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").collect()}
-    known = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).withColumnRenamed("doc_id", "_id")
-    marked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("t", F.col("q") == 1)
-    model = lm_score.fit(marked, "t", vocabulary=30, cells=256)
-    hashes = lambda t: scan.word_hashes(scan.scan(pa.array([t], pa.string()))).tolist()
-    vocabulary = {h: k for k, h in enumerate(model.words.tolist())}
-    counts = {}
-    for _, t in texts:
-        for h in hashes(t):
-            counts[h] = counts.get(h, 0) + 1
-    assert min(counts[h] for h in vocabulary) >= max(n for h, n in counts.items() if h not in vocabulary)
-    single, double = np.zeros((32, 2)), np.zeros((256, 2))
-    chain = {t: [31] + [vocabulary.get(h, 30) for h in hashes(t)] for _, t in texts}
-    cell = lambda a, b: int(lm_score.cells_of(np.array([a]), np.array([b]), 256)[0])
-    for i, t in texts:
-        for k in [0] * (i in target) + [1]:
-            ids = chain[t]
-            single[31, k] += len(ids) > 1
-            for a, b in zip(ids[:-1], ids[1:], strict=True):
-                single[b, k] += 1
-                double[cell(a, b), k] += 1
-    assert (model.single == single).all() and (model.double == double).all()
-    found = {(r["doc_id"], r["n_tokens"], round(r["target_loss"], 9), round(r["background_loss"], 9)) for r in lm_score.score(docs, model).collect()}
-    expected = set()
-    for i, t in texts:
-        ids, loss = chain[t], [0.0, 0.0]
-        for k in range(2):
-            for a, b in zip(ids[:-1], ids[1:], strict=True):
-                share = (single[b, k] + 1) / (single[:31, k].sum() + 31)
-                loss[k] -= np.log((double[cell(a, b), k] + 8 * share) / (single[a, k] + 8)) / (len(ids) - 1)
-        expected.add((i, len(ids) - 1, round(float(loss[0]), 9), round(float(loss[1]), 9)))
-    assert found == expected
+def test_lm_score_of_poor_tables(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, 0)], LABELS)
     assert lm_score.cross_entropy_difference(none, labels).count() == 0
-    assert lm_score.cross_entropy_difference(docs, labels.limit(0)).count() == len(texts)
+    assert lm_score.cross_entropy_difference(docs, labels.limit(0)).count() == docs.count()
 
 
 @pytest.mark.parametrize("hot", [0, 5, 300, lm_score.HOT])
 def test_lm_score_counts_every_word_and_bigram(spark, docs, hot):
-    """More words than the bounded vocabulary has, against plain counts, wherever the losses of common bigrams come from."""
+    """Against plain counts, wherever the losses of common bigrams come from."""
     rng = random.Random(11)
     rare = [" ".join(f"r{k}x{i}" for i in range(300)) for k in range(130)] + [" ".join(rng.choice("abcdef") for _ in range(400))] * 3
     more = spark.createDataFrame([(5000 + k, t) for k, t in enumerate(rare)], "doc_id long, text string")
@@ -595,7 +562,7 @@ def test_lm_score_counts_every_word_and_bigram(spark, docs, hot):
                 single[k][a] = single[k].get(a, 0) + bool(words)
                 double[k][a, b] = double[k].get((a, b), 0) + 1
     kinds = len({b for _, _, words in texts for b in words})
-    assert kinds > lm_score.VOCABULARY
+    assert kinds > 30_000
     totals = [sum(n for a, n in s.items() if a is not None) for s in single]
     expected = []
     for i, _, words in texts:

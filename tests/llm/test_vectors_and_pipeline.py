@@ -74,7 +74,7 @@ def test_embeddings_without_vectors(spark):
 
 
 def test_embeddings_recall(spark):
-    """The default slack against brute force, on pairs close to the threshold that the centres cut apart."""
+    """A small slack against brute force, on pairs close to the threshold that the centres cut apart."""
     rng = np.random.default_rng(7)
     base = rng.normal(size=(1500, 64))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
@@ -86,7 +86,7 @@ def test_embeddings_recall(spark):
     ids = list(range(len(rows)))
     expected = brute(ids, rows, 0.9)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>")
-    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, cell_rows=64).collect()}
+    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, slack=embed_dedup.SLACK, cell_rows=64).collect()}
     links = sum(n for n, _, _ in expected.values())
     assert links > 2500
     assert all(found[i] <= expected[i][0] for i in ids)
