@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from screenloom.dims.domain import DEMO_NAMES, DEMO_SKILL_BUNDLES
 from screenloom.functions.hashing import hash32, hash_pick, hash_uniform
 from screenloom.functions.text import guess_experience, guess_name, resume_text, strip
 from screenloom.operators.positions import with_position
+from screenloom.sources.records import read_csv
 
 # Column names of the candidate file.
 PROFILE_SCHEMA = (
@@ -32,18 +34,16 @@ PROFILE_NAMES = {
 
 def read_profiles(spark: SparkSession, path: str, file_format: str = "csv", id_column: str | None = None) -> DataFrame:
     """Profiles with ``ord``, the place of the row (files by path, rows as they stand in them, from 0), and
-    ``candidate_id``: the named column, else ord + 1. Places do not depend on how Spark splits the input. A quoted
-    field may span lines, so a CSV file is read by one task: hand in many files rather than a large one."""
+    ``candidate_id``: the named column, else ord + 1. Places do not depend on how Spark splits the input. Quoted fields of
+    a CSV file may span lines; a large file is read by many tasks all the same."""
     schema = PROFILE_SCHEMA + (f", {id_column} string" if id_column else "")
-    reader = spark.read.schema(schema)
     if file_format == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-        reader = reader.option("enforceSchema", False)
-    raw = reader.format(file_format).load(path)
-    placed = raw.withColumns(
-        {"_all": F.lit(0), "_file": F.col("_metadata.file_path"), "_row": F.monotonically_increasing_id()}
-    )
-    numbered = with_position(placed, ["_all"], [("_file", True)], [F.col("_row")], "_place")
+        raw = read_csv(spark, path, StructType.fromDDL(schema), placed=True)
+    else:
+        loaded = spark.read.schema(schema).format(file_format).load(path)
+        raw = loaded.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.lit(0), "_seq": F.monotonically_increasing_id()})
+    placed = raw.withColumn("_all", F.lit(0))
+    numbered = with_position(placed, ["_all"], [("_file", True), ("_start", True)], [F.col("_seq")], "_place")
     numbered = numbered.withColumn("ord", F.col("_place") - 1)
     ident = F.col(id_column) if id_column else (F.col("ord") + 1).cast("string")
     columns = [F.col(old).alias(new) for old, new in PROFILE_NAMES.items()]
