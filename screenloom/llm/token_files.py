@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenloom.llm.scan import pieces
@@ -357,14 +357,15 @@ def read_shards(spark, folder: str, starts: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` below the shared folder and read them back: rows (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
-    folder = _as_uri(new_path(spark, "tokens"))
+    folder = _as_uri(spark, new_path(spark, "tokens"))
     starts = write_shards(docs, folder, tokenizer, end_id)
     if starts.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read_shards(spark, folder, starts).drop("ids")
 
 
-def _as_uri(path: str) -> str:
-    if "://" in path:
-        return path
-    return "file://" + path.removeprefix("file:")
+def _as_uri(spark: SparkSession, path: str) -> str:
+    """``path`` with the file system that Spark itself resolves it on, so that all executors write to the same one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
