@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import islice
+import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.42  # fixed value
-BLOCK_SKILLS = 10_000  # skill vectors that go to the tasks at once
+BLOCK_SKILLS = 10_000  # skill vectors compared at once
+BLOCK_TEXTS = 50_000
 
 
 def centroids(vectors: DataFrame, group: str, prefix: str) -> DataFrame:
@@ -23,45 +25,58 @@ def centroids(vectors: DataFrame, group: str, prefix: str) -> DataFrame:
 
 
 def implied_skills(
-    texts: DataFrame, skill_vectors: DataFrame, id_column: str, vector: str, found: str, threshold: float = THRESHOLD
+    texts: DataFrame,
+    skill_vectors: DataFrame,
+    id_column: str,
+    vector: str,
+    found: str,
+    threshold: float = THRESHOLD,
+    block_skills: int | None = None,
+    block_texts: int = BLOCK_TEXTS,
 ) -> DataFrame:
     """(id, implied_skill, similarity) for skills at least ``threshold`` close and not among the ``found`` ones.
 
-    Skill vectors go to the tasks in blocks of bounded size, one pass over the texts for each. A batch of texts and a
-    block are one matrix product, so no pairs are formed.
+    Skill vectors that fit into one block, which is counted first, go to every task. More of them are dealt into blocks by a
+    hash, as are the texts, and each pair of a skill block and a text block meets in a task of its own; nothing passes the
+    driver. A block of texts and one of skills are one matrix product, so no pairs are formed.
     """
+    block_skills = block_skills or BLOCK_SKILLS
     schema = f"{id_column} {texts.schema[id_column].dataType.simpleString()}, implied_skill string, similarity double"
-    rows = skill_vectors.orderBy("skill").toLocalIterator()
-    result = texts.sparkSession.createDataFrame([], schema)
-    while block := list(islice(rows, BLOCK_SKILLS)):
-        result = result.union(_implied_by(block, texts, id_column, vector, found, threshold, schema))
-    return result
+    wanted = texts.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.col(found).alias("found"))
+    skills = skill_vectors.select("skill", F.col("vec").cast("array<double>").alias("vec"))
+    some = skills.limit(block_skills + 1).toArrow().to_pandas()
+    if len(some) <= block_skills:
+        def near_all(batches):
+            for batch in batches:
+                yield _implied(batch, some, id_column, threshold)
 
+        return wanted.mapInPandas(near_all, schema)
+    down = math.ceil(skills.count() / block_skills)
+    across = max(1, math.ceil(texts.count() / block_texts))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = wanted.withColumn("_t", F.pmod(F.xxhash64("id"), F.lit(across)).cast("int")).withColumn("_s", every(down))
+    right = skills.withColumn("_s", F.pmod(F.xxhash64("skill"), F.lit(down)).cast("int")).withColumn("_t", every(across))
 
-def _implied_by(
-    block: list, texts: DataFrame, id_column: str, vector: str, found: str, threshold: float, schema: str
-) -> DataFrame:
-    names = np.array([r["skill"] for r in block], dtype=object)
-    matrix = np.array([r["vec"] for r in block], dtype=float)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def match(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["vec"].to_numpy()).astype(float)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            similarity = x @ matrix.T
-            hits, cols = (similarity >= threshold).nonzero()
-            result = pd.DataFrame(
-                {id_column: batch["id"].to_numpy()[hits], "implied_skill": names[cols], "similarity": similarity[hits, cols]}
-            )
-            known = batch["found"].to_numpy()[hits]
-            new = [s not in k for s, k in zip(result["implied_skill"], known)]
-            yield result[new]
+    def near(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return _implied(own, known, id_column, threshold)
 
-    wanted = texts.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.col(found).alias("found"))
-    return wanted.mapInPandas(match, schema)
+    return left.groupBy("_t", "_s").cogroup(right.groupBy("_t", "_s")).applyInPandas(near, schema)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    rows = np.stack(vectors.to_numpy()).astype(float)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _implied(texts: pd.DataFrame, skills: pd.DataFrame, id_column: str, threshold: float) -> pd.DataFrame:
+    """Rows of the result for some texts (id, vec, found) and some skills."""
+    names = np.array(skills["skill"].tolist(), dtype=object)
+    hits, cols, close = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    if len(texts) and len(skills):
+        similarity = _unit(texts["vec"]) @ _unit(skills["vec"]).T
+        hits, cols = (similarity >= threshold).nonzero()
+        close = similarity[hits, cols]
+    known = texts["found"].to_numpy()[hits]
+    new = np.array([s not in k for s, k in zip(names[cols], known, strict=True)], bool)
+    columns = {"implied_skill": names[cols[new]], "similarity": close[new]}
+    return pd.DataFrame({id_column: np.array(texts["id"].tolist(), dtype=object)[hits[new]], **columns})

@@ -274,6 +274,18 @@ def test_implied_skills(spark):
     assert sm.implied_skills(texts, skills.limit(0), "id", "v", "f").count() == 0
 
 
+def test_implied_skills_in_blocks(spark):
+    """Blocks of skills and of texts give what one block of each gives."""
+    rng = np.random.default_rng(9)
+    skills = spark.createDataFrame([(f"s{k}", rng.normal(size=6).tolist()) for k in range(70)], "skill string, vec array<double>")
+    rows = [(i, rng.normal(size=6).tolist(), [f"s{i % 70}"]) for i in range(120)]
+    texts = spark.createDataFrame(rows, "id long, v array<double>, f array<string>")
+    one = sm.implied_skills(texts, skills, "id", "v", "f")
+    many = sm.implied_skills(texts, skills, "id", "v", "f", block_skills=9, block_texts=25)
+    as_rows = lambda df: sorted((r["id"], r["implied_skill"], round(r["similarity"], 9)) for r in df.collect())
+    assert as_rows(one) == as_rows(many) and one.count() > 300
+
+
 def test_every_model_learns(spark, tmp_path):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(160, 3))
