@@ -28,6 +28,7 @@ from screenloom.session import stage
 GRAM = 4
 THRESHOLD = 0.5  # of the score of a perfect copy
 FILTER_BITS = 25  # the bitmap of n-grams has 2 to this power bits, 4 MB, whatever the benchmark
+BROADCAST_ROWS = 1 << 18  # leaking texts, 16 bytes each, that go to every task; more of them are joined
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 FOUND = "doc_id long, item_id long, score double, first_word long, end_word long"
 _BITMAP = 1 << 15  # bits of one bitmap of Spark's
@@ -282,6 +283,8 @@ def drop_leaks(
     found = _leaks(docs, benchmark, threshold, gram, filter_bits)
     if found is None:
         return docs
-    leaking = found.select(F.col("mark_a").alias("_mark_a"), F.col("mark_b").alias("_mark_b")).distinct()
+    leaking = stage(found.select(F.col("mark_a").alias("_mark_a"), F.col("mark_b").alias("_mark_b")).distinct(), "leaking")
+    if leaking.count() <= BROADCAST_ROWS:  # so few that documents need not move
+        leaking = F.broadcast(leaking)
     a, b = (F.xxhash64(F.col("text").cast("string")), F.xxhash64(F.lit(1), F.col("text").cast("string")))
     return docs.join(leaking, (a == F.col("_mark_a")) & (b == F.col("_mark_b")), "left_anti")

@@ -599,7 +599,9 @@ def test_alignment():
         assert brute_alignment(item, text[a:b]) == score
 
 
-def test_decontamination(spark, none):
+@pytest.mark.parametrize("broadcast_rows", [decontam.BROADCAST_ROWS, 0])
+def test_decontamination(spark, none, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(6)
     pool = [f"v{i}" for i in range(400)] + ["the", "of", "and"] * 40
     pick = lambda n: [rng.choice(pool) for _ in range(n)]

@@ -112,7 +112,7 @@ def test_embedding_query_loses_no_link(spark, tmp_path, rank):
 def test_registered():
     names = contract.queries()
     assert [n for n in names if re.match(r"op\d+_", n)] == list(queries.QUERIES)[: len(queries.QUERIES) - 1]
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert names["pipeline"].__wrapped__ is corpus_pipeline.run
     assert set(contract.oracle_sql()) <= set(names)
 
