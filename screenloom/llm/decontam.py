@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.scan import Words, gram_starts, owner, pieces, run_hashes, scan, word_hashes
+from screenloom.llm.scan import Words, gram_starts, owner, pieces, release, run_hashes, scan, word_hashes
 from screenloom.session import stage
 
 GRAM = 4
@@ -203,9 +203,11 @@ def _cut(held: DataFrame, seeds: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["text", "item", "low", "passage"])
+            release()
 
     lists = seeds.groupBy("text").agg(F.collect_list(F.struct("item", "at", "place", "size")).alias("seeds"))  # of one text
-    return held.select("text", "words").join(lists, "text").mapInArrow(run, "text long, item long, low long, passage binary")
+    cut = held.select("text", "words").join(lists, "text").mapInArrow(run, "text long, item long, low long, passage binary")
+    return stage(cut, "passages")  # so that a task of the next step needs one Python worker, not two
 
 
 def _scored(cut: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -227,6 +229,7 @@ def _scored(cut: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            release()
 
     met = cut.join(items.select("item", "item_id", "words"), "item").select("text", "item", "low", "passage", "item_id", "words")
     schema = "text long, item long, item_id long, score double, first_word long, end_word long"
