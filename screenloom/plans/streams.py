@@ -91,8 +91,8 @@ def stream_screen(spark, d):
         guess_experience(F.col("text")).alias("experience_years"),
     )
     scored = screen_stream(resumes, job_skills(fx.jobs(spark, d), matcher), matcher)
-    path = so.append_to_table(scored.select("candidate_id", "jd_id", "match_score"), "screened")
-    return spark.read.parquet(path)
+    kept = scored.select("candidate_id", "jd_id", "match_score")
+    return spark.read.schema(kept.schema).parquet(so.append_to_table(kept, "screened"))
 
 
 @query("stream_transition_log_delayed", CHECKS["transition_log"])
@@ -128,5 +128,6 @@ def stream_promotions(spark, d):
     """Interviews two hours after they were agreed; the watermark stands one hour before the latest event."""
     slot = F.when(F.col("new_state") == "interview_scheduled", F.col("ts") + F.expr("INTERVAL 2 HOURS"))
     agreed = event_stream(spark, d).select("candidate_id", "ts", slot.alias("slot"))
-    path = so.append_to_table(ss.promotion_stream(agreed, "1 hour"), "promotions")
-    return spark.read.parquet(path).groupBy("candidate_id", "slot").agg(F.count("*").alias("interviews"))
+    promoted = ss.promotion_stream(agreed, "1 hour")
+    path = so.append_to_table(promoted, "promotions")
+    return spark.read.schema(promoted.schema).parquet(path).groupBy("candidate_id", "slot").agg(F.count("*").alias("interviews"))

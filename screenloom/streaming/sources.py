@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,15 @@ from screenloom.session import new_path
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Rows of parquet files called ``name`` (a glob) that arrive in ``folder``."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """Rows of parquet files called ``name`` (a glob) that arrive in ``folder``. A table of that name that is a folder of part
+    files, as Spark writes it, is read from all of them."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, name))
+    if table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isDirectory(table):
+        return reader.parquet(os.path.join(folder, name))
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def append_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> str:
