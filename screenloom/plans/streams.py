@@ -97,19 +97,20 @@ def stream_screen(spark, d):
 
 @query("stream_transition_log_delayed", CHECKS["transition_log"])
 def stream_transition_log_delayed(spark, d):
-    """The events in four files that overlap in time, in an order of their own, and a last one far ahead: events wait for
-    the watermark, and the log equals the batch log."""
+    """The events in four micro-batches of files that overlap in time, in an order of their own, and a last one far ahead: events
+    wait for the watermark, and the log equals the batch log."""
     events = fx.stage_events(spark, d)
     folder = new_path(spark, "shuffled-events")
+    files = events.rdd.getNumPartitions()  # of a micro-batch, each written by a task of its own
     for part in range(4):
-        events.where(F.col("event_id") % 4 == (part * 3 + 2) % 4).coalesce(1).write.mode("append").parquet(folder)
+        events.where(F.col("event_id") % 4 == (part * 3 + 2) % 4).repartition(files).write.mode("append").parquet(folder)
     end = events.agg(F.max("ts").alias("ts")).select(
         F.lit("_end").alias("candidate_id"), F.lit(-1).cast("long").alias("event_id"),
         F.explode(F.array(*[F.col("ts") + F.expr(f"INTERVAL {400 + k} DAYS") for k in range(2)])).alias("ts"),
         F.lit("rejected").alias("new_state"), F.lit(False).alias("forced"),
     )
     end.coalesce(1).write.mode("append").parquet(folder)
-    arriving = so.file_stream(spark, folder, "*.parquet", events.schema, files_per_batch=1)
+    arriving = so.file_stream(spark, folder, "*.parquet", events.schema, files_per_batch=files)
     log = spark.read.schema(ss.LOG_SCHEMA).parquet(so.append_to_table(ss.transition_stream(arriving, delay="390 days"), "log"))
     rows = log.where("candidate_id <> '_end'")
     return rows.select("candidate_id", "event_id", "previous", "requested", "state", "success")

@@ -24,39 +24,43 @@ def transition_stream(events: DataFrame, start: str = "applied", delay: str | No
     """
 
     def advance(key, batches, state):
+        from bisect import bisect_right
+
         import numpy as np
         import pandas as pd
 
         current, waiting, logged = state.get if state.exists else (start, [], False)
-        columns = ["ts", "event_id", "new_state", "forced"]
-        parts = [pd.DataFrame([tuple(w) for w in waiting], columns=columns)]
+        # Plain lists: a candidate has few events, and a frame costs more than they do.
+        events = [tuple(w) for w in waiting]
         for batch in batches:
-            micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            parts.append(batch[["event_id", "new_state", "forced"]].assign(ts=micros)[columns])
-        events = pd.concat([p for p in parts if len(p)] or parts, ignore_index=True)
-        events = events.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
+            micros = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+            ids, names, forces = (batch[c].tolist() for c in ("event_id", "new_state", "forced"))
+            events += [(t, int(i), n, bool(f)) for t, i, n, f in zip(micros, ids, names, forces, strict=True)]
+        events.sort(key=lambda e: e[:2])
         ready = len(events)
         if delay is not None:
-            ready = int(np.searchsorted(events["ts"].to_numpy(dtype="int64"), state.getCurrentWatermarkMs() * 1000, side="right"))
-        rows = events.iloc[:ready]
-        previous, after, success = walk(current, rows["new_state"].tolist(), rows["forced"].to_numpy(dtype=bool))
-        kept = [(int(t), int(i), n, bool(f)) for t, i, n, f in events.iloc[ready:].itertuples(index=False)]
-        result = pd.DataFrame(
-            {
-                "candidate_id": [key[0]] * ready,
-                "event_id": rows["event_id"].astype("int64"),
-                "ts": pd.to_datetime(rows["ts"].astype("int64"), unit="us"),
-                "previous": previous,
-                "requested": rows["new_state"],
-                "state": after,
-                "success": success,
-                "first": [not logged and i == 0 for i in range(ready)],
-            }
-        )
-        state.update((after[-1] if ready else current, kept, logged or ready > 0))
+            ready = bisect_right(events, state.getCurrentWatermarkMs() * 1000, key=lambda e: e[0])
+        rows, kept = events[:ready], events[ready:]
+        after = [current]
+        if rows:
+            micros, ids, requested, forces = (list(c) for c in zip(*rows, strict=True))
+            previous, after, success = walk(current, requested, forces)
+        state.update((after[-1], kept, logged or ready > 0))
         if kept:
             state.setTimeoutTimestamp(max(kept[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
-        yield result
+        if rows:
+            yield pd.DataFrame(
+                {
+                    "candidate_id": [key[0]] * ready,
+                    "event_id": np.array(ids, "int64"),
+                    "ts": pd.to_datetime(np.array(micros, "int64"), unit="us"),
+                    "previous": previous,
+                    "requested": requested,
+                    "state": after,
+                    "success": success,
+                    "first": [not logged] + [False] * (ready - 1),
+                }
+            )
 
     timeout = GroupStateTimeout.NoTimeout
     if delay is not None:
