@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.session import new_path
+from screenloom.session import new_path, stage
 
 PART = 256  # requests of a task, so of a commit
 BATCH = 32  # requests handed to a back-end at once
@@ -71,14 +71,15 @@ def answered(
 
     ``store`` is the table of finished answers, kept from run to run; without it answers last as long as the application.
     ``kind`` names what the answers depend on besides the request (a model, a prompt): other kinds do not share answers. A null
-    request gets no answer; repeated rows share one. An empty table asks nothing.
+    request gets no answer; repeated rows share one. An empty table asks nothing. ``requests`` are computed once and written.
     """
     spark = requests.sparkSession
     store = store or new_path(spark, "answers")
-    keyed = requests.withColumn("_key", _key(F.col(request).cast("string"), kind))
-    asked = keyed.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.first(F.col(request).cast("string")).alias("request"))
-    missing = asked.join(finished(spark, store), "key", "left_anti")
-    parts = max(1, math.ceil(missing.count() / part))
+    requests = stage(requests, "requests")
+    texts = requests.select(F.col(request).cast("string").alias("request")).where("request is not null").distinct()
+    asked = texts.select(_key(F.col("request"), kind).alias("key"), "request")
+    missing = stage(asked.join(finished(spark, store), "key", "left_anti"), "missing")
+    parts = math.ceil(missing.count() / part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,6 +89,8 @@ def answered(
             yield pa.RecordBatch.from_arrays(columns, names=["key", "answer", "backend"])
 
     # The keys are hashes, so parts of them are even; a part is written and committed by a task of its own.
-    missing.repartition(parts, "key").mapInArrow(run, ANSWERS).write.mode("append").parquet(store)
+    if parts:
+        missing.repartition(parts, "key").mapInArrow(run, ANSWERS).write.mode("append").parquet(store)
     known = finished(spark, store).select(F.col("key").alias("_key"), "answer", "backend")
+    keyed = requests.withColumn("_key", _key(F.col(request).cast("string"), kind))
     return keyed.join(known, "_key", "left").drop("_key")
