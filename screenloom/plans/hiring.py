@@ -111,8 +111,8 @@ def schedule_interviews(spark, d):
  FROM schedule LEFT JOIN states USING (candidate_id) WHERE NOT conflict""",
     ),
 )
-def schedule_report(spark, d):
-    scheduled = jd_schedule(spark, d).withColumnRenamed("jd_id", "calendar_id")
+def schedule_report(spark, d, ranking=None):
+    scheduled = jd_schedule(spark, d, ranking).withColumnRenamed("jd_id", "calendar_id")
     return sc.schedule_report(scheduled, current_states(spark, d)).withColumnRenamed("calendar_id", "jd_id")
 
 
@@ -261,8 +261,9 @@ def status_board(spark, d):
 _LABELS = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in STATUS_LABELS.items())
 
 
-def exported(spark, d):
-    return rp.export_candidates(ranked(spark, d), current_states(spark, d), ["candidate_id"])
+def exported(spark, d, ranking=None):
+    ranking = ranked(spark, d) if ranking is None else ranking
+    return rp.export_candidates(ranking, current_states(spark, d), ["candidate_id"])
 
 
 @query(
@@ -277,8 +278,8 @@ def exported(spark, d):
  FROM ranked k LEFT JOIN states USING (candidate_id)""",
     ),
 )
-def export_candidates(spark, d):
-    return exported(spark, d).orderBy("jd_id", "rank")
+def export_candidates(spark, d, ranking=None):
+    return exported(spark, d, ranking).orderBy("jd_id", "rank")
 
 
 @query(
