@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenloom.dims import question_bank as qb
-from screenloom.functions.hashing import hash32
+from screenloom.functions.hashing import hash32_digits
 from screenloom.functions.text import seniority_tier
 from screenloom.operators.backends import Backend, answered
+from screenloom.session import dealt, stage
 
 SEED = 42
 
@@ -39,7 +40,7 @@ def _shuffled(items: Column, kind: str) -> Column:
     drawn = F.transform(
         items,
         lambda x, i: F.struct(
-            hash32("candidate_id", "skill", F.lit(kind), i, seed=SEED).alias("h"), i.alias("i"), x.alias("x")
+            hash32_digits("candidate_id", "skill", F.lit(kind), i, seed=SEED).alias("h"), i.alias("i"), x.alias("x")
         ),
     )
     return F.transform(F.array_sort(drawn), lambda s: s["x"])
@@ -54,7 +55,8 @@ def candidate_skills(profiles: DataFrame) -> DataFrame:
 
 def question_pool(profiles: DataFrame, bank: DataFrame) -> DataFrame:
     """Bank entries of every (candidate, skill); skills without an entry get the generic ones."""
-    joined = candidate_skills(profiles).join(bank, ["skill", "tier"], "left")
+    known = stage(bank, "bank")  # read once; its size decides how it is joined
+    joined = candidate_skills(profiles).join(known, ["skill", "tier"], "left")
     generic = qb.GENERIC_BANK
     concepts = F.create_map(
         *[x for tier, items in generic["concepts"].items() for x in (F.lit(tier), _literals(items))]
@@ -80,25 +82,29 @@ def pool_rows(pool: DataFrame) -> DataFrame:
 def _typed(position: int, mix: dict[str, list[int]], items: Column, text) -> Column:
     """Question structs of one type; ``text`` maps (item, index) to the question."""
     chosen = F.slice(items, 1, _by_tier(mix, position))
-    hint, follow_up = F.lit(qb.HINTS[position]), F.lit(qb.FOLLOW_UPS[position])
     return F.transform(
         chosen,
-        lambda x, i: F.struct(
-            F.lit(position).alias("type_position"),
-            i.alias("i"),
-            F.lit(qb.TYPES[position]).alias("type"),
-            _by_tier(qb.DIFFICULTY, position).alias("difficulty"),
-            text(x, i).alias("question"),
-            F.replace(hint, F.lit("{item}"), x).alias("hint"),
-            F.replace(follow_up, F.lit("{item}"), x).alias("follow_up"),
-        ),
+        lambda x, i: F.struct(F.lit(position).alias("type_position"), i.alias("i"), text(x, i).alias("question"), x.alias("item")),
     )
 
 
+def _of_type(values: list[Column]) -> Column:
+    """The value of the row's type."""
+    first, *rest = [(F.col("type_position") == k, v) for k, v in enumerate(values)]
+    found = F.when(*first)
+    for known, value in rest:
+        found = found.when(known, value)
+    return found
+
+
 def generate_questions(profiles: DataFrame, bank: DataFrame, n_per_skill: int = 3) -> DataFrame:
-    """Questions per candidate in emission order; a repeated question of a candidate is asked once."""
+    """Questions per candidate in emission order; a repeated question of a candidate is asked once.
+
+    Profiles, which are narrow, are dealt out by candidate before they become questions: a table of few files keeps all tasks
+    busy, and questions need no shuffle of their own. What follows from type, tier and item is added when repeats are gone.
+    """
     mix = question_mix(n_per_skill)
-    pool = question_pool(profiles, bank).withColumns(
+    pool = question_pool(dealt(profiles.select("candidate_id", "skills", "experience_years"), "candidate_id"), bank).withColumns(
         {
             "concepts": _shuffled(F.col("concepts"), "conceptual"),
             "coding": _shuffled(F.col("coding"), "coding"),
@@ -124,13 +130,18 @@ def generate_questions(profiles: DataFrame, bank: DataFrame, n_per_skill: int =
         ),
         _typed(4, mix, F.col("behavioral"), lambda x, i: _render(x)),
     )
-    rows = pool.select("candidate_id", "skill_position", "skill", F.inline(asked))
+    rows = pool.select("candidate_id", "skill_position", "skill", "tier", F.inline(asked))
     # One candidate has few questions, and only equal texts of one candidate meet here.
     window = Window.partitionBy("candidate_id", "question").orderBy("skill_position", "type_position", "i")
     first = rows.withColumn("_n", F.row_number().over(window)).where("_n = 1")
+
+    def about(formats: list[str]) -> Column:
+        return _of_type([F.replace(F.lit(f), F.lit("{item}"), F.col("item")) if "{item}" in f else F.lit(f) for f in formats])
+
     return first.select(
-        "candidate_id", "skill_position", "type_position", "i", "skill", "type", "difficulty", "question", "hint",
-        "follow_up",
+        "candidate_id", "skill_position", "type_position", "i", "skill", _of_type([F.lit(t) for t in qb.TYPES]).alias("type"),
+        _of_type([_by_tier(qb.DIFFICULTY, k) for k in range(len(qb.TYPES))]).alias("difficulty"), "question",
+        about(qb.HINTS).alias("hint"), about(qb.FOLLOW_UPS).alias("follow_up"),
     )
 
 
