@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from screenloom.operators import oversample, preprocess
+from screenloom.operators import neighbors, oversample, preprocess
 
 
 def test_powers_are_taken_of_different_values_only(monkeypatch):
@@ -56,3 +56,25 @@ def test_neighbours_are_searched_without_vectors_as_payload(spark, monkeypatch):
         ends = sorted((given[j][2] for j in range(9) if j != r["id"]), key=lambda v: sum((a - b) ** 2 for a, b in zip(v, base, strict=True)))[:2]
         shares = [[(p - a) / (b - a) for p, a, b in zip(r["vec"], base, e, strict=True)] for e in ends]
         assert any(abs(s[0] - s[1]) < 1e-9 and -1e-9 <= s[0] <= 1 + 1e-9 for s in shares)
+
+
+def test_a_query_moves_once_to_a_group_of_cells(spark, monkeypatch):
+    """Spread-out vectors visit nearly all cells; their rows follow the groups of cells, and the neighbours are the nearest."""
+    moved, real = [], neighbors.stage
+
+    def seen(df, name):
+        staged = real(df, name)
+        if name == "visits":
+            moved.append(staged.count())
+        return staged
+
+    monkeypatch.setattr(neighbors, "stage", seen)
+    x = np.random.default_rng(5).normal(size=(400, 16))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    report = {}
+    got = neighbors.nearest_neighbors(points, points, 3, True, block_points=200, cell_points=20, report=report).collect()
+    assert report["cells"] > 10 and report["visits"] > 2000
+    assert sum(moved) < 0.5 * report["visits"]
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(400, np.inf))
+    expected = {(q, k + 1): int(i) for q in range(400) for k, i in enumerate(np.argsort(far[q], kind="stable")[:3])}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got} == expected
