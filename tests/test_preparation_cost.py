@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from screenloom.operators import neighbors, oversample, preprocess
+from screenloom.operators import neighbors, oversample, preprocess, training
 
 
 def test_powers_are_taken_of_different_values_only(monkeypatch):
@@ -78,3 +78,19 @@ def test_a_query_moves_once_to_a_group_of_cells(spark, monkeypatch):
     far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(400, np.inf))
     expected = {(q, k + 1): int(i) for q in range(400) for k, i in enumerate(np.argsort(far[q], kind="stable")[:3])}
     assert {(r["query_id"], r["rank"]): r["id"] for r in got} == expected
+
+
+def test_profiles_of_one_file_are_dealt_out(spark, monkeypatch):
+    parts = []
+
+    def seen(profiles, *_):
+        parts.append(profiles.rdd.getNumPartitions())
+        raise InterruptedError
+
+    monkeypatch.setattr(training, "build_features", seen)
+    people = spark.range(200).toDF("key").coalesce(1)
+    try:
+        training.prepare(people, "key")
+    except InterruptedError:
+        pass
+    assert parts and parts[0] >= 4
