@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from screenloom.operators import passes
 from screenloom.operators import perceptron as pc
 
 
@@ -82,3 +83,28 @@ def test_stored_and_empty(spark):
     x, y = made(n=20)
     fitted = pc.fit(table(spark, x, y), pc.Settings(hidden=(3,), epochs=2))[0]
     assert (pc.Perceptron.from_json(fitted.to_json()).score(x) == fitted.score(x)).all()
+
+
+def test_passes_read_blocks(spark, monkeypatch):
+    """Rows reach a pass as blocks of bytes, dealt out evenly: their number, not that of the rows, is what Spark moves."""
+    seen, total = [], pc.total
+    monkeypatch.setattr(pc, "total", lambda table, *rest: seen.append((table.rows.count(), table.parts)) or total(table, *rest))
+    x, y = made(n=900)
+    rows = table(spark, x, y, folds=2).coalesce(1)
+    found = pc.fit(rows, pc.Settings(hidden=(3,), epochs=1), folds=2)
+    assert len(found) == 3 and set(seen) == {(1, 1)}
+
+
+def test_blocks_keep_all_rows(spark):
+    x, y = made(n=900)
+    given = table(spark, x, y).repartition(3)
+    kept = passes.packed(given, "rows", pc._arrays, list(pc._TYPES), 100)
+    assert kept.parts == min(kept.rows.count(), spark.sparkContext.defaultParallelism)
+
+    def work(batches):
+        sums = np.zeros((2, 900))
+        for ids, labels, _, features in passes.unpacked(batches, pc._TYPES):
+            sums[:, ids] += labels, features.reshape(len(ids), -1).sum(axis=1)
+        return sums
+
+    assert np.allclose(passes.total(kept, work, (2, 900)), [y, x.sum(axis=1)])
