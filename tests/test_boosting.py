@@ -131,3 +131,21 @@ def test_sums_over_partitions(spark, parts):
         return np.array([[values.sum(), len(values)]])
 
     assert passes.total(passes.Held(rows, parts), work, (1, 2)).tolist() == [[499_500, 1000]]
+
+
+def test_one_side_of_a_cut_is_summed(spark, monkeypatch):
+    """Below the root a pass sums one side of each cut and reads blocks, not rows."""
+    seen, total = [], bs.total
+    monkeypatch.setattr(bs, "total", lambda held, work, shape: seen.append((held.rows.count(), shape[2])) or total(held, work, shape))
+    x, y = made()
+    bs.fit(table(spark, x, y, parts=1), bs.Settings(trees=2, depth=4), folds=3)
+    assert seen == [(1, 1), (1, 1), (1, 2), (1, 4)] * 2
+
+
+def test_first_of_equal_cuts():
+    """A bin without rows may hold what rounding leaves of its parent; the cut before it still comes first."""
+    g, h = np.zeros((1, 2, 8)), np.zeros((1, 2, 8))
+    g[0, :, 1], g[0, :, 6], h[0, :, [1, 6]] = 5.0, -5.0, 10.0
+    g[0, 0, 3] = 1e-15
+    (cut,) = bs.best_cuts(g, h, np.array([0, 1]), bs.Settings(bins=8))
+    assert cut[:2] == (0, 1)
