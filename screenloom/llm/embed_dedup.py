@@ -7,9 +7,11 @@ them is within half of that and visits the other's cell: with ``slack=None`` no
 fewer cells. In d dimensions the part of the distance that lies across a given border is about 1/sqrt(d) of it, so ``SLACK``
 loses next to nothing of vectors spread over many dimensions, but many links of vectors that lie in few: it must be asked for.
 
-Equal vectors are one vertex with a weight. The residents and the visitors of a cell are cut into blocks of bounded size,
-and each block of residents is compared with every block of the cell in tasks of their own; visitors are not compared with
-each other. A task returns a row per linked vector, with its links counted and one edge of a spanning forest, never pairs.
+Equal vectors are one vertex with a weight. Neighbouring cells form groups of about a block of residents, and a vector visits a
+group once, however many of its cells are near. The residents and the visitors of a group are cut into blocks of bounded size,
+and each block of residents is compared with every block of the group in tasks of their own; visitors are not compared with
+each other. Products are taken in single precision first, with a margin for its error; what may link is decided in double. A
+task returns a row per linked vector, with its links counted and one edge of a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ CELL_ROWS = 512  # vectors a cell is meant to hold
 MAX_CELLS = 1024  # beyond it cells grow and are cut into blocks
 SAMPLE_PER_CELL = 32  # vectors the centres are fitted on, at most, for each cell
 BLOCK_ROWS = 4096
+_VISITORS = 4  # blocks of residents that a block of visitors is long
 SLACK = 0.1
 _TILE = 1024
 
@@ -71,15 +74,31 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndar
     return centres
 
 
-def visits(rows: np.ndarray, centres: np.ndarray, slack: float) -> list[np.ndarray]:
-    """For each vector its home cell, then the cells whose border towards it is within ``slack``."""
+def grouped(centres: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
+    """The group of each cell: cells alike, together of up to ``rows`` vectors where no single one has more."""
+    group, number = np.full(len(centres), -1), 0
+    while (free := group < 0).any():
+        at = int(np.flatnonzero(free)[0])
+        middle, held = np.zeros(centres.shape[1]), 0.0
+        while at >= 0 and (not held or held + sizes[at] <= rows):
+            group[at], free[at] = number, False
+            middle, held = middle + centres[at], held + max(sizes[at], 1e-9)
+            at = int(np.where(free, centres @ middle, -np.inf).argmax()) if free.any() else -1
+        number += 1
+    return group
+
+
+def visits(rows: np.ndarray, centres: np.ndarray, slack: float, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group each vector lives in, and (vector, group) the others that hold a cell whose border towards it is within
+    ``slack``."""
     likeness = rows @ centres.T
     home = likeness.argmax(axis=1)
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
     gap = likeness[np.arange(len(rows)), home][:, None] - likeness
     near = gap <= slack * apart[home] + 1e-12
-    near[np.arange(len(rows)), home] = False
-    return [np.append(h, np.flatnonzero(n)).astype("<i4") for h, n in zip(home, near, strict=True)]
+    seen = near.astype("f4") @ np.eye(group.max() + 1, dtype="f4")[group] > 0
+    seen[np.arange(len(rows)), group[home]] = False
+    return group[home], seen
 
 
 class _Forest:
@@ -120,9 +139,10 @@ class _Forest:
 
 @dataclass
 class _Block:
-    """Vectors of one block with their homes and the cells they are in."""
+    """Vectors of one block with their homes and the groups they visit, a bit each."""
 
     units: np.ndarray
+    near: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
     homes: np.ndarray
@@ -131,21 +151,33 @@ class _Block:
 
     @classmethod
     def of(cls, frame: pd.DataFrame) -> _Block:
-        cells = [np.frombuffer(v, "<i4").astype(np.int64) for v in frame["cells"]]
-        seen = np.unique(np.concatenate([k * MAX_CELLS + c for k, c in enumerate(cells)]))
         units = np.frombuffer(b"".join(frame["unit"]), "<f8").reshape(len(frame), -1)
-        ids, weights = (frame[c].to_numpy(dtype=np.int64) for c in ("id", "weight"))
-        return cls(units, ids, weights, np.array([c[0] for c in cells]), seen, np.zeros(len(frame), np.int64))
+        seen = np.frombuffer(b"".join(frame["seen"]), np.uint8).reshape(len(frame), -1)
+        ids, weights, homes = (frame[c].to_numpy(dtype=np.int64) for c in ("id", "weight", "lives"))
+        return cls(units, units.astype("f4"), ids, weights, homes, seen, np.zeros(len(frame), np.int64))
 
     def visits(self, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        return np.isin(rows * MAX_CELLS + cells, self.seen)
+        return (self.seen[rows, cells >> 3] >> (7 - (cells & 7))) & 1 > 0
+
+
+def linked(a: _Block, b: _Block, i: int, j: int, threshold: float) -> np.ndarray | None:
+    """Which vectors of two tiles link; None if none do. Single precision decides what is clearly apart."""
+    margin = (a.units.shape[1] + 8) * 2.0**-23
+    close = a.near[i : i + _TILE] @ b.near[j : j + _TILE].T >= np.float32(threshold - margin)
+    if not close.any():
+        return None
+    if close.sum() > 4 * sum(close.shape):
+        return a.units[i : i + _TILE] @ b.units[j : j + _TILE].T >= threshold
+    x, y = np.nonzero(close)
+    close[x, y] = np.einsum("ij,ij->i", a.units[i + x], b.units[j + y]) >= threshold
+    return close
 
 
 def compare(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold: float) -> pd.DataFrame:
-    """Links between two blocks of a cell, or within one: rows (id, n_links, other) of linked vectors.
+    """Links between two blocks of a group of cells, or within one: rows (id, n_links, other) of linked vectors.
 
-    Two visitors are left to the cells they live in. A resident and a visitor whose homes see each other both ways
-    are counted in the lesser of the two cells.
+    Two visitors are left to the groups they live in. A resident and a visitor whose homes see each other both ways
+    are counted in the lesser of the two groups.
     """
     a = _Block.of(left)
     b = a if right is None else _Block.of(right)
@@ -153,7 +185,9 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold
     forest = _Forest(offset + len(b.ids))
     for i in range(0, len(a.ids), _TILE):
         for j in range(i if right is None else 0, len(b.ids), _TILE):
-            links = a.units[i : i + _TILE] @ b.units[j : j + _TILE].T >= threshold
+            links = linked(a, b, i, j, threshold)
+            if links is None:
+                continue
             once = right is None and i == j
             if once:
                 np.fill_diagonal(links, False)
@@ -177,8 +211,8 @@ def compare(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold
     while (root[root] != root).any():
         root = root[root]
     joined = root != np.arange(len(root))
-    linked = (total > 0) | joined
-    return pd.DataFrame({"id": ids[linked], "n_links": total[linked], "other": ids[root[linked]]})
+    some = (total > 0) | joined
+    return pd.DataFrame({"id": ids[some], "n_links": total[some], "other": ids[root[some]]})
 
 
 def near_duplicates(
@@ -221,45 +255,46 @@ def near_duplicates(
         return alone.where("vec_id is not null").distinct().union(alone.where("vec_id is null"))
     cells = max(1, min(MAX_CELLS, math.ceil(count / cell_rows)))
     sample = distinct.orderBy(F.xxhash64("id"), "id").limit(cells * SAMPLE_PER_CELL).select("unit").toArrow()
-    centres = spherical_kmeans(np.frombuffer(b"".join(sample["unit"].to_pylist()), "<f8").reshape(sample.num_rows, width), cells)
+    sampled = np.frombuffer(b"".join(sample["unit"].to_pylist()), "<f8").reshape(sample.num_rows, width)
+    centres = spherical_kmeans(sampled, cells)
+    living = np.bincount((sampled @ centres.T).argmax(axis=1), minlength=len(centres)) * (count / len(sampled))
+    group = grouped(centres, living, block_rows)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
             for at in range(0, len(batch), _TILE):
                 part = batch.slice(at, _TILE)
                 rows = np.frombuffer(b"".join(part.column("unit").to_pylist()), "<f8").reshape(len(part), width)
-                found = visits(rows, centres, slack)
-                copies = np.repeat(np.arange(len(part)), [len(f) for f in found])
-                own = pa.array([f.tobytes() for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(found).astype(np.int32)),
-                        part.column("id").take(pa.array(copies)),
-                        part.column("unit").take(pa.array(copies)),
-                        part.column("weight").take(pa.array(copies)),
-                        own.take(pa.array(copies)),
-                        pa.array(np.concatenate([np.arange(len(f)) == 0 for f in found])),
-                    ],
-                    names=["cell", "id", "unit", "weight", "cells", "home"],
-                )
+                yield part, *visits(rows, centres, slack, group)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, home, seen in placed_rows(batches):
+            mask = pa.array([m.tobytes() for m in np.packbits(seen, axis=1)], pa.binary())
+            every = seen.copy()
+            every[np.arange(len(part)), home] = True
+            copies, where = np.nonzero(every)
+            at = pa.array(copies)
+            columns = [part.column(c).take(at) for c in ("id", "unit", "weight")]
+            lives = home[copies]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where.astype(np.int32)), *columns, mask.take(at), pa.array(lives.astype(np.int32)), pa.array(lives == where)],
+                names=["cell", "id", "unit", "weight", "seen", "lives", "home"],
+            )
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        living, all_in = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
-        for batch in batches:
-            for at in range(0, len(batch), _TILE):
-                part = batch.slice(at, _TILE)
-                rows = np.frombuffer(b"".join(part.column("unit").to_pylist()), "<f8").reshape(len(part), width)
-                found = visits(rows, centres, slack)
-                living += np.bincount([f[0] for f in found], minlength=len(centres))
-                all_in += np.bincount(np.concatenate(found), minlength=len(centres))
-        columns = [pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(living), pa.array(all_in - living)]
+        living, visiting = np.zeros(group.max() + 1, np.int64), np.zeros(group.max() + 1, np.int64)
+        for _, home, seen in placed_rows(batches):
+            living += np.bincount(home, minlength=len(living))
+            visiting += seen.sum(axis=0)
+        columns = [pa.array(np.arange(len(living), dtype=np.int32)), pa.array(living), pa.array(visiting)]
         yield pa.RecordBatch.from_arrays(columns, names=["cell", "residents", "visitors"])
 
-    blocks = lambda kind: F.ceil(F.sum(kind) / block_rows).cast("int").alias(kind)
+    blocks = lambda kind, rows: F.ceil(F.sum(kind) / rows).cast("int").alias(kind)
     counted = distinct.select("unit").mapInArrow(tally, "cell int, residents long, visitors long")
-    sizes = counted.groupBy("cell").agg(blocks("residents"), blocks("visitors")).where("residents > 0")  # a row per cell
-    # The cells are found a second time rather than staged: a vector has a row in every cell it visits.
-    placed = distinct.mapInArrow(assign, "cell int, id long, unit binary, weight long, cells binary, home boolean")
+    sizes = counted.groupBy("cell").agg(blocks("residents", block_rows), blocks("visitors", _VISITORS * block_rows))
+    sizes = sizes.where("residents > 0")  # a row per group
+    # The groups are found a second time rather than staged: a vector has a row in every group it visits.
+    placed = distinct.mapInArrow(assign, "cell int, id long, unit binary, weight long, seen binary, lives int, home boolean")
     blocked = placed.join(F.broadcast(sizes), "cell")
     hashed = F.xxhash64("id")
     own = F.when(F.col("home"), F.pmod(hashed, "residents")).otherwise(F.col("residents") + F.pmod(hashed, F.greatest("visitors", F.lit(1))))
@@ -276,7 +311,7 @@ def near_duplicates(
         empty = pd.DataFrame({"id": [], "n_links": [], "other": []}, dtype="int64")
         return compare(left, right, cell, threshold) if len(left) and len(right) else empty
 
-    columns = ["cell", "low", "high", "_own", "id", "unit", "weight", "cells"]
+    columns = ["cell", "low", "high", "_own", "id", "unit", "weight", "seen", "lives"]
     found = stage(paired.select(*columns).groupBy("cell", "low", "high").applyInPandas(run, "id long, n_links long, other long"), "links")
     links = found.groupBy("id").agg(F.sum("n_links").alias("others"))
     parts = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -191,3 +191,34 @@ def test_stages_on_odd_documents(spark):
             now = stage(step(spark, now, SMALL), "odd")
             assert now.columns == odd.columns, name
         assert corpus_pipeline.STAGES[-1][1](spark, now, SMALL).count() == now.count()
+
+
+def test_cells_alike_are_visited_together():
+    """Spread-out vectors see many cells, but few groups of them: a row a group, not a row a cell."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(600, 16))
+    rows /= np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    centres = embed_dedup.spherical_kmeans(rows, 30)
+    sizes = np.bincount((rows @ centres.T).argmax(axis=1), minlength=30)
+    group = embed_dedup.grouped(centres, sizes, 200)
+    assert (group >= 0).all() and np.bincount(group, sizes).max() <= 200 and group.max() + 1 <= 6
+    assert (embed_dedup.grouped(centres, sizes, 1) == np.arange(30)).all()
+    home, cells = embed_dedup.visits(rows, centres, 0.2236, np.arange(30))
+    lives, groups = embed_dedup.visits(rows, centres, 0.2236, group)
+    assert (lives == group[home]).all() and groups.sum() < cells.sum() / 3
+    for v in range(600):
+        assert set(np.flatnonzero(groups[v])) == set(group[cells[v]]) - {lives[v]}
+
+
+@pytest.mark.parametrize("near", [0.001, 0.3])
+def test_single_precision_decides_nothing(near):
+    """Products at the threshold are taken in double, a few by themselves, many together."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(300, 8)) * near + np.ones(8)
+    rows /= np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    none = np.zeros(300, np.int64)
+    block = embed_dedup._Block(rows, rows.astype("f4"), none, none, none, none, none)
+    double = rows @ rows.T
+    for threshold in np.sort(double.ravel())[[9, 50_000, 89_000]]:
+        got = embed_dedup.linked(block, block, 0, 0, float(threshold))
+        assert (got == (double >= threshold))[np.abs(double - threshold) > 1e-14].all()
