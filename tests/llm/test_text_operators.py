@@ -577,6 +577,21 @@ def test_lm_score_counts_every_word_and_bigram(spark, docs, hot):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_lm_score_sends_no_row_a_bigram(spark, docs, monkeypatch):
+    """What is staged are blocks of texts and the answers of ranges, not words, bigrams or losses."""
+    seen, real = [], lm_score.stage
+    monkeypatch.setattr(lm_score, "stage", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    labels = spark.createDataFrame([(1, 1, 0)], LABELS)
+    count = lm_score.cross_entropy_difference(docs.coalesce(1), labels).count()
+    assert [(name, df.count()) for name, df in seen] == [("blocks", 1), ("answers", 2)] and count == docs.count()
+
+
+def test_lm_score_numbers_as_bytes():
+    for values in ([], [0], [1, 2**64 - 1, 256]):
+        given = np.array(values, np.uint64)
+        assert (lm_score._numbers(lm_score._bytes(given), len(given)) == given).all()
+
+
 # ---- 10 ---------------------------------------------------------------------------------------------------------
 
 
