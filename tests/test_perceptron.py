@@ -1,6 +1,7 @@
 """The perceptron: gradients by differences, Adam step by step, the L2 term, folds."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from screenloom.operators import passes
@@ -108,3 +109,24 @@ def test_blocks_keep_all_rows(spark):
         return sums
 
     assert np.allclose(passes.total(kept, work, (2, 900)), [y, x.sum(axis=1)])
+
+
+def test_layers_run_in_single_precision(spark, monkeypatch):
+    """Rows pass the layers in single precision; sums and steps are double and close to those of double layers."""
+    seen, real = [], pc.Layers.gradient
+
+    def gradient(self, flat, x, y):
+        seen.append((flat.dtype, x.dtype))
+        return real(self, flat, x, y)
+
+    monkeypatch.setattr(pc.Layers, "gradient", gradient)
+    x, y = made()
+    layers, s = pc.Layers([4, 8, 5, 1]), pc.Settings(hidden=(8, 5), batches=1)
+    flat = np.tile(layers.begin(s.seed), (2, 1))
+    found = {c: v.astype(t) for (c, t), v in zip(pc._TYPES.items(), (np.arange(len(x)), y, np.arange(len(x)) % 2, x), strict=True)}
+    block = pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in found.values()], names=list(found))
+    sums = pc._work(layers, flat, np.arange(2), 0, 0, s)(iter([block]))
+    assert seen and {d for pair in seen for d in pair} == {np.dtype(np.float32)} and sums.dtype == np.float64
+    gradient_, loss = real(layers, flat[0], x, y)
+    assert np.allclose(sums[0, :-2], gradient_, atol=1e-5 * np.abs(gradient_).max()) and np.isclose(sums[0, -2], loss)
+    assert sums[0, -1] == len(x) and sums[1, -1] == (np.arange(len(x)) % 2 != 0).sum()
